@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from docengine.llm import decontamination, secret_scan, source_mix, toxicity
+from docengine.llm import decontamination, ngram_jaccard, secret_scan, source_mix, toxicity
 
-MODULES = [decontamination, source_mix, secret_scan, toxicity]
+MODULES = [decontamination, source_mix, secret_scan, toxicity, ngram_jaccard]
 
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}
