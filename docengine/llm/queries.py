@@ -2,9 +2,31 @@
 
 from __future__ import annotations
 
-from docengine.llm import decontamination, ngram_jaccard, secret_scan, source_mix, toxicity
+from docengine.llm import (
+    chat_format,
+    decontamination,
+    license_scan,
+    ngram_jaccard,
+    quality,
+    secret_scan,
+    source_mix,
+    spotsigs,
+    token_counts,
+    toxicity,
+)
 
-MODULES = [decontamination, source_mix, secret_scan, toxicity, ngram_jaccard]
+MODULES = [
+    token_counts,
+    decontamination,
+    source_mix,
+    secret_scan,
+    ngram_jaccard,
+    license_scan,
+    toxicity,
+    chat_format,
+    spotsigs,
+    quality,
+]
 
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}

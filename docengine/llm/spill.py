@@ -23,5 +23,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Most ids that are sent to every executor at once.
+BROADCAST_IDS = 1_000_000
+
+
+def among(df: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Rows of ``df`` whose key is in ``ids`` (one column of that name). The ids are written once and counted: up to
+    BROADCAST_IDS of them are broadcast so that ``df`` is not shuffled; more are joined with a shuffle."""
+    from pyspark.sql.functions import broadcast
+
+    ids = written(ids, "ids")
+    return df.join(broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, "left_semi")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
