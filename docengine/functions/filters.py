@@ -73,7 +73,7 @@ def operators(value: Any) -> dict[str, Any]:
         inner = value["$regularExpression"]
         return {"$regex": inner.get("pattern", ""), "$options": inner.get("options", "")}
     if isinstance(value, dict) and any(k.startswith("$") for k in value):
-        if len(value) == 1 and not set(value) <= COMPARE | IGNORED and values.plain(value) is not value:
+        if values.is_wrapper(value):
             return {"$eq": values.plain(value)}
         ops = {k: v for k, v in value.items() if k not in IGNORED}
         for op in ops:

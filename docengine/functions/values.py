@@ -14,6 +14,14 @@ from pyspark.sql import types as T
 from docengine.errors import BadFilterError
 
 
+# The keys of extended-JSON wrappers.
+WRAPPERS = {"$oid", "$numberLong", "$numberInt", "$numberDouble", "$numberDecimal", "$date", "$binary"}
+
+
+def is_wrapper(value: Any) -> bool:
+    return isinstance(value, dict) and len(value) == 1 and set(value) <= WRAPPERS
+
+
 def plain(value: Any) -> Any:
     """``value`` with extended-JSON wrappers taken off."""
     if isinstance(value, dict) and len(value) == 1:

@@ -270,7 +270,7 @@ def _equals(one: Column):
 
 
 def _is_condition(arg: Any) -> bool:
-    return isinstance(arg, dict) and bool(arg) and all(k.startswith("$") for k in arg) and values.plain(arg) is arg
+    return isinstance(arg, dict) and bool(arg) and all(k.startswith("$") for k in arg) and not values.is_wrapper(arg)
 
 
 def _pulled(op: str, value: Any, x: Column, kind: T.DataType) -> Column:
@@ -344,7 +344,7 @@ def seed(filter_: dict | None) -> dict:
         elif isinstance(value, dict) and any(k.startswith("$") for k in value):
             if "$eq" in value:
                 out[key] = values.plain(value["$eq"])
-            elif values.plain(value) is not value:
+            elif values.is_wrapper(value):
                 out[key] = values.plain(value)
         else:
             out[key] = values.plain(value)

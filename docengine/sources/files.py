@@ -63,7 +63,7 @@ def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
 
 
 def read_json(spark: SparkSession, path: str) -> Any:
-    return json.loads(spark.read.option("wholetext", True).text(path).first()[0]) if exists(spark, path) else None
+    return json.loads(head(spark, path, 1 << 30)) if exists(spark, path) else None
 
 
 def write_json(spark: SparkSession, path: str, value: Any) -> None:
