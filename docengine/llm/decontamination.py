@@ -158,38 +158,50 @@ def item_blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[s
 
 
 def decontaminate(
-    documents: DataFrame, benchmark: DataFrame, *, window: int = WINDOW_WORDS, k: int = GRAM_WORDS, block_bytes: int = BLOCK_BYTES
+    documents: DataFrame,
+    benchmark: DataFrame,
+    *,
+    window: int = WINDOW_WORDS,
+    k: int = GRAM_WORDS,
+    block_bytes: int = BLOCK_BYTES,
+    keep: list[str] | None = None,
 ) -> DataFrame:
     """One row per row of ``documents`` (doc_id, text): doc_id, n_words, n_hit, items (sorted ids of the items with a
     shared passage) and hit_spans ([start, end) word intervals).
 
     Null or wordless texts and an empty benchmark give zero counts and no items. Repeated rows are each judged.
-    Items that share a passage are all listed. Other columns of either table are ignored.
+    Items that share a passage are all listed. Other columns of either table are ignored, or those of ``keep`` are handed
+    on in place of doc_id.
     """
     spark = documents.sparkSession
-    carried = "doc_id long, n_words long, spans array<struct<s:long,e:long>>, items array<string>"
+    base = documents.select(*keep) if keep else documents.selectExpr("cast(doc_id as long) as doc_id", "text")
+    own = [c for c in base.columns if c != "text"]
+    carried = ", ".join(f"`{c}` {base.schema[c].dataType.simpleString()}" for c in own)
+    carried += ", n_words long, spans array<struct<s:long,e:long>>, items array<string>"
     empty = "cast(array() as array<struct<s:long,e:long>>) as spans", "cast(array() as array<string>) as items"
-    out = documents.selectExpr("cast(doc_id as long) as doc_id", "0L as n_words", *empty, "text")
+    out = base.selectExpr(*(f"`{c}`" for c in own), "0L as n_words", *empty, "text")
     ahead: list[tuple[str, str]] = []
     for items in chain(item_blocks(benchmark, block_bytes), [None]):
         if items is None or ahead:
-            # Only a step that another one follows hands on the texts.
+            # Only a step that another one follows hands on the texts, unless they are to be kept.
             sent = spark.sparkContext.broadcast(build_index(ahead, window, k))
-            out = out.mapInArrow(_mapper(sent, items is not None), carried + ", text string" * (items is not None))
+            texts = items is not None or "text" in (keep or [])
+            out = out.mapInArrow(_mapper(sent, texts), carried + ", text string" * texts)
         ahead = items or []
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, x: acc + x["e"] - x["s"])
-    return out.select("doc_id", "n_words", hit.alias("n_hit"), "items", F.col("spans").alias("hit_spans"))
+    return out.select(*(keep or ["doc_id"]), "n_words", hit.alias("n_hit"), "items", F.col("spans").alias("hit_spans"))
 
 
 def _mapper(sent, keep_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: Index = sent.value
         for rows, data, offsets in bw.blocks(batches):
+            column = lambda name, rows=rows: rows.column(rows.schema.get_field_index(name))
             words, text_of = words_of(data, offsets)
             counts = np.bincount(text_of, minlength=rows.num_rows)
             first = np.concatenate([[0], np.cumsum(counts)])
             marks, texts, items = find(index, words, text_of)
-            spans, ids = rows.column(2).to_pylist(), rows.column(3).to_pylist()
+            spans, ids = column("spans").to_pylist(), column("items").to_pylist()
             for text in np.unique(texts).tolist():
                 lo, hi = first[text], first[text + 1]
                 add = marks[lo:hi].copy()
@@ -202,9 +214,10 @@ def _mapper(sent, keep_text: bool):
                 spans[text] = [{"s": int(s), "e": int(e)} for s, e in zip(turn[::2], turn[1::2], strict=True)]
                 ids[text] = sorted({*ids[text], *(index.ids[i] for i in np.unique(items[texts == text]).tolist())})
             kind = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
-            made = [rows.column(0), pa.array(counts, pa.int64()), pa.array(spans, kind), pa.array(ids, pa.list_(pa.string()))]
-            names = ["doc_id", "n_words", "spans", "items"]
-            yield pa.RecordBatch.from_arrays(made + [rows.column(4)] * keep_text, names=names + ["text"] * keep_text)
+            own = [c for c in rows.schema.names if c not in ("n_words", "spans", "items", "text")]
+            made = [*map(column, own), pa.array(counts, pa.int64()), pa.array(spans, kind), pa.array(ids, pa.list_(pa.string()))]
+            names = [*own, "n_words", "spans", "items"]
+            yield pa.RecordBatch.from_arrays(made + [column("text")] * keep_text, names=names + ["text"] * keep_text)
 
     return run
 

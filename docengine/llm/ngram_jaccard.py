@@ -26,10 +26,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from docengine.llm import bytewords as bw
 from docengine.llm.components import components
-from docengine.llm.spill import table, written
+from docengine.llm.spill import among, table, written
 
 SHINGLE_WORDS = 5
 #: Links have 100 * intersection >= 75 * union.
@@ -259,6 +260,20 @@ def jaccard_classes(documents: DataFrame, *, k: int = SHINGLE_WORDS, percent: in
     )
 
 
+def keep_one(documents: DataFrame, classes: DataFrame) -> DataFrame:
+    """The rows of ``documents``, with all columns, that stay when one document of each component does: the one of the
+    smallest doc_id, and of several rows with that id the first by text. Rows without an id are in no component and stay."""
+    classes = written(classes.select("doc_id", "component_id"), "jaccard-kept")
+    stay = classes.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("c"))
+    kept = among(documents, stay.select("doc_id"))
+    several = written(stay.where("c > 1").select("doc_id"), "jaccard-several")
+    if not several.isEmpty():
+        first = W.partitionBy("doc_id").orderBy("text")
+        once = kept.join(several, "doc_id", "left_semi").withColumn("_row", F.row_number().over(first)).where("_row = 1").drop("_row")
+        kept = kept.join(several, "doc_id", "left_anti").unionByName(once)
+    return kept.unionByName(documents.where("doc_id is null"))
+
+
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(table(spark, sf_dir, "documents"))
 

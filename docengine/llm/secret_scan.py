@@ -19,6 +19,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from docengine.llm.spill import table
 
@@ -161,6 +162,35 @@ def scan(documents: DataFrame) -> DataFrame:
     )
 
 
+def mask(text: str) -> str:
+    """``text`` with each span replaced by its kind in brackets; spans that overlap become one, named by the first."""
+    out, at = [], 0
+    for start, kind, end in sorted(base_spans(text) + guess_spans(text)):
+        if start >= at:
+            out += [text[at:start], f"[{KINDS[kind].upper()}]"]
+        at = max(at, end)
+    return "".join(out) + text[at:]
+
+
+def _mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        place = batch.schema.get_field_index("text")
+        texts = batch.column(place)
+        worth = pc.fill_null(pc.match_substring_regex(texts, MAYBE), False)
+        made = [mask(t) if w else t for t, w in zip(texts.to_pylist(), worth.to_pylist(), strict=True)]
+        columns = dict(zip(batch.schema.names, batch.columns, strict=True)) | {"text": pa.array(made, texts.type)}
+        yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+
+def masked(documents: DataFrame) -> DataFrame:
+    """``documents`` with all columns, secrets in ``text`` masked and ``n_chars``, if there, counted anew; a null text stays null, with the n_chars it has."""
+    out = documents.mapInArrow(_mask, documents.schema)
+    if "n_chars" in documents.columns:
+        kind = documents.schema["n_chars"].dataType
+        out = out.withColumn("n_chars", F.coalesce(F.length("text").cast(kind), F.col("n_chars")))
+    return out
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 

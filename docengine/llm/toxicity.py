@@ -269,7 +269,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
     return w
 
 
-def _scorer(sent):
+def _scorer(sent, carried: tuple[str, ...] = ("doc_id",)):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = sent.value
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -288,7 +288,8 @@ def _scorer(sent):
                     text = text_of[part[0]]
                     base = points[offsets[text]]
                     spans[text].append({"start": int(points[starts[part[0]]] - base), "end": int(points[ends[part[-1]]] - base)})
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(score), pa.array(spans, kind)], names=["doc_id", "score", "spans"])
+            made = [*(rows.column(rows.schema.get_field_index(c)) for c in carried), pa.array(score), pa.array(spans, kind)]
+            yield pa.RecordBatch.from_arrays(made, names=[*carried, "score", "spans"])
 
     return run
 
@@ -310,14 +311,15 @@ def sample(documents: DataFrame, labels: DataFrame, label: str, train: Column, p
     return [(r["text"], int(r["y"])) for r in rows]
 
 
-def score(documents: DataFrame, model: Model) -> DataFrame:
+def score(documents: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
     """One row per row of ``documents`` (doc_id, text): doc_id, score, spans (start and end in code points of the runs of
     tokens whose marginal is at least SPAN_MARGINAL). Null and empty texts get the score of a text without tokens.
-    Other columns are ignored; repeated rows score alike."""
+    Other columns are ignored, or those of ``keep`` are handed on beside score and spans; repeated rows score alike."""
     sent = documents.sparkSession.sparkContext.broadcast(model)
-    return documents.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(
-        _scorer(sent), "doc_id long, score double, spans array<struct<start:long,end:long>>"
-    )
+    base = documents.select(*keep) if keep else documents.selectExpr("cast(doc_id as long) as doc_id", "text")
+    carried = tuple(keep or ["doc_id"])
+    fields = ", ".join(f"`{c}` {base.schema[c].dataType.simpleString()}" for c in carried)
+    return base.mapInArrow(_scorer(sent, carried), fields + ", score double, spans array<struct<start:long,end:long>>")
 
 
 def trained(documents: DataFrame, labels: DataFrame, train: Column) -> Model:
