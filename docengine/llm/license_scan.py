@@ -76,7 +76,8 @@ def rules() -> list[dict]:
     out: list[tuple[int, str, str, str, float]] = []
 
     def add(priority: int, pattern: str, keyword: str, label: str, weight: float) -> None:
-        out.append((priority, pattern.replace(" ", r"\s+"), keyword, label, weight))
+        spaced = pattern.replace("[ -]", r"[\s-]").replace(" ?", r"\s*").replace(" ", r"\s+")
+        out.append((priority, spaced, keyword, label, weight))
 
     for label, name, short, address, versions in FAMILIES:
         plain = re.escape(short)
