@@ -1,9 +1,9 @@
 """Databases of collections: versioned Parquet folders behind a pointer.
 
-A collection is a folder ``<root>/<name>/v<N>`` per version and a small ``_meta.json`` that names the current one with
-indexes, sensitive fields and the schema version. A mutation reads the current version, derives the next one as a
-DataFrame, checks it, writes it beside and then replaces the pointer, so readers see one version or the other. Writers
-take turns under one lock a database.
+A collection is a set of folders ``<root>/<name>/v<N>`` and a small ``_meta.json`` that names those of the current version
+with the schema, indexes and sensitive fields. An insert writes only its own rows, as one more folder; other mutations
+derive all rows anew. What is written is checked before the pointer is replaced, so readers see one version or the
+other. Writers take turns under one lock a database.
 """
 
 from __future__ import annotations
@@ -29,7 +29,6 @@ from docengine.operators.hooks import Context, Hooks
 from docengine.sources import files
 
 SYSTEM = ("_users", "_roles", "_triggers")
-VERSIONS_KEPT = 2
 
 
 def check_name(name: str) -> str:
@@ -121,7 +120,10 @@ class Collection:
         meta = self.meta
         if not meta["version"]:
             return self.db.spark.createDataFrame([], T.StructType([T.StructField("_id", T.StringType())]))
-        return self.db.spark.read.schema(T.StructType.fromJson(meta["schema"])).parquet(f"{self.path}/v{meta['version']}")
+        return self._read(T.StructType.fromJson(meta["schema"]), meta["parts"])
+
+    def _read(self, schema: T.StructType, parts: list[str]) -> DataFrame:
+        return self.db.spark.read.schema(schema).parquet(*(f"{self.path}/{p}" for p in parts))
 
     def get(self, id_: str):
         row = finding.get(self.df, id_).first()
@@ -146,24 +148,27 @@ class Collection:
 
     # Writing.
 
-    def _write(self, df: DataFrame) -> None:
-        """The next version: checked, written, then pointed to."""
+    def _write(self, df: DataFrame, beside: bool = False) -> None:
+        """The next version: these rows alone, or ``beside`` those that are there; checked, then pointed to."""
         meta = self.meta
         df = df.select("_id", *(paths.column(c) for c in df.columns if c != "_id"))
-        spark, version = self.db.spark, meta["version"] + 1
-        target = f"{self.path}/v{version}"
-        indexes.layout(df, self.indexes).write.mode("overwrite").parquet(target)
-        done = spark.read.schema(df.schema).parquet(target)
+        spark, part = self.db.spark, f"v{meta['version'] + 1}"
+        parts = [*meta["parts"], part] if beside else [part]
+        indexes.layout(df, self.indexes).write.mode("overwrite").parquet(f"{self.path}/{part}")
         try:
-            indexes.check_unique(done, self.indexes)
-            big = done.where(repair.size_of(done) > repair.MAX_BYTES).select("_id").first()
+            new = self._read(df.schema, [part])
+            big = new.where(repair.size_of(new) > repair.MAX_BYTES).select("_id").first()
             if big is not None:
                 raise TooLargeError(f"document {big[0]} is larger than 1 MiB")
+            indexes.check_unique(self._read(df.schema, parts), self.indexes)
         except Exception:
-            files.delete(spark, target)
+            files.delete(spark, f"{self.path}/{part}")
             raise
-        self._save_meta(version=version, schema=df.schema.jsonValue())
-        files.delete(spark, f"{self.path}/v{version - VERSIONS_KEPT}")
+        # What the last version alone still read stays for its readers until the next rewrite.
+        self._save_meta(version=meta["version"] + 1, schema=df.schema.jsonValue(), parts=parts, old=meta["parts"] if not beside else meta["old"])
+        if not beside:
+            for gone in meta["old"]:
+                files.delete(spark, f"{self.path}/{gone}")
 
     def _rows(self, docs: DataFrame | list[dict]) -> DataFrame:
         if isinstance(docs, list):
@@ -196,7 +201,11 @@ class Collection:
                 raise DuplicateKeyError(f"duplicate _id {twice.unionByName(known).first()[0]}")
             rejected = new.join(now.select("_id"), "_id", "left_semi") if good < n else None
             schema = widened(now.schema, new.schema)
-            self._write(conform(now, schema).unionByName(conform(fresh, schema)))
+            # New columns are read as null from older folders; other types need all rows anew.
+            if all(updates.same(f.dataType, schema[f.name].dataType) for f in now.schema.fields) and self.meta["version"]:
+                self._write(conform(fresh, schema), beside=True)
+            else:
+                self._write(conform(now, schema).unionByName(conform(fresh, schema)))
             self._after("insert", fresh, None)
             return WriteResult(inserted=good, rejected=rejected)
 
@@ -310,12 +319,11 @@ class Collection:
         """The current version in fewer files; older ones go."""
         with self.db.lock:
             df = self.df
-            n = partitions or max(1, files.size(self.db.spark, f"{self.path}/v{self.meta['version']}") >> 27)
+            n = partitions or max(1, self.stats()["size"] >> 27)
             self._write(df.coalesce(n))
-            current = self.meta["version"]
-            for name in files.names(self.db.spark, self.path):
-                if name.startswith("v") and name != f"v{current}":
-                    files.delete(self.db.spark, f"{self.path}/{name}")
+            for name in self.meta["old"]:
+                files.delete(self.db.spark, f"{self.path}/{name}")
+            self._save_meta(old=[])
 
     def repair(self) -> repair.Report:
         with self.db.lock:
@@ -326,7 +334,7 @@ class Collection:
 
     def stats(self) -> dict:
         meta = self.meta
-        size = files.size(self.db.spark, f"{self.path}/v{meta['version']}") if meta["version"] else 0
+        size = sum(files.size(self.db.spark, f"{self.path}/{p}") for p in meta["parts"])
         return {"ns": self.name, "count": self.count(), "nindexes": len(meta["indexes"]), "size": size, "version": meta["version"]}
 
 
@@ -399,7 +407,7 @@ class Database:
         check_name(name)
         if files.exists(self.spark, f"{self.root}/{name}/_meta.json"):
             raise ExistsError(f"collection {name} exists")
-        files.write_json(self.spark, f"{self.root}/{name}/_meta.json", {"version": 0, "schema": None, "indexes": [], "sensitive": []})
+        files.write_json(self.spark, f"{self.root}/{name}/_meta.json", {"version": 0, "schema": None, "parts": [], "old": [], "indexes": [], "sensitive": []})
         return Collection(self, name)
 
     def drop(self, name: str) -> None:
@@ -430,7 +438,7 @@ class Database:
             c, meta = self.collection(name), self.collection(name).meta
             if meta["version"]:
                 c.df.write.mode("overwrite").parquet(f"{target}/{name}/v1")
-            files.write_json(self.spark, f"{target}/{name}/_meta.json", meta | {"version": min(meta["version"], 1)})
+            files.write_json(self.spark, f"{target}/{name}/_meta.json", meta | {"version": min(meta["version"], 1), "parts": ["v1"][: meta["version"]], "old": []})
         for name in ("_triggers.json", "_security.json", "_database.json"):
             found = files.read_json(self.spark, f"{self.root}/{name}")
             if found is not None:
