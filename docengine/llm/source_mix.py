@@ -44,9 +44,10 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: float = M
     whole = W.partitionBy()
     left = F.sum("source_size").over(whole) - cap * F.coalesce(F.sum("source_size").over(before), F.lit(0))
     fair = F.greatest(left, F.lit(0.0)) / F.sum("w").over(rest)
-    placed = weighed.withColumn("fair", fair).withColumn("stops", F.col("w") * F.col("fair") >= cap * F.col("source_size"))
+    placed = weighed.withColumns({"fair": fair, "place": F.row_number().over(order)})
+    placed = placed.withColumn("stops", F.col("w") * F.col("fair") >= cap * F.col("source_size"))
     # Once a source does not stop, none after it does: all of them get the level of the first that does not stop.
-    level = F.min(F.when(~F.col("stops"), F.struct((F.col("source_size") / F.col("w")).alias("k"), "fair"))).over(whole)["fair"]
+    level = F.min(F.when(~F.col("stops"), F.struct("place", "fair"))).over(whole)["fair"]
     target = F.when(F.col("stops"), cap * F.col("source_size")).otherwise(F.col("w") * level)
     return placed.select("source", "source_size", "n", target.cast("double").alias("target"))
 

@@ -172,6 +172,12 @@ def test_mix_caps_and_null_source(spark):
     assert abs(total - 2032) < 1e-6
 
 
+def test_mix_ties(spark):
+    rows_ = [(i, "w " * 50, s) for i, s in enumerate("abcdef")]
+    got = source_mix.targets(spark.createDataFrame([(50, s) for _, _, s in rows_], "size long, source string")).collect()
+    assert {r["source"]: r["target"] for r in got} == {"a": 93.75, "d": 93.75, "b": 37.5, "e": 37.5, "c": 18.75, "f": 18.75}
+
+
 def test_tokens_against_the_library(spark, some):
     import public_tokenizers
     from tokenizers import Tokenizer
