@@ -1,8 +1,8 @@
 """Databases of collections: versioned Parquet folders behind a pointer.
 
 A collection is a set of folders ``<root>/<name>/v<N>`` and a small ``_meta.json`` that names those of the current version
-with the schema, indexes and sensitive fields. An insert writes only its own rows, as one more folder; other mutations
-derive all rows anew. What is written is checked before the pointer is replaced, so readers see one version or the
+with the schema, indexes and sensitive fields. An insert writes only its own rows, as one more folder; an update or
+delete writes the folders anew that hold a row it touches, an upsert or merge all of them. What is written is checked before the pointer is replaced, so readers see one version or the
 other. Writers take turns under one lock a database.
 """
 
@@ -148,12 +148,17 @@ class Collection:
 
     # Writing.
 
-    def _write(self, df: DataFrame, beside: bool = False) -> None:
-        """The next version: these rows alone, or ``beside`` those that are there; checked, then pointed to."""
+    def _touched(self, pick: Callable[[DataFrame], DataFrame]) -> list[str]:
+        """The folders of the rows that ``pick`` takes from the collection."""
+        named = self.df.withColumn("__part", F.regexp_extract(F.input_file_name(), r"/(v\d+)/[^/]*$", 1))
+        return [r["__part"] for r in pick(named).select("__part").distinct().collect()]
+
+    def _write(self, df: DataFrame, keep: list[str] = ()) -> None:
+        """The next version: these rows and the folders to ``keep``; checked, then pointed to."""
         meta = self.meta
         df = df.select("_id", *(paths.column(c) for c in df.columns if c != "_id"))
         spark, part = self.db.spark, f"v{meta['version'] + 1}"
-        parts = [*meta["parts"], part] if beside else [part]
+        parts = [*keep, part]
         indexes.layout(df, self.indexes).write.mode("overwrite").parquet(f"{self.path}/{part}")
         try:
             new = self._read(df.schema, [part])
@@ -165,8 +170,9 @@ class Collection:
             files.delete(spark, f"{self.path}/{part}")
             raise
         # What the last version alone still read stays for its readers until the next rewrite.
-        self._save_meta(version=meta["version"] + 1, schema=df.schema.jsonValue(), parts=parts, old=meta["parts"] if not beside else meta["old"])
-        if not beside:
+        dropped = [p for p in meta["parts"] if p not in parts]
+        self._save_meta(version=meta["version"] + 1, schema=df.schema.jsonValue(), parts=parts, old=dropped or meta["old"])
+        if dropped:
             for gone in meta["old"]:
                 files.delete(spark, f"{self.path}/{gone}")
 
@@ -201,14 +207,17 @@ class Collection:
                 raise DuplicateKeyError(f"duplicate _id {twice.unionByName(known).first()[0]}")
             rejected = new.join(now.select("_id"), "_id", "left_semi") if good < n else None
             schema = widened(now.schema, new.schema)
-            # New columns are read as null from older folders; other types need all rows anew.
-            if all(updates.same(f.dataType, schema[f.name].dataType) for f in now.schema.fields) and self.meta["version"]:
-                self._write(conform(fresh, schema), beside=True)
+            if self._reads_as(now, schema):
+                self._write(conform(fresh, schema), keep=self.meta["parts"])
             else:
                 self._write(conform(now, schema).unionByName(conform(fresh, schema)))
             self._after("insert", fresh, None)
             return WriteResult(inserted=good, rejected=rejected)
 
+    def _reads_as(self, now: DataFrame, schema: T.StructType) -> bool:
+        """Whether the folders can be read with ``schema``: new columns are null in older ones, other types are not read."""
+        return bool(self.meta["version"]) and all(updates.same(f.dataType, schema[f.name].dataType) for f in now.schema.fields)
+
     def upsert(self, docs: DataFrame | list[dict]) -> WriteResult:
         """Whole documents by id: new ones are added, old ones replaced."""
         with self.db.lock:
@@ -264,7 +273,9 @@ class Collection:
             schema = widened(now.schema, new.schema)
             modified = updates.changes(old, new).count()
             if modified:
-                self._write(conform(now.where(~here), schema).unionByName(conform(new, schema)))
+                touched = self._touched(lambda df: df.where(here)) if self._reads_as(now, schema) else self.meta["parts"]
+                base = self._read(now.schema, touched)
+                self._write(conform(base.where(~here), schema).unionByName(conform(new, schema)), keep=[p for p in self.meta["parts"] if p not in touched])
             self._after("update", new, old)
             return WriteResult(matched=matched, modified=modified)
 
@@ -296,8 +307,10 @@ class Collection:
             if n:
                 from docengine.plans.lineage import cut
 
+                touched = self._touched(lambda df: df.join(ids.select("_id"), "_id", "left_semi"))
                 gone = cut(old, "deleted")
-                self._write(now.join(gone.select("_id"), "_id", "left_anti"))
+                base = self._read(now.schema, touched)
+                self._write(base.join(gone.select("_id"), "_id", "left_anti"), keep=[p for p in self.meta["parts"] if p not in touched])
                 self._after("delete", None, gone)
             return WriteResult(deleted=n)
 
