@@ -46,7 +46,7 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def blocks(batches: Iterable[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def blocks(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = BLOCK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of the batches with their texts' bytes and offsets; a null text is empty."""
     for batch in batches:
         if not batch.num_rows:
@@ -57,7 +57,7 @@ def blocks(batches: Iterable[pa.RecordBatch], column: str = "text") -> Iterator[
         data = np.frombuffer(held, np.uint8) if held is not None and held.size else np.zeros(0, np.uint8)
         i = 0
         while i < len(texts):
-            j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + BLOCK_BYTES, "right")) - 1)
+            j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, "right")) - 1)
             yield batch.slice(i, j - i), data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
             i = j
 

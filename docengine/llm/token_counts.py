@@ -35,7 +35,9 @@ MAX_TOKENS = 2048
 #: Most pre-tokens whose piece counts are broadcast (16 bytes each).
 HEAD_TOKENS = 1 << 18
 #: Distinct pre-tokens that a task holds before it hands them on.
-FLUSH_TOKENS = 400_000
+FLUSH_TOKENS = 150_000
+#: Bytes of text handled at once: arrays over code points take some fifty times as much.
+BLOCK_BYTES = 1 << 19
 
 # The tokenizer's special strings and its pattern.
 SPECIAL = re.compile(r"<\|startoftext\|>|<\|endoftext\|>")
@@ -49,7 +51,9 @@ def tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """By code point: class once lower-cased, lower case, whether a text with it takes the slow way, a random value."""
     size = sys.maxunicode + 1
     kind = np.zeros(size, np.uint8)
-    every = "".join(chr(c) if not 0xD800 <= c < 0xE000 else "!" for c in range(size))
+    whole = np.arange(size, dtype=np.uint32)
+    whole[0xD800:0xE000] = ord("!")
+    every = whole.tobytes().decode("utf-32-le")
     for pattern, k in ((r"\p{L}+", LETTER), (r"\p{N}+", DIGIT), (r"\p{White_Space}+", SPACE)):
         for m in regex.finditer(pattern, every):
             kind[m.start() : m.end()] = k
@@ -160,7 +164,7 @@ def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = list(held.values())
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64())], names=["token", "n"])
 
-    for _, data, offsets in bw.blocks(batches):
+    for _, data, offsets in bw.blocks(batches, limit=BLOCK_BYTES):
         block = Block(data, offsets)
         keys, where, back = np.unique(block.hash, return_index=True, return_inverse=True)
         counts = np.bincount(back, minlength=len(keys))
@@ -208,7 +212,7 @@ def _pieces(path: str):
 def _frequencies(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, pieces = sent.value
-        for rows, data, offsets in bw.blocks(batches):
+        for rows, data, offsets in bw.blocks(batches, limit=BLOCK_BYTES):
             n = rows.num_rows
             block = Block(data, offsets)
             at = np.minimum(np.searchsorted(keys, block.hash), max(len(keys) - 1, 0))
