@@ -62,18 +62,20 @@ def _levels(edges: DataFrame, start: str, direction: str, depth: int, stop: str
     """Yields each level's (vertex, depth, path), the start first."""
     spark = edges.sparkSession
     links = cut(steps(edges, direction).repartition("src"), "graph-links")
-    seen = level = spark.createDataFrame([(start, 0, [start])], "vertex string, depth int, path array<string>")
+    # What is seen is the union of the levels, each a written table; there are at most MAX_DEPTH of them.
+    level = spark.createDataFrame([(start, 0, [start])], "vertex string, depth int, path array<string>")
+    seen = level.select("vertex")
     yield level
     for d in range(1, depth + 1):
-        reached = level.join(links, level["vertex"] == links["src"]).select(F.col("dst").alias("vertex"), F.concat("path", F.array("dst")).alias("path"))
-        new = reached.join(seen.select("vertex"), "vertex", "left_anti").groupBy("vertex").agg(F.min("path").alias("path"))
+        reached = level.select(F.col("vertex").alias("at"), "path").join(links, F.col("at") == F.col("src")).select(F.col("dst").alias("vertex"), F.concat("path", F.array("dst")).alias("path"))
+        new = reached.join(seen, "vertex", "left_anti").groupBy("vertex").agg(F.min("path").alias("path"))
         level = cut(new.select("vertex", F.lit(d).alias("depth"), "path"), "graph-level")
         if level.isEmpty():
             return
         yield level
         if stop is not None and not level.where(F.col("vertex") == stop).isEmpty():
             return
-        seen = cut(seen.select("vertex").unionByName(level.select("vertex")), "graph-seen")
+        seen = seen.unionByName(level.select("vertex"))
 
 
 def traverse(edges: DataFrame, start: str, *, direction: str = OUT, min_depth: int = 0, max_depth: int = 0, limit: int = 0) -> DataFrame:
