@@ -49,13 +49,22 @@ def reply_paths(messages: DataFrame) -> DataFrame:
     above = own.select(F.col("tree").alias("t"), F.col("id").alias("up"))
     state = own.join(above, (F.col("tree") == F.col("t")) & (F.col("parent") == F.col("up")), "left").select("tree", "id", "up", "score", F.array("id").alias("path"))
     state = written(state, "chat-paths")
-    while not state.where("up is not null").isEmpty():
-        on = state.select(F.col("tree").alias("t"), F.col("id").alias("i"), F.col("up").alias("up2"), F.col("score").alias("s2"), F.col("path").alias("p2"))
-        longer = state.join(on, (F.col("tree") == F.col("t")) & (F.col("up") == F.col("i")), "left")
-        state = longer.where("up is null or i is not null").select(
-            "tree", "id", F.col("up2").alias("up"), (F.col("score") + F.coalesce("s2", F.lit(0.0))).alias("score"), F.coalesce(F.concat("p2", "path"), "path").alias("path")
+    open_, done = state.where("up is not null"), [state.where("up is null")]
+    while not open_.isEmpty():
+        known = open_
+        for part in done:
+            known = known.unionByName(part)
+        on = known.select(F.col("tree").alias("t"), F.col("id").alias("i"), F.col("up").alias("up2"), F.col("score").alias("s2"), F.col("path").alias("p2"))
+        # Only paths without their root yet are joined again; what they need may be whole already.
+        longer = open_.join(on, (F.col("tree") == F.col("t")) & (F.col("up") == F.col("i"))).select(
+            "tree", "id", F.col("up2").alias("up"), (F.col("score") + F.col("s2")).alias("score"), F.concat("p2", "path").alias("path")
         )
-        state = written(state.where("up is null or not array_contains(path, up)"), "chat-paths")
+        longer = written(longer.where("up is null or not array_contains(path, up)"), "chat-paths")
+        open_ = longer.where("up is not null")
+        done.append(longer.where("up is null"))
+    state = done[0]
+    for part in done[1:]:
+        state = state.unionByName(part)
     inner = own.where("parent is not null").select("tree", F.col("parent").alias("id")).distinct()
     leaves = state.join(inner, ["tree", "id"], "left_anti")
     best = W.partitionBy("tree").orderBy(F.desc("score"), "id")
