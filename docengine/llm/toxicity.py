@@ -25,15 +25,15 @@ from docengine.llm import bytewords as bw
 from docengine.llm.spill import table
 
 #: At most so many labelled documents of each class are used to fit, of at most so many code points each.
-SAMPLE_PER_CLASS = 2000
-SAMPLE_CHARS = 20_000
+SAMPLE_PER_CLASS = 1000
+SAMPLE_CHARS = 6_000
 SLOTS = 1 << 18
 ROW = 32
 PREFIXES = (4, 5, 6)
 THRESHOLD = 0.7
 SPAN_MARGINAL = 0.5
 #: Rows of tokens to train on.
-TRAIN_ROWS = 16_000
+TRAIN_ROWS = 12_000
 STEPS = 40
 
 
@@ -73,8 +73,11 @@ def slots(keys: np.ndarray, text_of: np.ndarray) -> np.ndarray:
         same = text_of[1:] == text_of[:-1]
         before[1:] = np.where(same, keys[:-1, 0] * np.uint64(3), 0)
         after[:-1] = np.where(same, keys[1:, 0] * np.uint64(5), 0)
-    every = np.column_stack([keys, before, after])
-    return np.where(every == 0, 0, 1 + every % np.uint64(SLOTS - 1)).astype(np.int32)
+    every = [*keys.T, before, after]
+    out = np.zeros((n, len(every)), np.int32)
+    for i, c in enumerate(every):
+        out[:, i] = np.where(c == 0, 0, 1 + c % np.uint64(SLOTS - 1))
+    return out
 
 
 def rows_of(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -142,25 +145,30 @@ def seeds(keys: np.ndarray, text_of: np.ndarray, toxic: np.ndarray) -> np.ndarra
     """Keys that mark toxic documents. A key's support is the number of its different surroundings (key, word before,
     word after), so that copies of a passage count once. It is a seed if it is at least 50 times as frequent among
     toxic documents, in three of them at least, and its support would not come by chance for any of so many keys."""
-    n, width = keys.shape
+    n = len(keys)
     around = np.zeros(n, np.uint64)
     around[1:] = keys[:-1, 0]
     around[:-1] += keys[1:, 0] * np.uint64(3)
-    flat, docs = keys.ravel(), np.repeat(text_of, width)
-    real = flat > 0
-    flat, docs, place = flat[real], docs[real], bw.mixed(flat[real] + np.repeat(around, width)[real])
-    bad = toxic[docs]
-    key, group = np.unique(flat, return_inverse=True)
-
-    def support(of: np.ndarray, what: np.ndarray) -> np.ndarray:
-        once = np.unique(np.stack([group[of].astype(np.uint64), what[of].astype(np.uint64)], 1), axis=0)
-        return np.bincount(once[:, 0].astype(np.int64), minlength=len(key))
-
-    k_toxic, k_other = support(bad, place), support(~bad, place)
-    share = min(max(float(toxic[text_of].mean()), 1e-3), 0.9)
-    strong = k_toxic * -np.log(share) >= np.log(len(key)) + 3
-    pure = (k_other + 0.1) * share * 50 <= k_toxic * (1 - share)
-    return key[strong & pure & (support(bad, docs) >= 3)]
+    bad = toxic[text_of]
+    share = min(max(float(bad.mean()) if n else 0.0, 1e-3), 0.9)
+    found, distinct = [], 0
+    for kind in range(keys.shape[1]):  # one kind of key at a time, for less memory
+        real = np.flatnonzero(keys[:, kind])
+        key, group = np.unique(keys[real, kind], return_inverse=True)
+        distinct += len(key)
+        place, docs, wrong = bw.mixed(keys[real, kind] + around[real]), text_of[real], bad[real]
+
+        def support(of: np.ndarray, what: np.ndarray, group: np.ndarray = group, size: int = len(key)) -> np.ndarray:
+            pair = bw.mixed(group[of].astype(np.uint64)) ^ what[of].astype(np.uint64)
+            _, first = np.unique(pair, return_index=True)
+            return np.bincount(group[of][first], minlength=size)
+
+        k_toxic, k_other = support(wrong, place), support(~wrong, place)
+        pure = (k_other + 0.1) * share * 50 <= k_toxic * (1 - share)
+        some = pure & (support(wrong, docs) >= 3)
+        found.append((key[some], k_toxic[some]))
+    strong = lambda k: k * -np.log(share) >= np.log(max(distinct, 1)) + 3
+    return np.concatenate([key[strong(k)] for key, k in found])
 
 
 def fit(texts: list[str], labels: list[int]) -> Model:
