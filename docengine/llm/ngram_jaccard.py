@@ -11,7 +11,7 @@ last, by a count sketch of fixed size over the whole corpus, so frequent passage
 only decides how many points meet, never which links are found.
 
 Steps: (1) equal sets become one class, kept by its smallest doc_id; (2) in each prefix shingle's group every class
-meets the group's smallest one only, which joins near copies without listing their pairs; (3) links found so make
+meets the group's first one only, which joins near copies without listing their pairs; (3) links found so make
 components; (4) groups that still hold several components go through the R-tree, pages of one component against
 others; (5) components of all links. A link between classes of one component is not needed for the result, and all
 others are verified.
@@ -36,6 +36,8 @@ SHINGLE_WORDS = 5
 #: Links have 100 * intersection >= 75 * union.
 PERCENT = 75
 GROUPS = 64
+#: A count of a finer vector that stands for itself or any larger one.
+MANY = 255
 SKETCH_SLOTS = 1 << 20
 SKETCH_CHUNK = 1 << 14
 PAGE = 16
@@ -118,8 +120,13 @@ def _points(sent, k: int, percent: int):
             sums = np.zeros((len(gram) + 1, 2), np.uint64)
             np.cumsum(key, 0, out=sums[1:])
             digest = sums[bound[1:]] - sums[bound[:-1]]
-            vector = np.bincount(owner * GROUPS + (gram >> np.uint64(40)).astype(np.int64) % GROUPS, minlength=len(n) * GROUPS)
-            vector = vector.reshape(-1, GROUPS).astype("<u4")
+            group = (gram >> np.uint64(40)).astype(np.int64)
+            vector = np.bincount(owner * GROUPS + group % GROUPS, minlength=len(n) * GROUPS).reshape(-1, GROUPS).astype("<u4")
+            # Finer ones for pairs: as many groups as the set has shingles, down to a power of two.
+            wide = np.left_shift(1, np.maximum(np.frexp(np.maximum(n, 1))[1] - 1, 0)).astype(np.int64)
+            edge = np.concatenate([[0], np.cumsum(wide)])
+            counts = np.bincount(np.repeat(edge[:-1], n) + group % np.repeat(wide, n), minlength=edge[-1])
+            fine = np.minimum(counts, MANY).astype(np.uint8).tobytes()
             order = np.lexsort((gram, rank[(gram % np.uint64(SKETCH_SLOTS)).astype(np.int64)], owner))
             length = np.where(n > 0, n - -(-percent * n // 100) + 1, 0)
             inside = np.arange(len(gram)) - np.repeat(bound[:-1], n) < np.repeat(length, n)
@@ -130,9 +137,10 @@ def _points(sent, k: int, percent: int):
                     pa.array(n, pa.int64()),
                     pa.array([struct.pack("<QQ", a, b) for a, b in digest.tolist()], pa.binary()),
                     pa.array([v.tobytes() for v in vector], pa.binary()),
+                    pa.array([fine[i:j] for i, j in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)], pa.binary()),
                     pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]), pa.int32()), pa.array(prefix, pa.int64())),
                 ],
-                names=["doc_id", "n", "digest", "vector", "prefix"],
+                names=["doc_id", "n", "digest", "vector", "fine", "prefix"],
             )
 
     return run
@@ -161,9 +169,46 @@ def _verify(k: int, percent: int):
     return run
 
 
+def overlap_bound(a: bytes, b: bytes) -> int:
+    """The most shingles that sets with these finer vectors share: the larger vector is folded to the smaller one's length,
+    as both lengths are powers of two, and the smaller counts are summed."""
+    if len(a) < len(b):
+        a, b = b, a
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    many = (x == MANY).reshape(-1, len(y)).any(0)
+    x = np.where(many, np.iinfo(np.int32).max, x.reshape(-1, len(y)).sum(0, dtype=np.int64))
+    y = np.where(y == MANY, np.iinfo(np.int32).max, y.astype(np.int64))
+    return int(np.minimum(x, y).sum())
+
+
+def _bound(percent: int):
+    """Rows (a, b, na, nb, va, vb): the pairs that sizes and finer vectors allow."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            need = percent * (batch.column(2).to_numpy() + batch.column(3).to_numpy())
+            most = [overlap_bound(va.as_py(), vb.as_py()) for va, vb in zip(batch.column(4), batch.column(5), strict=True)]
+            ok = np.array(most) * (100 + percent) >= need
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(ok)) for c in (0, 1)], names=["a", "b"])
+
+    return run
+
+
+def plausible(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of points (doc_id, n, fine) whose sizes and count vectors leave a link possible."""
+    points = among(points, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    a = points.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("fine").alias("va"))
+    b = points.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("fine").alias("vb"))
+    sized = pairs.join(a, "a").join(b, "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    return sized.select("a", "b", "na", "nb", "va", "vb").mapInArrow(_bound(percent), "a long, b long")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough. Pairs of one a are dealt out over shares of SHARE."""
     shares = F.greatest(F.lit(1).cast("long"), F.ceil(F.col("n_b") / float(SHARE)))
+    texts = among(texts, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
     many = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n_b"))
     dealt = pairs.join(many, "a").select("a", F.pmod(F.xxhash64("b"), shares).alias("share"), "b")
     members = dealt.join(texts, dealt["b"] == texts["doc_id"]).select("a", "share", "b", "text")
@@ -201,7 +246,7 @@ def _tree(percent: int):
                         if p["comps"][j] != comp:
                             left.append(min(doc, p["docs"][j]))
                             right.append(max(doc, p["docs"][j]))
-                if last is None or len(last["docs"]) == PAGE:
+                if last is None or len(last["docs"]) == PAGE or 100 * last["most"] < percent * n:
                     last = {"docs": [], "comps": [], "n": [], "points": np.zeros((PAGE, GROUPS), np.int64), "top": np.zeros(GROUPS, np.int64), "least": n, "comp": comp}
                     pages.append(last)
                 last["points"][len(last["docs"])] = point
@@ -227,7 +272,7 @@ def jaccard_classes(documents: DataFrame, *, k: int = SHINGLE_WORDS, percent: in
     texts = documents.selectExpr("cast(doc_id as long) as doc_id", "text")
     rank = spark.sparkContext.broadcast(sketch(texts.select("doc_id", "text"), k))
     points = written(
-        texts.mapInArrow(_points(rank, k, percent), "doc_id long, n long, digest binary, vector binary, prefix array<long>"), "jaccard-points"
+        texts.mapInArrow(_points(rank, k, percent), "doc_id long, n long, digest binary, vector binary, fine binary, prefix array<long>"), "jaccard-points"
     )
     # Classes of equal sets, by their smallest doc_id.
     full = points.where("n > 0")
@@ -235,24 +280,24 @@ def jaccard_classes(documents: DataFrame, *, k: int = SHINGLE_WORDS, percent: in
     kept = keyed.groupBy("digest", "n").agg(F.min("doc_id").alias("rep"))
     class_of = written(keyed.join(kept, ["digest", "n"]).select("doc_id", "rep").distinct(), "jaccard-classes")
     reps = class_of.where("doc_id = rep").select("doc_id")
-    met = full.join(reps, "doc_id", "left_semi").select("doc_id", "n", F.explode("prefix").alias("tok"))
-    heads = met.groupBy("tok").agg(F.min(F.struct("n", "doc_id")).alias("head"), F.count(F.lit(1)).alias("c")).where("c > 1").select("tok", "head")
+    met = among(full, reps).select("doc_id", F.explode("prefix").alias("tok"))
+    heads = met.groupBy("tok").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("c")).where("c > 1").select("tok", "head")
     shared = written(met.join(heads, "tok"), "jaccard-shared")
 
-    enough = 100 * F.col("head.n") >= percent * F.col("n")
-    stars = shared.where(enough & (F.col("head.doc_id") != F.col("doc_id"))).select(F.col("head.doc_id").alias("a"), F.col("doc_id").alias("b"))
-    stars = written(stars.distinct(), "jaccard-stars")
+    stars = shared.where("head <> doc_id").select(F.col("head").alias("a"), F.col("doc_id").alias("b"))
+    fine = full.select("doc_id", "n", "fine")
+    stars = written(plausible(written(stars.distinct(), "jaccard-met"), fine, percent).distinct(), "jaccard-stars")
     first = written(verified(stars, texts, k, percent), "jaccard-links1")
     equal = class_of.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     comps = components(first.unionByName(equal))
 
-    marked = shared.join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("tok", "n", "doc_id", F.coalesce("component", "doc_id").alias("comp"))
+    marked = shared.join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("tok", "doc_id", F.coalesce("component", "doc_id").alias("comp"))
     open_ = marked.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("tok")
-    vectors = full.select("doc_id", "vector").dropDuplicates(["doc_id"])
-    rest = marked.join(open_, "tok").join(vectors, "doc_id").select("tok", "n", "doc_id", "comp", "vector")
+    rest = marked.join(open_, "tok").join(full.select("doc_id", "n", "vector"), "doc_id").select("tok", "n", "doc_id", "comp", "vector")
     maybe = rest.repartition("tok").sortWithinPartitions("tok", "n", "doc_id").mapInArrow(_tree(percent), "a long, b long").distinct()
     tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    maybe = written(maybe.join(tried, ["a", "b"], "left_anti"), "jaccard-maybe")
+    maybe = written(maybe.join(tried, ["a", "b"], "left_anti"), "jaccard-allowed")
+    maybe = written(plausible(maybe, fine, percent).distinct(), "jaccard-maybe")
     second = verified(maybe, texts, k, percent)
     comps = components(comps.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(second))
     return points.join(comps, points["doc_id"] == comps["node"], "left").select(

@@ -16,10 +16,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write ``df`` as Parquet to the shared folder and read it back: cuts lineage, survives lost executors. The shuffle
+    files behind it are then of no use; Spark's cleaner deletes them once the driver has collected its garbage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/llm-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -191,3 +191,38 @@ def test_signatures(spark):
     texts = ["The of quick brown fox and the lazy the dog.", "", "the the the", "a b", "alpha beta the gamma", "Le chat et la souris dans une maison"]
     frame = spark.createDataFrame([(t,) for t in texts], "text string").select(spotsigs.signatures(F.col("text")).alias("s"))
     assert [set(r["s"]) for r in frame.collect()] == [brute(t) for t in texts]
+
+
+def test_pages_lose_no_pair():
+    """The R-tree pages against all pairs of each group, with sizes that rise in steps."""
+    import pyarrow as pa
+
+    from docengine.llm import ngram_jaccard as nj
+
+    rng = np.random.default_rng(11)
+    rows = []
+    for tok in range(3):
+        base = rng.integers(0, 1 << 62, 400, dtype=np.int64)
+        sizes = sorted(int(x) for x in np.concatenate([rng.integers(5, 40, 30), rng.integers(100, 130, 30)]))
+        for i, n in enumerate(sizes):
+            keys = np.unique(np.concatenate([base[: int(n * rng.uniform(0.4, 1))], rng.integers(0, 1 << 62, 400, dtype=np.int64)])[:n])
+            vector = np.bincount((keys >> 40) % nj.GROUPS, minlength=nj.GROUPS).astype("<u4")
+            rows.append((tok, len(keys), tok * 1000 + i, int(rng.integers(5)), vector))
+    rows.sort(key=lambda r: r[:3])
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([r[c] for r in rows]) for c in range(4)] + [pa.array([r[4].tobytes() for r in rows], pa.binary())], names=["tok", "n", "doc_id", "comp", "vector"]
+    )
+    got = {(a, b) for out in nj._tree(75)(iter([batch.slice(0, 50), batch.slice(50)])) for a, b in zip(out.column(0).to_pylist(), out.column(1).to_pylist(), strict=True)}
+    want = set()
+    for x, y in itertools.combinations(rows, 2):
+        if x[0] == y[0] and x[3] != y[3] and 100 * min(x[1], y[1]) >= 75 * max(x[1], y[1]) and int(np.minimum(x[4], y[4]).sum()) * 175 >= 75 * (x[1] + y[1]):
+            want.add((min(x[2], y[2]), max(x[2], y[2])))
+    assert got == want and want
+
+
+def test_overlap_bound():
+    from docengine.llm.ngram_jaccard import MANY, overlap_bound
+
+    assert overlap_bound(bytes([1, 2, 0, 3]), bytes([2, 2])) == 3
+    assert overlap_bound(bytes([1]), bytes([0, 5, 0, 0])) == 1
+    assert overlap_bound(bytes([MANY, 0]), bytes([MANY, 3])) > 255
