@@ -104,25 +104,27 @@ def fingerprints(documents: DataFrame) -> DataFrame:
     other's (0). An only document is its own next. Other columns are ignored; an empty table gives no rows.
     """
     own = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    near = with_next(own, ["text"]).withColumn("n", F.length("text"))
+    # Each text is fingerprinted once; the next document's comes along with its text.
+    own = own.withColumn("fp", prints(F.col("text")))
+    near = with_next(own, ["text", "fp"]).withColumn("n", F.length("text"))
     half = F.floor(F.col("n") / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.col("n") - half), F.substring(F.col("next.text"), F.lit(1), half))
     made = near.withColumn("edited", edited)
-    made = made.select("doc_id", "text", "edited", "n", F.col("next.text").alias("other"), prints(F.col("text")).alias("fp"), prints(F.col("edited")).alias("efp"))
+    made = made.select("doc_id", "text", "edited", "n", "fp", prints(F.col("edited")).alias("efp"), "next")
     return made.select(
         "doc_id",
         F.col("n").cast("long").alias("n_chars"),
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         as_text(F.col("fp")).alias("fingerprint"),
         as_text(F.col("efp")).alias("edited_fingerprint"),
-        _near("text", "edited", "fp", F.col("efp")).alias("near_edited"),
-        _near("text", "other", "fp", prints(F.col("other"))).alias("near_next"),
+        _near("text", "edited", "fp", "efp").alias("near_edited"),
+        _near("text", "next.text", "fp", "next.fp").alias("near_next"),
         F.size("fp").cast("long").alias("n_signatures"),
     )
 
 
-def _near(a: str, b: str, fa: str, fb: Column) -> Column:
-    return F.when(F.col(a) == F.col(b), F.lit(1.0)).otherwise(likeness(F.col(fa), fb))
+def _near(a: str, b: str, fa: str, fb: str) -> Column:
+    return F.when(F.col(a) == F.col(b), F.lit(1.0)).otherwise(likeness(F.col(fa), F.col(fb)))
 
 
 def op9_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
