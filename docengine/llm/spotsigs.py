@@ -2,7 +2,12 @@
 
 A signature is an anchor, a common word of the text's language or the start of the text, with the next CHAIN words after
 it that are not common words. A text's fingerprint is the sorted set of the hashes of its signatures, as eight hex digits each. Two fingerprints
-are as alike as their sets' Jaccard similarity; a pair whose set lengths alone rule a likeness out is not compared.
+are as alike as their sets' Jaccard similarity.
+
+Near copies: (1) equal sets become one class; (2) each class stands under its rarest signatures, as many as one of which
+any set at least NEAR alike shares, and under its partition of set lengths, which a near set is in or next to; (3) classes
+that meet are compared only if their lengths, and what is left of both behind the signature they meet at, allow it.
+Rareness comes from a count sketch of fixed size; it decides how many classes meet, never which are found.
 
 Everything is DataFrame code: one regular expression with a zero-width match finds all chains of a text, and the next
 document of each is found in ranges of doc_id, so a text is shuffled once and no window spans the table.
@@ -10,11 +15,13 @@ document of each is found in ranges of doc_id, so a text is shuffled once and no
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from docengine.llm.spill import BROADCAST_IDS, table, written
+from docengine.llm.spill import BROADCAST_IDS, among, table, written
 
 CHAIN = 2
 #: Common words that may stand between an anchor and the words of its chain.
@@ -25,6 +32,8 @@ RANGE_ROWS = 500
 TOP_KEYS = 4096
 #: Pairs at least so alike are near copies.
 NEAR = 0.75
+#: Slots of signatures that are counted together.
+SKETCH_SLOTS = 1 << 18
 # Common words of English, French, German and Spanish.
 COMMON = """the a an and of to in is it be as at by for from with this that are was on or has had not but
 le la les un une des du de et est en que qui dans pour sur par au aux ce il elle ne pas son se
@@ -75,42 +84,116 @@ def successors(keys: DataFrame, n: int) -> DataFrame:
     return inside.join(nexts, "g", "left").select("k", F.coalesce("k2", "head").alias("k2"))
 
 
-def with_next(documents: DataFrame, payload: list[str]) -> DataFrame:
-    """Adds ``next``, a struct of the ``payload`` columns of the document that comes next in descending order of doc_id
-    (ties by text; null ids last); the last one's next is the first."""
+def with_next(documents: DataFrame, near: DataFrame) -> DataFrame:
+    """Adds ``fp``, and ``next``, a struct of text and fp of the document that comes next in descending order of doc_id
+    (ties by text; null ids last); the last one's next is the first. Each text is fingerprinted once. Adds what ``near`` (see near_rows) says of each row."""
     low, high, n = documents.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
     low, high = (low, high) if low is not None else (0, 0)
     width = max(1, (high - low + 1) * RANGE_ROWS // max(n, 1))
     key = F.coalesce(F.floor((F.col("doc_id") - low) / F.lit(width)), F.lit(-1)).cast("long")
-    ranged = documents.withColumns({"k": key, "own": F.struct(*payload)})
+    keyed = documents.withColumn("k", key)
+    ranged = with_near(keyed, near).withColumn("fp", prints(F.col("text"))).withColumn("own", F.struct("text", "fp"))
     order = W.partitionBy("k").orderBy(F.desc_nulls_last("doc_id"), "text")
     placed = ranged.withColumn("next", F.lead("own").over(order))
     # The first document of each range follows the last one of the range above.
-    tops = written(ranged.groupBy("k").agg(F.max("doc_id").alias("top")), "spotsigs-ranges")
+    tops = written(keyed.groupBy("k").agg(F.max("doc_id").alias("top")), "spotsigs-ranges")
     count = tops.count()
     few = F.broadcast(tops) if count <= BROADCAST_IDS else tops
-    heads = ranged.join(few.withColumnRenamed("k", "k1"), (F.col("k") == F.col("k1")) & F.col("doc_id").eqNullSafe(F.col("top")))
-    heads = written(heads.groupBy("k").agg(F.min_by("own", "text").alias("head")), "spotsigs-heads")
+    heads = keyed.join(few.withColumnRenamed("k", "k1"), (F.col("k") == F.col("k1")) & F.col("doc_id").eqNullSafe(F.col("top")))
+    heads = heads.groupBy("k").agg(F.min("text").alias("text")).select("k", F.struct("text", prints(F.col("text")).alias("fp")).alias("head"))
+    heads = written(heads, "spotsigs-heads")
     after = successors(tops.select("k"), count).join(heads.withColumnRenamed("k", "k2"), "k2").select("k", "head")
     return placed.join(after, "k").withColumn("next", F.coalesce("next", "head")).drop("k", "own", "head")
 
 
+def classes(sets: DataFrame) -> DataFrame:
+    """cid, n, fp, first, members of each class of rows of ``sets`` (doc_id, fp, blank) with equal sets: its smallest doc_id
+    and its number of rows. ``blank`` stands for the text of an empty set and is null elsewhere."""
+    same = sets.groupBy("fp", "blank").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("members"))
+    return written(same.select(F.monotonically_increasing_id().alias("cid"), F.size("fp").alias("n"), "fp", "blank", "first", "members"), "spotsigs-classes")
+
+
+def _ranks(own: DataFrame) -> bytes:
+    """How many classes each slot's signatures are in, as a power of two of the mean; a byte a slot."""
+    slots = own.select(F.explode("fp").alias("h")).select(F.pmod("h", F.lit(SKETCH_SLOTS)).alias("s"))
+    counted = slots.groupBy("s").agg(F.count(F.lit(1)).alias("c")).toArrow()
+    slots, counts = (counted.column(c).to_pylist() for c in ("s", "c"))
+    mean = max(1, sum(counts) // max(len(counts), 1))
+    ranks = bytearray(SKETCH_SLOTS)
+    for s, c in zip(slots, counts, strict=True):
+        ranks[s] = (c // mean).bit_length()
+    return bytes(ranks)
+
+
+def near_pairs(same: DataFrame) -> DataFrame:
+    """a, b, near of every two of the ``classes`` whose different sets are at least NEAR alike, each pair once."""
+    percent = round(100 * NEAR)
+    own = same.where("n > 0").select("cid", "n", "fp")
+    rank = F.lit(_ranks(own))
+    rarest = F.array_sort(F.transform("fp", lambda h: F.struct(F.substring(rank, F.pmod(h, F.lit(SKETCH_SLOTS)) + 1, F.lit(1)).alias("r"), h.alias("h"))))
+    # Of sets with lengths n and m that share percent of their union, each has a shared one among so many.
+    first = F.slice(rarest, F.lit(1), F.expr(f"cast(n - ceil({percent} * n / 100D) + 1 as int)"))
+    part = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent)).cast("int")
+    met = own.select("cid", "n", part.alias("part"), F.posexplode(first).alias("i", "s")).select("cid", "n", "part", "i", F.col("s.h").alias("h"))
+    met = written(met, "spotsigs-index")
+    # A class meets its own partition and the one of the next longer sets.
+    a = met.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"), "h", F.col("part").alias("home"), F.explode(F.array("part", F.col("part") + 1)).alias("part"))
+    b = met.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"), "h", "part")
+    left = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))
+    allowed = (100 * F.col("na") >= percent * F.col("nb")) & ((100 + percent) * left >= percent * (F.col("na") + F.col("nb")))
+    ordered = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
+    maybe = written(a.join(b, ["h", "part"]).where(ordered & allowed).select("a", "b").distinct(), "spotsigs-met")
+    fps = among(own.select("cid", "fp"), maybe.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), "cid")
+    pairs = maybe.join(fps.select(F.col("cid").alias("a"), F.col("fp").alias("fa")), "a").join(fps.select(F.col("cid").alias("b"), F.col("fp").alias("fb")), "b")
+    both = F.size(F.array_intersect("fa", "fb"))
+    found = pairs.select("a", "b", both.alias("both"), (F.size("fa") + F.size("fb") - both).alias("all")).where(100 * F.col("both") >= percent * F.col("all"))
+    return written(found.select("a", "b", (F.col("both") / F.col("all")).alias("near")), "spotsigs-pairs")
+
+
+def near_counts(same: DataFrame, pairs: DataFrame) -> DataFrame:
+    """cid, n_near, near_id of the classes that have near rows: how many others a row of it has, and the smallest doc_id of
+    them and itself."""
+    ends = pairs.select(F.col("a").alias("cid"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("cid"), F.col("a").alias("other")))
+    sizes = same.select(F.col("cid").alias("other"), "first", "members")
+    others = ends.join(sizes, "other").select("cid", "first", "members")
+    alone = same.where("members > 1").select("cid", "first", (F.col("members") - 1).alias("members"))
+    counted = others.unionByName(alone).groupBy("cid").agg(F.sum("members").alias("n_near"), F.min("first").alias("low"))
+    return counted.join(same.select("cid", "first"), "cid").select("cid", "n_near", F.least("low", "first").alias("near_id"))
+
+
+def near_rows(documents: DataFrame) -> DataFrame:
+    """id, t, n_near, near_id of the rows (doc_id, text) that have near rows; ``t`` is the text's hash."""
+    blank = F.when(F.size("fp") == 0, F.sha2(F.col("text").cast("binary"), 256))
+    sets = documents.select("doc_id", F.xxhash64("text").alias("t"), "text", prints(F.col("text")).alias("fp"))
+    sets = written(sets.select("doc_id", "t", "fp", blank.alias("blank")), "spotsigs-sets")
+    same = classes(sets)
+    counts = written(near_counts(same, near_pairs(same)), "spotsigs-counts")
+    named = same.join(counts, "cid").select("fp", "blank", "n_near", "near_id")
+    rows = sets.alias("x").join(named.alias("y"), (F.col("x.fp") == F.col("y.fp")) & F.col("x.blank").eqNullSafe(F.col("y.blank")))
+    return written(rows.select(F.col("x.doc_id").alias("id"), "t", "n_near", "near_id").distinct(), "spotsigs-near")
+
+
+def with_near(rows: DataFrame, near: DataFrame) -> DataFrame:
+    near = F.broadcast(near) if near.count() <= BROADCAST_IDS else near
+    joined = rows.join(near, F.col("doc_id").eqNullSafe(F.col("id")) & (F.xxhash64("text") == F.col("t")), "left").drop("id", "t")
+    return joined.withColumns({"n_near": F.coalesce("n_near", F.lit(0)).cast("long"), "near_id": F.coalesce("near_id", "doc_id")})
+
+
 def fingerprints(documents: DataFrame) -> DataFrame:
     """One row per row of ``documents`` (doc_id, text): doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
-    near_edited, near_next, n_signatures.
+    near_edited, near_next, n_near, near_id, n_signatures. ``n_near`` other rows of the table are at least NEAR alike, and
+    ``near_id`` is the smallest doc_id of them and itself; near_edited and near_next are likenesses of any height.
 
     The edited text has the last half of the code points replaced by as many of the next document's first ones. Null
     texts are empty. Texts without signatures have an empty fingerprint, which is like an equal text's (1) and like no
     other's (0). An only document is its own next. Other columns are ignored; an empty table gives no rows.
     """
     own = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    # Each text is fingerprinted once; the next document's comes along with its text.
-    own = own.withColumn("fp", prints(F.col("text")))
-    near = with_next(own, ["text", "fp"]).withColumn("n", F.length("text"))
+    near = with_next(own, near_rows(own)).withColumn("n", F.length("text"))
     half = F.floor(F.col("n") / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.col("n") - half), F.substring(F.col("next.text"), F.lit(1), half))
     made = near.withColumn("edited", edited)
-    made = made.select("doc_id", "text", "edited", "n", "fp", prints(F.col("edited")).alias("efp"), "next")
+    made = made.select("doc_id", "text", "edited", "n", "fp", prints(F.col("edited")).alias("efp"), "next", "n_near", "near_id")
     return made.select(
         "doc_id",
         F.col("n").cast("long").alias("n_chars"),
@@ -119,6 +202,8 @@ def fingerprints(documents: DataFrame) -> DataFrame:
         as_text(F.col("efp")).alias("edited_fingerprint"),
         _near("text", "edited", "fp", "efp").alias("near_edited"),
         _near("text", "next.text", "fp", "next.fp").alias("near_next"),
+        "n_near",
+        "near_id",
         F.size("fp").cast("long").alias("n_signatures"),
     )
 

@@ -210,3 +210,33 @@ def test_successors_over_ranges(spark, monkeypatch):
     got = {r["k"]: r["k2"] for r in spotsigs.successors(frame, len(keys)).collect()}
     order = sorted(keys, reverse=True)
     assert got == dict(zip(order, order[1:] + order[:1], strict=True))
+
+
+def test_near_copies_against_all_pairs(spark):
+    """Near copies far from each other in doc_id order, equal sets, texts without signatures, rows without an id."""
+    import itertools
+    import random
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("bcdfghjk") for _ in range(5))
+    docs = []
+    for n in (3, 4, 8, 20, 45):
+        base = [word() for _ in range(2 * n)]
+        for copy in range(8):
+            own = [word() if rng.random() < 0.02 * copy else w for w in base[: len(base) - copy // 3]]
+            docs.append(" the ".join(" ".join(own[i : i + 2]) for i in range(0, len(own), 2)))
+    rng.shuffle(docs)
+    docs += [docs[0].upper(), "no", "no", "", None, docs[1]]
+    rows = [(None if i == len(docs) - 1 else 3 * i, t) for i, t in enumerate(docs)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = [set(r["s"]) for r in frame.select(spotsigs.signatures(F.coalesce("text", F.lit(""))).alias("s")).collect()]
+    near = {i: set() for i in range(len(docs))}
+    for i, j in itertools.combinations(range(len(docs)), 2):
+        a, b = sets[i], sets[j]
+        if len(a & b) / len(a | b) >= spotsigs.NEAR if a and b else (docs[i] or "") == (docs[j] or ""):
+            near[i].add(j)
+            near[j].add(i)
+    assert any(abs(i - j) > 1 and sets[i] != sets[j] for i in near for j in near[i])
+    want = [(d, len(near[i]), min(x for x in [d, *(rows[j][0] for j in near[i])] if x is not None)) for i, (d, _) in enumerate(rows)]
+    got = [tuple(r) for r in spotsigs.fingerprints(frame).select("doc_id", "n_near", "near_id").collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
