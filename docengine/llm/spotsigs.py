@@ -9,7 +9,8 @@ any set at least NEAR alike shares, and under its partition of set lengths, whic
 that meet are compared only if their lengths, and what is left of both behind the signature they meet at, allow it.
 Rareness comes from a count sketch of fixed size; it decides how many classes meet, never which are found.
 
-Everything is DataFrame code: one regular expression with a zero-width match finds all chains of a text, and the next
+Everything is DataFrame code: one regular expression finds all runs of common words of a text with the chain behind each,
+which is that of every anchor in the run, so time is in proportion to the text; and the next
 document of each is found in ranges of doc_id, so a text is shuffled once and no window spans the table.
 """
 
@@ -24,8 +25,8 @@ from pyspark.sql.window import Window as W
 from docengine.llm.spill import BROADCAST_IDS, among, table, written
 
 CHAIN = 2
-#: Common words that may stand between an anchor and the words of its chain.
-GAP = 8
+#: Common words that may stand before each word of a chain: any number.
+GAP = math.inf
 #: Documents in one range of doc_id, on average.
 RANGE_ROWS = 500
 #: Keys that one window may order.
@@ -45,11 +46,15 @@ def signatures(text: Column) -> Column:
     """The distinct signatures of a text as strings, in no set order."""
     common = "|".join([r"\^", *sorted(set(COMMON))])
     words = F.concat(F.lit(" ^ "), F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
-    skip = rf"(?:(?:{common}) ){{0,{GAP}}}+"
-    chain = rf"(?<= )(?=((?:{common})(?: {skip}(?!(?:{common}) )[^ ]+){{{CHAIN}}}) )"
-    every = F.regexp_extract_all(words, F.lit(chain), F.lit(1))
-    inner = rf" (?:(?:{common}) )+"
-    return F.array_distinct(F.transform(every, lambda s: F.regexp_replace(s, inner, " ")))
+    run = rf"(?:(?:{common}) )"
+    # A run is taken whole also where the text ends before its chain does: none is tried again from its second word.
+    chain = rf"(?<= )({run}++)(?=(?:{rf'{run}*+'.join([r'([^ ]+) '] * CHAIN)})?)"
+    groups = " ".join(f"${i + 2}" for i in range(CHAIN))
+    marked = F.split(F.regexp_replace(words, F.lit(chain), F.lit(f"\n$1\t{groups}\n")), "\n")
+    every = F.filter(marked, lambda s: s.contains("\t") & ~s.endswith(" "))
+    anchors = lambda s: F.array_distinct(F.split(F.rtrim(F.substring_index(s, "\t", 1)), " "))
+    signed = F.transform(every, lambda s: F.transform(anchors(s), lambda w: F.concat_ws(" ", w, F.substring_index(s, "\t", -1))))
+    return F.array_distinct(F.flatten(signed))
 
 
 def prints(text: Column) -> Column:

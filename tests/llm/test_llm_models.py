@@ -193,6 +193,23 @@ def test_signatures(spark):
     assert [set(r["s"]) for r in frame.collect()] == [brute(t) for t in texts]
 
 
+def test_signatures_skip_all_common_words(spark):
+    """Runs of common words of any length before either word of a chain, and one that ends the text."""
+    from pyspark.sql import functions as F
+
+    common = set(spotsigs.COMMON) | {"^"}
+
+    def brute(text):
+        words = ["^", *re.sub(r"[\W_]+", " ", text.lower()).split()]
+        rest = [(i, [w for w in words[i + 1 :] if w not in common][: spotsigs.CHAIN]) for i, w in enumerate(words) if w in common]
+        return {" ".join([words[i], *chain]) for i, chain in rest if len(chain) == spotsigs.CHAIN}
+
+    run = " ".join(["of", "the", "and", "to", "in"] * 3)
+    texts = [f"{run} alpha {run} beta {run} gamma {run}", f"alpha {run} beta", "the " * 20_000, "the " * 9 + "alpha beta"]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string").select(spotsigs.signatures(F.col("text")).alias("s"))
+    assert [set(r["s"]) for r in frame.collect()] == [brute(t) for t in texts[:2]] + [set(), brute(texts[3])]
+
+
 def test_pages_lose_no_pair():
     """The R-tree pages against all pairs of each group, with sizes that rise in steps."""
     import pyarrow as pa
