@@ -25,7 +25,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest doc_id of each group of near copies. Documents without words are each a group."""
-    classes = ngram_jaccard.jaccard_classes(docs)
+    classes = ngram_jaccard.jaccard_components(docs)
     return ngram_jaccard.keep_one(docs, classes).select(*COLUMNS)
 
 

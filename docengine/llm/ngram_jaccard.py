@@ -13,8 +13,9 @@ only decides how many points meet, never which links are found.
 Steps: (1) equal sets become one class, kept by its smallest doc_id; (2) in each prefix shingle's group every class
 meets the group's first one only, which joins near copies without listing their pairs; (3) links found so make
 components; (4) groups that still hold several components go through the R-tree, pages of one component against
-others; (5) components of all links. A link between classes of one component is not needed for the result, and all
-others are verified.
+others; (5) components of the links so far, which are those of all links, as every pair of different components was
+looked at; (6) a link never leaves its component, so all links are found by intersecting every two classes of each
+component, in squares of about CHUNK by CHUNK classes that are dealt out singly.
 """
 
 from __future__ import annotations
@@ -43,6 +44,10 @@ SKETCH_CHUNK = 1 << 14
 PAGE = 16
 #: Members that one task verifies against a class at most; the class's text is sent once for each such share.
 SHARE = 512
+#: Classes of a component that are intersected with as many others in one go, on average.
+CHUNK = 256
+#: Shingles that the intersections of one go are counted over at once.
+STRIP = 4096
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -262,12 +267,57 @@ def _tree(percent: int):
     return run
 
 
-def jaccard_classes(documents: DataFrame, *, k: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
-    """One row per row of ``documents`` (doc_id, text): doc_id, n_shingles, component_id.
+def _square(ids: list[int], sides: list[int], sets: list[np.ndarray], cross: bool, percent: int) -> np.ndarray:
+    """Links (a, b), a < b, among these sets; of different sides only if ``cross``. Sets of one id are not linked."""
+    doc, side, n = np.array(ids, np.int64), np.array(sides), np.array([len(x) for x in sets], np.int64)
+    gram, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), n)
+    several = count > 1
+    at = (np.cumsum(several) - 1)[column]
+    owner, at = owner[several[column]], at[several[column]]
+    order = np.argsort(at, kind="stable")
+    owner, at = owner[order], at[order]
+    both = np.zeros((len(sets), len(sets)), np.int64)
+    for low in range(0, int(several.sum()), STRIP):
+        i, j = np.searchsorted(at, [low, low + STRIP])
+        has = np.zeros((len(sets), STRIP), np.float32)
+        has[owner[i:j], at[i:j] - low] = 1
+        both += (has @ has.T).astype(np.int64)
+    ok = (100 * both >= percent * (n[:, None] + n[None, :] - both)) & (both > 0) & (doc[:, None] < doc[None, :])
+    if cross:
+        ok &= side[:, None] != side[None, :]
+    i, j = np.nonzero(ok)
+    return np.unique(np.stack([doc[i], doc[j]], 1), axis=0)
+
+
+def _intersect(k: int, percent: int):
+    """Rows (component, lo, hi, c, doc_id, text) sorted by the first three: all links within each square."""
 
-    Null and wordless texts have 0 shingles and are a component of their own. Rows of one doc_id are one document for
-    links; each keeps its own row and count. Other columns are ignored; an empty table gives no rows.
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, ids, sides, sets = None, [], [], []
+
+        def done() -> pa.RecordBatch:
+            found = _square(ids, sides, sets, key[1] != key[2], percent)
+            return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+
+        for rows, data, offsets in bw.blocks(batches):
+            gram, bound = shingles(data, offsets, k)
+            for i, (comp, lo, hi, c, doc) in enumerate(zip(*(rows.column(x).to_pylist() for x in range(5)), strict=True)):
+                if (comp, lo, hi) != key:
+                    if key is not None:
+                        yield done()
+                    key, ids, sides, sets = (comp, lo, hi), [], [], []
+                ids.append(doc)
+                sides.append(c)
+                sets.append(gram[bound[i] : bound[i + 1]].copy())
+        if key is not None:
+            yield done()
+
+    return run
+
+
+def _grouped(documents: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Texts (doc_id, text), points, membership (doc_id, rep) of the classes of equal sets, and components (node, component)."""
     spark = documents.sparkSession
     texts = documents.selectExpr("cast(doc_id as long) as doc_id", "text")
     rank = spark.sparkContext.broadcast(sketch(texts.select("doc_id", "text"), k))
@@ -300,11 +350,57 @@ def jaccard_classes(documents: DataFrame, *, k: int = SHINGLE_WORDS, percent: in
     maybe = written(plausible(maybe, fine, percent).distinct(), "jaccard-maybe")
     second = verified(maybe, texts, k, percent)
     comps = components(comps.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(second))
+    return texts, points, class_of, comps
+
+
+def _placed(points: DataFrame, comps: DataFrame) -> DataFrame:
     return points.join(comps, points["doc_id"] == comps["node"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")
     )
 
 
+def jaccard_components(documents: DataFrame, *, k: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
+    """What jaccard_classes gives without n_links, for which not all links are needed."""
+    _, points, _, comps = _grouped(documents, k, percent)
+    return _placed(points, comps)
+
+
+def linked_pairs(texts: DataFrame, class_of: DataFrame, comps: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
+    """a, b (a < b) of every link between classes of different sets, each once, by their representatives."""
+    reps = class_of.where("doc_id = rep").join(comps, F.col("doc_id") == F.col("node")).select("doc_id", "component")
+    sizes = reps.groupBy("component").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    chunks = F.ceil(F.col("m") / float(CHUNK)).cast("int")
+    dealt = reps.join(sizes, "component").withColumn("c", F.pmod(F.xxhash64("doc_id"), chunks).cast("int"))
+    dealt = written(dealt.select("doc_id", "component", "c", chunks.alias("chunks")), "jaccard-dealt")
+    rows = among(texts, dealt.select("doc_id")).join(dealt, "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    rows = rows.select("component", F.least("c", "other").alias("lo"), F.greatest("c", "other").alias("hi"), "c", "doc_id", "text")
+    rows = rows.repartition("component", "lo", "hi").sortWithinPartitions("component", "lo", "hi")
+    return rows.mapInArrow(_intersect(k, percent), "a long, b long")
+
+
+def n_links(class_of: DataFrame, links: DataFrame) -> DataFrame:
+    """doc_id, n_links: how many other documents each is linked with, from the sizes of its class and those linked to it."""
+    sizes = class_of.groupBy("rep").agg(F.count(F.lit(1)).alias("size"))
+    ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    around = ends.join(sizes, F.col("b") == F.col("rep")).groupBy("a").agg(F.sum("size").alias("others"))
+    counted = sizes.join(around, F.col("rep") == F.col("a"), "left").select("rep", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    return class_of.join(counted, "rep").groupBy("doc_id").agg(F.sum("n_links").alias("n_links"))
+
+
+def jaccard_classes(documents: DataFrame, *, k: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
+    """One row per row of ``documents`` (doc_id, text): doc_id, n_shingles, component_id, n_links.
+
+    Null and wordless texts have 0 shingles and no links, and are a component of their own. Rows of one doc_id are one
+    document for links; each keeps its own row and count, and n_links counts by each text that the id has, so it is a
+    number of documents where ids are unique. Other columns are ignored; an empty table gives no rows.
+    """
+    texts, points, class_of, comps = _grouped(documents, k, percent)
+    links = written(linked_pairs(texts, class_of, comps, k, percent), "jaccard-links")
+    counts = n_links(class_of, links).withColumnRenamed("doc_id", "id")
+    placed = _placed(points, comps)
+    return placed.join(counts, placed["doc_id"] == counts["id"], "left").select(*placed.columns, F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
 def keep_one(documents: DataFrame, classes: DataFrame) -> DataFrame:
     """The rows of ``documents``, with all columns, that stay when one document of each component does: the one of the
     smallest doc_id, and of several rows with that id the first by text. Rows without an id are in no component and stay."""
@@ -320,7 +416,11 @@ def keep_one(documents: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_classes(table(spark, sf_dir, "documents"))
+    return jaccard_classes(table(spark, sf_dir, "documents")).drop("n_links")
+
+
+def op5_ngram_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_classes(table(spark, sf_dir, "documents")).select("doc_id", "n_links")
 
 
 def oracle(documents: str = "documents") -> str:
@@ -343,5 +443,5 @@ select d.doc_id, cast(coalesce(n.n, 0) as bigint) as n_shingles,
 from d left join n using (doc_id) left join (select doc_id, min(seen) as c from walk group by 1) m using (doc_id)"""
 
 
-QUERIES = {"op5_ngram_jaccard": op5_ngram_jaccard}
+QUERIES = {"op5_ngram_jaccard": op5_ngram_jaccard, "op5_ngram_jaccard_links": op5_ngram_jaccard_links}
 ORACLE_SQL = {"op5_ngram_jaccard": oracle()}

@@ -240,3 +240,28 @@ def test_near_copies_against_all_pairs(spark):
     want = [(d, len(near[i]), min(x for x in [d, *(rows[j][0] for j in near[i])] if x is not None)) for i, (d, _) in enumerate(rows)]
     got = [tuple(r) for r in spotsigs.fingerprints(frame).select("doc_id", "n_near", "near_id").collect()]
     assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_jaccard_counts_every_link(spark, monkeypatch):
+    """A group of many distinct near copies, some of them twice, over several squares, against all pairs."""
+    import random
+
+    monkeypatch.setattr(ngram_jaccard, "CHUNK", 4)
+    monkeypatch.setattr(ngram_jaccard, "STRIP", 16)
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    base = [word() for _ in range(120)]
+    docs = []
+    for _ in range(20):
+        copy = base[:]
+        for j in rng.sample(range(120), rng.choice([1, 2, 3])):
+            copy[j] = word()
+        docs.append(copy)
+    docs += [docs[0], docs[0], docs[3], [word() for _ in range(9)]]
+    texts = [" ".join(d) for d in docs] + ["", None]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    sets = [{tuple((t or "").split()[i : i + 5]) for i in range(len((t or "").split()) - 4)} for t in texts]
+    linked = lambda a, b: bool(a and b) and 100 * len(a & b) >= 75 * len(a | b)
+    want = {i: sum(linked(a, b) for j, b in enumerate(sets) if j != i) for i, a in enumerate(sets)}
+    assert 0 < min(want[i] for i in range(20)) < 22
+    assert {r["doc_id"]: r["n_links"] for r in ngram_jaccard.jaccard_classes(frame).collect()} == want
