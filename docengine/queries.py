@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from typing import Any
 
@@ -268,16 +269,28 @@ _array("upd_pull_all", {"$pullAll": {"tags": ["x", "y"]}}, "list_filter({t}, lam
 
 @query("upsert_replace", "SELECT c_custkey, c_name FROM customer WHERE c_custkey > 20 UNION ALL SELECT c_custkey, 'new' FROM customer WHERE c_custkey <= 20 UNION ALL SELECT c_custkey + 10000000, 'new' FROM customer WHERE c_custkey <= 20")
 def upsert_replace(spark: SparkSession, d: str) -> DataFrame:
-    now = coll(spark, d, "customer").select("_id", "c_custkey", "c_name")
-    few = now.where("c_custkey <= 20")
-    new = few.unionByName(few.withColumn("c_custkey", F.col("c_custkey") + 10000000)).withColumns({"_id": F.col("c_custkey"), "c_name": F.lit("new")})
-    return now.join(new.select("_id"), "_id", "left_anti").unionByName(new).drop("_id")
+    few = raw(spark, d, "customer").where("c_custkey <= 20").select("c_custkey")
+    return _upserted(spark, d, few)
+
+
+@query("upsert_replace_half", "SELECT c_custkey, c_name FROM customer WHERE c_custkey % 2 <> 0 UNION ALL SELECT c_custkey, 'new' FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT c_custkey + 10000000, 'new' FROM customer WHERE c_custkey % 2 = 0")
+def upsert_replace_half(spark: SparkSession, d: str) -> DataFrame:
+    return _upserted(spark, d, raw(spark, d, "customer").where("c_custkey % 2 = 0").select("c_custkey"))
+
+
+def _upserted(spark: SparkSession, d: str, keys: DataFrame) -> DataFrame:
+    """customer after an upsert of these keys, and of as many new ones, through the store."""
+    customers = _stored(spark, raw(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("_id"), "c_custkey", "c_name"), "customer")
+    new = keys.unionByName(keys.select((F.col("c_custkey") + 10000000).alias("c_custkey")))
+    customers.upsert(new.select(F.col("c_custkey").cast("string").alias("_id"), "c_custkey", F.lit("new").alias("c_name")))
+    return customers.df.drop("_id")
 
 
 @query("delete_many", "SELECT o_orderkey FROM orders WHERE NOT coalesce(o_totalprice < 100000 AND o_orderstatus = 'O', false)")
 def delete_many(spark: SparkSession, d: str) -> DataFrame:
-    df = coll(spark, d, "orders")
-    return df.where(~compile_filter({"o_totalprice": {"$lt": 100000}, "o_orderstatus": "O"}, df.schema, strict=True)).select("o_orderkey")
+    orders = _stored(spark, raw(spark, d, "orders").withColumn("_id", F.col("o_orderkey").cast("string")), "orders")
+    orders.delete({"o_totalprice": {"$lt": 100000}, "o_orderstatus": "O"})
+    return orders.df.select("o_orderkey")
 
 
 def nation_edges(spark: SparkSession, d: str) -> DataFrame:
@@ -352,6 +365,15 @@ def _scratch(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/docengine-{spark.sparkContext.applicationId}"
 
 
+def _stored(spark: SparkSession, rows: DataFrame, name: str):
+    """A collection of these rows in a scratch database of its own."""
+    from docengine.sources.store import Database
+
+    made = Database(spark, f"{_scratch(spark)}/{name}-{uuid.uuid4().hex}").create(name)
+    made.insert(rows)
+    return made
+
+
 @query("export_csv_shape", "SELECT CAST(c_custkey AS VARCHAR) AS _id, c_mktsegment, c_name, CAST(c_nationkey AS VARCHAR) AS c_nationkey, CAST(c_custkey AS VARCHAR) AS c_custkey FROM customer")
 def export_csv_shape(spark: SparkSession, d: str) -> DataFrame:
     return io.export_columns(coll(spark, d, "customer"), hidden=["c_acctbal"])
@@ -375,6 +397,13 @@ def resolve_ids(spark: SparkSession, d: str) -> DataFrame:
     return graph.resolve_ids(ids, tables).select("_id", "collection")
 
 
+@query("resolve_all_ids", "SELECT CAST(k AS VARCHAR) AS _id, CASE WHEN k IN (SELECT c_custkey FROM customer) THEN 'customer' ELSE 'part' END AS collection FROM (SELECT c_custkey AS k FROM customer UNION SELECT p_partkey FROM part)")
+def resolve_all_ids(spark: SparkSession, d: str) -> DataFrame:
+    tables = {n: coll(spark, d, n).withColumn("_id", F.col(KEYS[n]).cast("string")) for n in ("customer", "part")}
+    ids = tables["customer"].select("_id").union(tables["part"].select("_id"))
+    return graph.resolve_ids(ids, tables).select("_id", "collection")
+
+
 @query("unique_conflicts", "SELECT c_mktsegment AS key, count(*) AS n FROM customer GROUP BY 1 HAVING count(*) > 1")
 def unique_conflicts(spark: SparkSession, d: str) -> DataFrame:
     from docengine.operators.indexes import Index, conflicts

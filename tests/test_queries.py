@@ -34,3 +34,14 @@ def test_query_equals_its_sql(name, spark, sf, duck):
     want = duck.sql(queries.ORACLE_SQL[name])
     assert sorted(made.columns) == sorted(want.columns)
     assert got == rows(want.columns, want.fetchall())
+
+
+@pytest.mark.parametrize("name", ["upsert_replace", "upsert_replace_half", "delete_many"])
+def test_writes_go_through_the_store(name, spark, sf, monkeypatch):
+    from docengine.sources.store import Collection
+
+    called, what = [], name.split("_")[0]
+    real = getattr(Collection, what)
+    monkeypatch.setattr(Collection, what, lambda self, *a, **b: called.append(what) or real(self, *a, **b))
+    queries.QUERIES[name](spark, sf)
+    assert called == [what]
