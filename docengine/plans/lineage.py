@@ -6,12 +6,18 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-FALLBACK_DIR = "file:///tmp/checkpoints"
+#: Where a session on one machine names no folder, as in tests.
+LOCAL_DIR = "file:///tmp/checkpoints"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; one of this machine only where a session names none."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or FALLBACK_DIR).rstrip("/")
+    """The folder named in spark.checkpoint.dir. Only a session whose executors are threads of its driver may do without."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if spark.conf.get("spark.master", "").split("[")[0] == "local":
+        return LOCAL_DIR
+    raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
 
 
 def cut(df: DataFrame, name: str = "step") -> DataFrame:
