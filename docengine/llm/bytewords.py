@@ -75,11 +75,33 @@ def spans(member: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes."""
-    up, down = powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_TABLE[data] * up[: len(data)], out=sums[1:])
-    return mixed((sums[ends] - sums[starts]) * down[starts])
+    """A 64-bit hash of each span of bytes; the spans are in order. About BLOCK_BYTES are looked at at once, however long
+    a text or a word is."""
+    out = np.zeros(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        j = int(np.searchsorted(ends, starts[i] + BLOCK_BYTES, "right"))
+        if j <= i:
+            out[i] = _long_hash(data[starts[i] : ends[i]])
+            i += 1
+            continue
+        part = data[starts[i] : ends[j - 1]]
+        up, down = powers(len(part) + 1)
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(_TABLE[part] * up[: len(part)], out=sums[1:])
+        first = starts[i:j] - starts[i]
+        out[i:j] = (sums[ends[i:j] - starts[i]] - sums[first]) * down[first]
+        i = j
+    return mixed(out)
+
+
+def _long_hash(data: np.ndarray) -> int:
+    total = 0
+    for low in range(0, len(data), BLOCK_BYTES):
+        part = data[low : low + BLOCK_BYTES]
+        own = int((_TABLE[part] * powers(len(part))[0]).sum(dtype=np.uint64))
+        total += own * pow(_BASE, low, 1 << 64)
+    return total % (1 << 64)
 
 
 def grams(words: np.ndarray, text_of: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

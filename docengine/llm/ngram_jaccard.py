@@ -1,21 +1,28 @@
 """N-gram Jaccard join: documents whose sets of five-word shingles have a Jaccard similarity of 0.75 or more.
 
 Count vectors bound overlaps: a set's shingles are hashed into GROUPS groups, the group counts are a point, and the
-overlap of two sets is at most the sum of the smaller count in each group. Points that meet are held in small R-tree
-pages (runs of points in order of size, with the largest count of each group in the page): a page whose own bound is
-too low is skipped whole, then a point whose bound is too low, and what survives is verified on the shingle sets.
-
-Which points meet is decided by shared prefix shingles. In any one order of all shingles, two linked sets have a
-common shingle among the first n - ceil(0.75 n) + 1 of each, so every link is met; the order puts frequent shingles
-last, by a count sketch of fixed size over the whole corpus, so frequent passages do not gather documents. The order
-only decides how many points meet, never which links are found.
-
-Steps: (1) equal sets become one class, kept by its smallest doc_id; (2) in each prefix shingle's group every class
-meets the group's first one only, which joins near copies without listing their pairs; (3) links found so make
-components; (4) groups that still hold several components go through the R-tree, pages of one component against
-others; (5) components of the links so far, which are those of all links, as every pair of different components was
-looked at; (6) a link never leaves its component, so all links are found by intersecting every two classes of each
-component, in squares of about CHUNK by CHUNK classes that are dealt out singly.
+overlap of two sets is at most the sum of the smaller count in each group. Points lie in R-trees, whose nodes hold the
+largest count of each group below them and the smallest and largest set: a tree is joined with itself from the root
+down, a pair of nodes whose summed minima are too low for the smallest sets below them is left out whole, and pairs of
+points that survive are verified on the shingle sets.
+
+Which points share a tree is decided exactly, by the rarest shingles. Two linked sets have at least ceil(0.75 n) shingles
+in common, n being the larger one's number. In any one order of all shingles, the first l of these are therefore among
+the first n - ceil(0.75 n) + l of either set, its prefix; l grows with n (``least_shared``). The order puts frequent
+shingles last, by a count sketch of fixed size over the whole corpus; it decides how many points meet, never which
+links are found.
+
+Steps:
+(1) Equal sets become one class, kept by its smallest doc_id.
+(2) Prefix shingles that only one class has are dropped; a class with fewer than l others has no link, and that is most
+    classes. Every other shingle is labelled with its first class, its head.
+(3) A class goes to the trees of its heads. It may leave out those whose shingles are fewer than l in all: the heads of
+    the fewest shingles a member, in an order that is the same for all classes, so that the first head that two linked
+    classes share is left out by neither.
+(4) In each tree pairs are found and verified; a pair that meets in several trees counts in the one of the smallest head.
+    A tree of many members or long texts is dealt out in squares of one part of it against another.
+(5) Each tree gives, for every class, the documents linked with it and the smallest class that links lead to. Their sums
+    and connected components are the result; no pairs are listed, unless asked for.
 """
 
 from __future__ import annotations
@@ -31,22 +38,21 @@ from pyspark.sql.window import Window as W
 
 from docengine.llm import bytewords as bw
 from docengine.llm.components import components
-from docengine.llm.spill import among, table, written
+from docengine.llm.spill import IdFilter, Scratch, not_among, table
 
 SHINGLE_WORDS = 5
 #: Links have 100 * intersection >= 75 * union.
 PERCENT = 75
-GROUPS = 64
-#: A count of a finer vector that stands for itself or any larger one.
-MANY = 255
+GROUPS = 256
 SKETCH_SLOTS = 1 << 20
 SKETCH_CHUNK = 1 << 14
-PAGE = 16
-#: Members that one task verifies against a class at most; the class's text is sent once for each such share.
-SHARE = 512
-#: Classes of a component that are intersected with as many others in one go, on average.
-CHUNK = 256
-#: Shingles that the intersections of one go are counted over at once.
+#: A prefix is longer by one shingle for so many of its set; as many more are shared by links.
+SHARED_STEP = 20
+LEAF = 16
+#: Parts of a tree hold about so many members, and so many shingles, at most.
+PART_MEMBERS = 1024
+PART_SHINGLES = 1 << 21
+#: Shingles that intersections are counted over at once.
 STRIP = 4096
 
 
@@ -114,6 +120,19 @@ def sketch(texts: DataFrame, k: int) -> np.ndarray:
     return np.floor(np.log2(np.maximum(total / max(float(total.mean()), 1.0), 2.0))).astype(np.uint8)
 
 
+def least_shared(n):
+    """How many prefix shingles linked sets share at least, where the smaller set has n."""
+    return 1 + n // SHARED_STEP
+
+
+def digests(gram: np.ndarray, bound: np.ndarray) -> list[bytes]:
+    """128 bits of each set."""
+    key = np.stack([bw.mixed(gram), bw.mixed(gram ^ np.uint64(0xA5A5A5A5A5A5A5A5))], 1)
+    sums = np.zeros((len(gram) + 1, 2), np.uint64)
+    np.cumsum(key, 0, out=sums[1:])
+    return [struct.pack("<QQ", a, b) for a, b in (sums[bound[1:]] - sums[bound[:-1]]).tolist()]
+
+
 def _points(sent, k: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank: np.ndarray = sent.value
@@ -121,155 +140,70 @@ def _points(sent, k: int, percent: int):
             gram, bound = shingles(data, offsets, k)
             n = np.diff(bound)
             owner = np.repeat(np.arange(len(n)), n)
-            key = np.stack([bw.mixed(gram), bw.mixed(gram ^ np.uint64(0xA5A5A5A5A5A5A5A5))], 1)
-            sums = np.zeros((len(gram) + 1, 2), np.uint64)
-            np.cumsum(key, 0, out=sums[1:])
-            digest = sums[bound[1:]] - sums[bound[:-1]]
-            group = (gram >> np.uint64(40)).astype(np.int64)
-            vector = np.bincount(owner * GROUPS + group % GROUPS, minlength=len(n) * GROUPS).reshape(-1, GROUPS).astype("<u4")
-            # Finer ones for pairs: as many groups as the set has shingles, down to a power of two.
-            wide = np.left_shift(1, np.maximum(np.frexp(np.maximum(n, 1))[1] - 1, 0)).astype(np.int64)
-            edge = np.concatenate([[0], np.cumsum(wide)])
-            counts = np.bincount(np.repeat(edge[:-1], n) + group % np.repeat(wide, n), minlength=edge[-1])
-            fine = np.minimum(counts, MANY).astype(np.uint8).tobytes()
             order = np.lexsort((gram, rank[(gram % np.uint64(SKETCH_SLOTS)).astype(np.int64)], owner))
-            length = np.where(n > 0, n - -(-percent * n // 100) + 1, 0)
+            common = -(-percent * n // 100)
+            length = np.minimum(n, n - common + least_shared(n)) * (n > 0)
             inside = np.arange(len(gram)) - np.repeat(bound[:-1], n) < np.repeat(length, n)
             prefix = gram[order][inside].astype(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
                     rows.column(0),
                     pa.array(n, pa.int64()),
-                    pa.array([struct.pack("<QQ", a, b) for a, b in digest.tolist()], pa.binary()),
-                    pa.array([v.tobytes() for v in vector], pa.binary()),
-                    pa.array([fine[i:j] for i, j in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)], pa.binary()),
+                    pa.array(least_shared(common), pa.int64()),
+                    pa.array(digests(gram, bound), pa.binary()),
                     pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]), pa.int32()), pa.array(prefix, pa.int64())),
                 ],
-                names=["doc_id", "n", "digest", "vector", "fine", "prefix"],
+                names=["doc_id", "n", "need", "digest", "prefix"],
             )
 
     return run
 
 
-def _verify(k: int, percent: int):
-    """Rows (a, share, b, text) sorted by (a, share, b), where b is null with the text of a: links (a, b)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, own = None, np.zeros(0, np.uint64)
-        for rows, data, offsets in bw.blocks(batches):
-            gram, bound = shingles(data, offsets, k)
-            left, right = [], []
-            for i, (a, share, b) in enumerate(zip(*(rows.column(c).to_pylist() for c in range(3)), strict=True)):
-                mine = gram[bound[i] : bound[i + 1]]
-                if b is None:
-                    held, own = (a, share), mine
-                elif held == (a, share) and len(own) and len(mine):
-                    at = np.minimum(np.searchsorted(own, mine), len(own) - 1)
-                    both = int((own[at] == mine).sum())
-                    if 100 * both >= percent * (len(own) + len(mine) - both):
-                        left.append(a)
-                        right.append(b)
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
-
-    return run
-
-
-def overlap_bound(a: bytes, b: bytes) -> int:
-    """The most shingles that sets with these finer vectors share: the larger vector is folded to the smaller one's length,
-    as both lengths are powers of two, and the smaller counts are summed."""
-    if len(a) < len(b):
-        a, b = b, a
-    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
-    many = (x == MANY).reshape(-1, len(y)).any(0)
-    x = np.where(many, np.iinfo(np.int32).max, x.reshape(-1, len(y)).sum(0, dtype=np.int64))
-    y = np.where(y == MANY, np.iinfo(np.int32).max, y.astype(np.int64))
-    return int(np.minimum(x, y).sum())
-
-
-def _bound(percent: int):
-    """Rows (a, b, na, nb, va, vb): the pairs that sizes and finer vectors allow."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            need = percent * (batch.column(2).to_numpy() + batch.column(3).to_numpy())
-            most = [overlap_bound(va.as_py(), vb.as_py()) for va, vb in zip(batch.column(4), batch.column(5), strict=True)]
-            ok = np.array(most) * (100 + percent) >= need
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(ok)) for c in (0, 1)], names=["a", "b"])
-
-    return run
-
-
-def plausible(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of points (doc_id, n, fine) whose sizes and count vectors leave a link possible."""
-    points = among(points, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    a = points.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("fine").alias("va"))
-    b = points.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("fine").alias("vb"))
-    sized = pairs.join(a, "a").join(b, "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    return sized.select("a", "b", "na", "nb", "va", "vb").mapInArrow(_bound(percent), "a long, b long")
-
-
-def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough. Pairs of one a are dealt out over shares of SHARE."""
-    shares = F.greatest(F.lit(1).cast("long"), F.ceil(F.col("n_b") / float(SHARE)))
-    texts = among(texts, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    many = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n_b"))
-    dealt = pairs.join(many, "a").select("a", F.pmod(F.xxhash64("b"), shares).alias("share"), "b")
-    members = dealt.join(texts, dealt["b"] == texts["doc_id"]).select("a", "share", "b", "text")
-    heads = many.withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), shares - 1)))
-    heads = heads.join(texts, heads["a"] == texts["doc_id"]).select("a", "share", F.lit(None).cast("long").alias("b"), "text")
-    rows = members.unionByName(heads).repartition("a", "share").sortWithinPartitions("a", "share", F.col("b").asc_nulls_first())
-    return rows.mapInArrow(_verify(k, percent), "a long, b long")
-
-
-def _tree(percent: int):
-    """Rows (tok, n, doc_id, comp, vector) sorted by tok, n: pairs of different components that the count vectors allow."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, pages, last = None, [], None
-        for batch in batches:
-            left, right = [], []
-            cols = [batch.column(c).to_pylist() for c in range(5)]
-            for t, n, doc, comp, packed in zip(*cols, strict=True):
-                if t != tok:
-                    tok, pages, last = t, [], None
-                point = np.frombuffer(packed, "<u4").astype(np.int64)
-                # Sizes only rise: pages of sets too small for this one are done with.
-                pages = [p for p in pages if 100 * p["most"] >= percent * n]
-                for p in pages:
-                    if p["comp"] == comp:  # a page of this point's own component only
-                        continue
-                    # Overlap needed with the smallest set in the page; larger sets need more.
-                    if np.minimum(point, p["top"]).sum() * (100 + percent) < percent * (n + p["least"]):
-                        continue
-                    m = len(p["docs"])
-                    bound = np.minimum(p["points"][:m], point).sum(1)
-                    sizes = np.array(p["n"])
-                    ok = (bound * (100 + percent) >= percent * (n + sizes)) & (100 * sizes >= percent * n)
-                    for j in np.flatnonzero(ok).tolist():
-                        if p["comps"][j] != comp:
-                            left.append(min(doc, p["docs"][j]))
-                            right.append(max(doc, p["docs"][j]))
-                if last is None or len(last["docs"]) == PAGE or 100 * last["most"] < percent * n:
-                    last = {"docs": [], "comps": [], "n": [], "points": np.zeros((PAGE, GROUPS), np.int64), "top": np.zeros(GROUPS, np.int64), "least": n, "comp": comp}
-                    pages.append(last)
-                last["points"][len(last["docs"])] = point
-                last["docs"].append(doc)
-                last["comps"].append(comp)
-                last["n"].append(n)
-                last["top"] = np.maximum(last["top"], point)
-                last["most"] = n
-                if last["comp"] != comp:
-                    last["comp"] = None
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
-
-    return run
-
-
-def _square(ids: list[int], sides: list[int], sets: list[np.ndarray], cross: bool, percent: int) -> np.ndarray:
-    """Links (a, b), a < b, among these sets; of different sides only if ``cross``. Sets of one id are not linked."""
-    doc, side, n = np.array(ids, np.int64), np.array(sides), np.array([len(x) for x in sets], np.int64)
+class Tree:
+    """An R-tree over count vectors, packed by halving at the median of the group whose counts differ most."""
+
+    def __init__(self, points: np.ndarray, n: np.ndarray, at: np.ndarray | None = None):
+        self.at = np.arange(len(n)) if at is None else at
+        own = points[self.at]
+        self.top, self.least, self.most = own.max(0), int(n[self.at].min()), int(n[self.at].max())
+        self.below: list[Tree] = []
+        if len(self.at) > LEAF:
+            spread = own.max(0) - own.min(0)
+            by = n[self.at] if self.most - self.least >= spread.max() else own[:, int(spread.argmax())]
+            order = self.at[np.argsort(by, kind="stable")]
+            self.below = [Tree(points, n, half) for half in np.array_split(order, 2)]
+
+
+def plausible(points: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
+    """The pairs that the tree's bounds allow, as a symmetric matrix."""
+    ok = np.zeros((len(n), len(n)), bool)
+    root = Tree(points, n)
+    todo = [(root, root)]
+    while todo:
+        a, b = todo.pop()
+        if 100 * min(a.most, b.most) < percent * max(a.least, b.least):
+            continue
+        if int(np.minimum(a.top, b.top).sum()) * (100 + percent) < percent * (a.least + b.least):
+            continue
+        if a.below and (len(a.at) >= len(b.at) or not b.below):
+            if a is b:
+                todo += [(a.below[0], a.below[0]), (a.below[1], a.below[1]), (a.below[0], a.below[1])]
+            else:
+                todo += [(half, b) for half in a.below]
+        elif b.below:
+            todo += [(a, half) for half in b.below]
+        else:
+            bound = np.minimum(points[a.at][:, None], points[b.at][None]).sum(2, dtype=np.int64)
+            x, y = n[a.at][:, None], n[b.at][None]
+            allowed = (bound * (100 + percent) >= percent * (x + y)) & (100 * np.minimum(x, y) >= percent * np.maximum(x, y))
+            ok[np.ix_(a.at, b.at)] |= allowed
+            ok[np.ix_(b.at, a.at)] |= allowed.T
+    return ok
+
+
+def intersections(sets: list[np.ndarray]) -> np.ndarray:
+    """How many shingles every two sets share."""
+    n = np.array([len(x) for x in sets])
     gram, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     owner = np.repeat(np.arange(len(sets)), n)
     several = count > 1
@@ -280,147 +214,209 @@ def _square(ids: list[int], sides: list[int], sets: list[np.ndarray], cross: boo
     both = np.zeros((len(sets), len(sets)), np.int64)
     for low in range(0, int(several.sum()), STRIP):
         i, j = np.searchsorted(at, [low, low + STRIP])
-        has = np.zeros((len(sets), STRIP), np.float32)
+        has = np.zeros((len(sets), min(STRIP, int(several.sum()) - low)), np.float32)
         has[owner[i:j], at[i:j] - low] = 1
         both += (has @ has.T).astype(np.int64)
-    ok = (100 * both >= percent * (n[:, None] + n[None, :] - both)) & (both > 0) & (doc[:, None] < doc[None, :])
-    if cross:
-        ok &= side[:, None] != side[None, :]
-    i, j = np.nonzero(ok)
-    return np.unique(np.stack([doc[i], doc[j]], 1), axis=0)
-
-
-def _intersect(k: int, percent: int):
-    """Rows (component, lo, hi, c, doc_id, text) sorted by the first three: all links within each square."""
+    return both
+
+
+def _groups(labels: np.ndarray, ok: np.ndarray) -> np.ndarray:
+    """The smallest label that each row of a symmetric matrix reaches."""
+    while True:
+        least = np.minimum(labels, np.where(ok, labels[None, :], labels.max()).min(1))
+        if (least == labels).all():
+            return labels
+        labels = least
+
+
+class _Members:
+    """What one task holds of one tree: a part of it, or two."""
+
+    def __init__(self, crossed: bool):
+        self.crossed = crossed
+        self.doc, self.size, self.part, self.low, self.digest, self.sets = [], [], [], [], [], []
+        self.known: set[tuple[int, bytes]] = set()
+
+    def add(self, doc: int, size: int, part: int, low: list[int], digest: bytes, shingled: np.ndarray) -> None:
+        if (doc, digest) not in self.known:
+            self.known.add((doc, digest))
+            for held, x in zip((self.doc, self.size, self.part, self.low, self.digest, self.sets), (doc, size, part, low, digest, shingled), strict=True):
+                held.append(x)
+
+    def links(self, percent: int) -> np.ndarray:
+        """The links that count here, as a symmetric matrix."""
+        n, doc, part = (np.array(x, np.int64) for x in ([len(x) for x in self.sets], self.doc, self.part))
+        ok = np.ones((len(n), len(n)), bool)
+        points = np.zeros((len(n), GROUPS), np.int32)
+        for i, x in enumerate(self.sets):
+            points[i] = np.bincount((x >> np.uint64(40)).astype(np.int64) % GROUPS, minlength=GROUPS)
+        ok = plausible(points, n, percent) & (doc[:, None] != doc[None, :])
+        if self.crossed:
+            ok &= part[:, None] != part[None, :]
+        if any(self.low):
+            heads, column = np.unique(np.concatenate([np.array(x, np.int64) for x in self.low]), return_inverse=True)
+            has = np.zeros((len(n), len(heads)), np.float32)
+            has[np.repeat(np.arange(len(n)), [len(x) for x in self.low]), column] = 1
+            ok &= has @ has.T == 0
+        # Verified apart wherever no plausible pair ties them together.
+        group = _groups(np.arange(len(n)), ok)
+        for g in np.unique(group[ok.any(1)]).tolist():
+            at = np.flatnonzero(group == g)
+            both = intersections([self.sets[i] for i in at.tolist()])
+            ok[np.ix_(at, at)] &= (100 * both >= percent * (n[at][:, None] + n[at][None] - both)) & (both > 0)
+        return ok
+
+    def counts(self, percent: int) -> pa.RecordBatch:
+        ok = self.links(percent)
+        root = _groups(np.array(self.doc, np.int64), ok)
+        others = ok @ np.array(self.size, np.int64)
+        some = np.flatnonzero(ok.any(1)).tolist()
+        columns = [
+            pa.array([self.digest[i] for i in some], pa.binary()),
+            pa.array([self.doc[i] for i in some], pa.int64()),
+            pa.array(root[some], pa.int64()),
+            pa.array(others[some], pa.int64()),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names=["digest", "rep", "root", "others"])
+
+    def pairs(self, percent: int) -> pa.RecordBatch:
+        i, j = np.nonzero(self.links(percent))
+        doc = np.array(self.doc, np.int64)
+        once = doc[i] < doc[j]
+        return pa.RecordBatch.from_arrays([pa.array(doc[i][once]), pa.array(doc[j][once])], names=["a", "b"])
+
+
+def _joined(k: int, percent: int, what):
+    """Rows (head, lo, hi, rep, size, part, low, digest, text), those of one square together: what ``what`` makes of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, sides, sets = None, [], [], []
-
-        def done() -> pa.RecordBatch:
-            found = _square(ids, sides, sets, key[1] != key[2], percent)
-            return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
-
+        key, members = None, None
         for rows, data, offsets in bw.blocks(batches):
             gram, bound = shingles(data, offsets, k)
-            for i, (comp, lo, hi, c, doc) in enumerate(zip(*(rows.column(x).to_pylist() for x in range(5)), strict=True)):
-                if (comp, lo, hi) != key:
-                    if key is not None:
-                        yield done()
-                    key, ids, sides, sets = (comp, lo, hi), [], [], []
-                ids.append(doc)
-                sides.append(c)
-                sets.append(gram[bound[i] : bound[i + 1]].copy())
-        if key is not None:
-            yield done()
+            own = digests(gram, bound)
+            for i, (*square, rep, size, part, low, digest) in enumerate(zip(*(rows.column(x).to_pylist() for x in range(8)), strict=True)):
+                if square != key:
+                    if members is not None:
+                        yield what(members, percent)
+                    key, members = square, _Members(square[1] != square[2])
+                if own[i] == digest:  # else another text of the same doc_id
+                    members.add(rep, size, part, low, digest, gram[bound[i] : bound[i + 1]].copy())
+        if members is not None:
+            yield what(members, percent)
 
     return run
 
 
-def _grouped(documents: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Texts (doc_id, text), points, membership (doc_id, rep) of the classes of equal sets, and components (node, component)."""
-    spark = documents.sparkSession
-    texts = documents.selectExpr("cast(doc_id as long) as doc_id", "text")
-    rank = spark.sparkContext.broadcast(sketch(texts.select("doc_id", "text"), k))
-    points = written(
-        texts.mapInArrow(_points(rank, k, percent), "doc_id long, n long, digest binary, vector binary, fine binary, prefix array<long>"), "jaccard-points"
-    )
-    # Classes of equal sets, by their smallest doc_id.
-    full = points.where("n > 0")
-    keyed = full.select("doc_id", "n", "digest")
-    kept = keyed.groupBy("digest", "n").agg(F.min("doc_id").alias("rep"))
-    class_of = written(keyed.join(kept, ["digest", "n"]).select("doc_id", "rep").distinct(), "jaccard-classes")
-    reps = class_of.where("doc_id = rep").select("doc_id")
-    met = among(full, reps).select("doc_id", F.explode("prefix").alias("tok"))
-    heads = met.groupBy("tok").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("c")).where("c > 1").select("tok", "head")
-    shared = written(met.join(heads, "tok"), "jaccard-shared")
-
-    stars = shared.where("head <> doc_id").select(F.col("head").alias("a"), F.col("doc_id").alias("b"))
-    fine = full.select("doc_id", "n", "fine")
-    stars = written(plausible(written(stars.distinct(), "jaccard-met"), fine, percent).distinct(), "jaccard-stars")
-    first = written(verified(stars, texts, k, percent), "jaccard-links1")
-    equal = class_of.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    comps = components(first.unionByName(equal))
-
-    marked = shared.join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("tok", "doc_id", F.coalesce("component", "doc_id").alias("comp"))
-    open_ = marked.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("tok")
-    rest = marked.join(open_, "tok").join(full.select("doc_id", "n", "vector"), "doc_id").select("tok", "n", "doc_id", "comp", "vector")
-    maybe = rest.repartition("tok").sortWithinPartitions("tok", "n", "doc_id").mapInArrow(_tree(percent), "a long, b long").distinct()
-    tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    maybe = written(maybe.join(tried, ["a", "b"], "left_anti"), "jaccard-allowed")
-    maybe = written(plausible(maybe, fine, percent).distinct(), "jaccard-maybe")
-    second = verified(maybe, texts, k, percent)
-    comps = components(comps.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(second))
-    return texts, points, class_of, comps
-
-
-def _placed(points: DataFrame, comps: DataFrame) -> DataFrame:
-    return points.join(comps, points["doc_id"] == comps["node"], "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")
-    )
-
-
-def jaccard_components(documents: DataFrame, *, k: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
-    """What jaccard_classes gives without n_links, for which not all links are needed."""
-    _, points, _, comps = _grouped(documents, k, percent)
-    return _placed(points, comps)
-
-
-def linked_pairs(texts: DataFrame, class_of: DataFrame, comps: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
-    """a, b (a < b) of every link between classes of different sets, each once, by their representatives."""
-    reps = class_of.where("doc_id = rep").join(comps, F.col("doc_id") == F.col("node")).select("doc_id", "component")
-    sizes = reps.groupBy("component").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    chunks = F.ceil(F.col("m") / float(CHUNK)).cast("int")
-    dealt = reps.join(sizes, "component").withColumn("c", F.pmod(F.xxhash64("doc_id"), chunks).cast("int"))
-    dealt = written(dealt.select("doc_id", "component", "c", chunks.alias("chunks")), "jaccard-dealt")
-    rows = among(texts, dealt.select("doc_id")).join(dealt, "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    rows = rows.select("component", F.least("c", "other").alias("lo"), F.greatest("c", "other").alias("hi"), "c", "doc_id", "text")
-    rows = rows.repartition("component", "lo", "hi").sortWithinPartitions("component", "lo", "hi")
-    return rows.mapInArrow(_intersect(k, percent), "a long, b long")
-
-
-def n_links(class_of: DataFrame, links: DataFrame) -> DataFrame:
-    """doc_id, n_links: how many other documents each is linked with, from the sizes of its class and those linked to it."""
-    sizes = class_of.groupBy("rep").agg(F.count(F.lit(1)).alias("size"))
-    ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    around = ends.join(sizes, F.col("b") == F.col("rep")).groupBy("a").agg(F.sum("size").alias("others"))
-    counted = sizes.join(around, F.col("rep") == F.col("a"), "left").select("rep", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
-    return class_of.join(counted, "rep").groupBy("doc_id").agg(F.sum("n_links").alias("n_links"))
+class Join:
+    """The steps of the join over ``documents`` (doc_id, text). Rows without a doc_id have no class and no links."""
+
+    def __init__(self, documents: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERCENT):
+        self.spark, self.k, self.percent = documents.sparkSession, k, percent
+        self.scratch = Scratch(self.spark, "jaccard")
+        self.texts = documents.selectExpr("cast(doc_id as long) as doc_id", "text")
+        rank = self.spark.sparkContext.broadcast(sketch(self.texts, k))
+        kinds = "doc_id long, n long, need long, digest binary, prefix array<long>"
+        points = self.scratch.write(self.texts.mapInArrow(_points(rank, k, percent), kinds), "points")
+        keyed = points.select("doc_id", "n", "need", "digest")
+        full = keyed.where("n > 0 and doc_id is not null")
+        sizes = full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size"), F.min("n").alias("n"), F.min("need").alias("need"))
+        #: Classes of equal sets: digest, rep, size, n, need.
+        self.classes = self.scratch.write(sizes, "classes")
+        several = self.classes.where("size > 1").select("digest", "rep", "size")
+        rep = F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.coalesce("rep", "doc_id"))
+        placed = keyed.join(several, "digest", "left").select("doc_id", "n", "digest", rep.alias("rep"), F.coalesce("size", F.lit(1)).alias("size"))
+        #: One row a document: doc_id, n, digest, rep, size.
+        self.placed = self.scratch.write(placed, "placed")
+        self.squares = self._squares(points)
+
+    def _squares(self, points: DataFrame) -> DataFrame:
+        """Which part of which tree each class is in, and against which: head, lo, hi, rep, size, part, low, digest."""
+        keep = self.scratch.write
+        toks = points.where("n > 0 and doc_id is not null").select("doc_id", F.explode("prefix").alias("tok"))
+        first = toks.groupBy("tok").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("c")).where("c > 1")
+        shared = toks.join(keep(first.select("tok", "head"), "first"), "tok").select(F.col("doc_id").alias("rep"), "head")
+        counted = keep(shared.groupBy("rep", "head").agg(F.count(F.lit(1)).alias("w")), "counted")
+        self.scratch.drop("points", "first")
+        # Copies of a class share its shingles without being links: only classes go on.
+        own = W.partitionBy("rep", "digest")
+        held = counted.join(self.classes, "rep").withColumn("all", F.sum("w").over(own)).where("all >= need")
+        held = keep(held.select("rep", "digest", "size", "n", "need", "head", "w"), "held")
+        each = keep(held.groupBy("head").agg(F.count(F.lit(1)).alias("m"), F.avg("w").alias("mean")).where("m > 1"), "each")
+        worst = own.orderBy("mean", F.col("head").desc()).rowsBetween(W.unboundedPreceding, W.currentRow)
+        ranked = held.join(each, "head").withColumn("sum", F.sum("w").over(worst)).where("sum >= need")
+        heads = ranked.groupBy("rep", "digest", "size", "n").agg(F.array_sort(F.collect_list("head")).alias("heads"))
+        heads = keep(heads.withColumn("head", F.explode("heads")), "heads")
+        lowest = F.col("heads")[0]
+        trees = heads.groupBy("head").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("all"), F.min(lowest).alias("from"), F.max(lowest).alias("to"))
+        # All of a tree's members that share a smaller head are looked at there.
+        trees = trees.where("m > 1 and not (from = to and from < head)")
+        parts = F.greatest(F.ceil(F.col("m") / F.lit(float(PART_MEMBERS))), F.ceil(F.col("all") / F.lit(float(PART_SHINGLES)))).cast("int")
+        trees = keep(trees.select("head", parts.alias("parts")), "trees")
+        dealt = heads.join(trees, "head").withColumn("part", F.pmod(F.xxhash64("rep"), "parts").cast("int"))
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        low = F.filter("heads", lambda h: h < F.col("head"))
+        squares = dealt.select("head", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "rep", "size", "part", low.alias("low"), "digest")
+        squares = keep(squares, "squares")
+        self.scratch.drop("counted", "held", "each", "heads", "trees")
+        return squares
+
+    def _run(self, what, kinds: str) -> DataFrame:
+        texts = IdFilter(self.squares.select("rep")).rows(self.texts, "doc_id").withColumnRenamed("doc_id", "rep")
+        rows = self.squares.join(texts, "rep").select(*self.squares.columns, "text")
+        rows = rows.repartition("head", "lo", "hi").sortWithinPartitions("head", "lo", "hi")
+        return rows.mapInArrow(_joined(self.k, self.percent, what), kinds)
+
+    def pairs(self) -> DataFrame:
+        """a, b (a < b): every link between classes of different sets, once, by their representatives."""
+        return self._run(_Members.pairs, "a long, b long").distinct()
+
+    def classes_linked(self) -> DataFrame:
+        """One row a document: doc_id, n_shingles, component_id, n_links."""
+        linked = self.scratch.write(self._run(_Members.counts, "digest binary, rep long, root long, others long"), "linked")
+        equal = self.placed.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+        comps = components(linked.select(F.col("rep").alias("a"), F.col("root").alias("b")).unionByName(equal))
+        others = linked.groupBy("digest").agg(F.sum("others").alias("others"))
+        counted = self.placed.join(others, "digest", "left")
+        n_links = F.when(F.col("rep").isNotNull(), F.col("size") - 1 + F.coalesce("others", F.lit(0))).otherwise(0)
+        placed = counted.select("doc_id", "n", n_links.cast("long").alias("n_links")).join(comps, F.col("doc_id") == F.col("node"), "left")
+        return placed.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), "n_links")
 
 
 def jaccard_classes(documents: DataFrame, *, k: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
     """One row per row of ``documents`` (doc_id, text): doc_id, n_shingles, component_id, n_links.
 
     Null and wordless texts have 0 shingles and no links, and are a component of their own. Rows of one doc_id are one
-    document for links; each keeps its own row and count, and n_links counts by each text that the id has, so it is a
-    number of documents where ids are unique. Other columns are ignored; an empty table gives no rows.
+    document for components; each keeps its own row and count. n_links is the number of other rows that a row's set is
+    linked with, those of its own doc_id left out only where their sets differ. Rows without a doc_id have no links and
+    a null component. Other columns are ignored; an empty table gives no rows.
     """
-    texts, points, class_of, comps = _grouped(documents, k, percent)
-    links = written(linked_pairs(texts, class_of, comps, k, percent), "jaccard-links")
-    counts = n_links(class_of, links).withColumnRenamed("doc_id", "id")
-    placed = _placed(points, comps)
-    return placed.join(counts, placed["doc_id"] == counts["id"], "left").select(*placed.columns, F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return Join(documents, k, percent).classes_linked()
+
+
+def linked_pairs(documents: DataFrame, *, k: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
+    """a, b (a < b) of every link between classes of different sets, by the smallest doc_id of each class; the members of
+    a class are the rows of one text. The table has as many rows as there are links, which may be the square of a group."""
+    return Join(documents, k, percent).pairs()
 
 
 def keep_one(documents: DataFrame, classes: DataFrame) -> DataFrame:
     """The rows of ``documents``, with all columns, that stay when one document of each component does: the one of the
     smallest doc_id, and of several rows with that id the first by text. Rows without an id are in no component and stay."""
-    classes = written(classes.select("doc_id", "component_id"), "jaccard-kept")
-    stay = classes.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("c"))
-    kept = among(documents, stay.select("doc_id"))
-    several = written(stay.where("c > 1").select("doc_id"), "jaccard-several")
-    if not several.isEmpty():
-        first = W.partitionBy("doc_id").orderBy("text")
-        once = kept.join(several, "doc_id", "left_semi").withColumn("_row", F.row_number().over(first)).where("_row = 1").drop("_row")
-        kept = kept.join(several, "doc_id", "left_anti").unionByName(once)
-    return kept.unionByName(documents.where("doc_id is null"))
+    scratch = Scratch(documents.sparkSession, "jaccard-kept")
+    classes = scratch.write(classes.select("doc_id", "component_id"), "classes").where("doc_id is not null")
+    gone = scratch.write(classes.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
+    several = scratch.write(classes.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("doc_id"), "several")
+    kept = not_among(documents, gone)
+    if several.isEmpty():
+        return kept
+    first = W.partitionBy("doc_id").orderBy("text")
+    once = kept.join(several, "doc_id", "left_semi").withColumn("_row", F.row_number().over(first)).where("_row = 1").drop("_row")
+    return kept.join(several, "doc_id", "left_anti").unionByName(once)
 
 
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_classes(table(spark, sf_dir, "documents")).drop("n_links")
-
-
-def op5_ngram_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_classes(table(spark, sf_dir, "documents")).select("doc_id", "n_links")
+    """Contract columns and n_links of jaccard_classes over all of ``documents``."""
+    return jaccard_classes(table(spark, sf_dir, "documents"))
 
 
 def oracle(documents: str = "documents") -> str:
@@ -439,9 +435,10 @@ p as (select x.doc_id as a, y.doc_id as b, count(*) as shared from s x join s y
 e as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * p.shared >= {PERCENT} * (x.n + y.n - p.shared)),
 walk(doc_id, seen) as (select a, a from e union select walk.doc_id, e.b from walk join e on e.a = walk.seen)
 select d.doc_id, cast(coalesce(n.n, 0) as bigint) as n_shingles,
-  cast(least(d.doc_id, coalesce(m.c, d.doc_id)) as bigint) as component_id
-from d left join n using (doc_id) left join (select doc_id, min(seen) as c from walk group by 1) m using (doc_id)"""
+  cast(least(d.doc_id, coalesce(m.c, d.doc_id)) as bigint) as component_id, cast(coalesce(l.n_links, 0) as bigint) as n_links
+from d left join n using (doc_id) left join (select doc_id, min(seen) as c from walk group by 1) m using (doc_id)
+  left join (select a as doc_id, count(*) as n_links from e group by 1) l using (doc_id)"""
 
 
-QUERIES = {"op5_ngram_jaccard": op5_ngram_jaccard, "op5_ngram_jaccard_links": op5_ngram_jaccard_links}
+QUERIES = {"op5_ngram_jaccard": op5_ngram_jaccard}
 ORACLE_SQL = {"op5_ngram_jaccard": oracle()}

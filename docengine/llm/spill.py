@@ -1,41 +1,110 @@
-"""Intermediate tables in the shared folder that the cluster names in ``spark.checkpoint.dir``."""
+"""Intermediate tables in the folder that the cluster shares, and a filter of ids that spares shuffles."""
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-#: Used only where a session names no folder, as in tests on one machine.
-FALLBACK_DIR = "file:///tmp/checkpoints"
+from docengine.llm import bytewords as bw
+from docengine.plans.lineage import shared_dir
+from docengine.sources import files
 
 
-def shared_dir(spark: SparkSession) -> str:
-    named = spark.conf.get("spark.checkpoint.dir", None) or FALLBACK_DIR
-    return named.rstrip("/")
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it back: cuts lineage, survives lost executors."""
+    return Scratch(df.sparkSession, name).write(df, "table")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: cuts lineage, survives lost executors. The shuffle
-    files behind it are then of no use; Spark's cleaner deletes them once the driver has collected its garbage."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/llm-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+class Scratch:
+    """Tables of one job in a folder of their own, each dropped as soon as what is made from it is written."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark = spark
+        self.path = f"{shared_dir(spark)}/llm-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{self.path}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            files.delete(self.spark, f"{self.path}/{name}")
+
+
+#: Bits of the filter of ids that is sent to every executor: 8 MiB, however many ids there are.
+FILTER_BITS = 1 << 26
+FILTER_CHUNK = 1 << 17  # bytes
+
+
+def _slots(ids: pa.Array) -> np.ndarray:
+    return (bw.mixed(ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) % np.uint64(FILTER_BITS)).astype(np.int64)
+
 
+def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    for batch in batches:
+        at = _slots(batch.column(0))
+        np.bitwise_or.at(bits, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+    chunks = bits.reshape(-1, FILTER_CHUNK)
+    yield from _chunks({i: chunks[i] for i in np.flatnonzero(chunks.any(1)).tolist()})
 
-#: Most ids that are sent to every executor at once.
-BROADCAST_IDS = 1_000_000
+
+def _chunks(held: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    for i, c in held.items():
+        yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([c.tobytes()], pa.binary())], names=["chunk", "bits"])
+
+
+def _join_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for i, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            got = np.frombuffer(c, np.uint8)
+            held[i] = held[i] | got if i in held else got
+    yield from _chunks(held)
+
+
+class IdFilter:
+    """A set of bits for hashed ids, of fixed size, made on the executors. A row it lets through may still not be meant;
+    one it holds back is surely not. The more ids, the more it lets through: it spares a shuffle or it does not, and
+    never decides a result."""
+
+    def __init__(self, ids: DataFrame):
+        spark = ids.sparkSession
+        marked = ids.select(F.col(ids.columns[0]).cast("long").alias("id")).mapInArrow(_mark, "chunk int, bits binary")
+        bits = np.zeros(FILTER_BITS // 8, np.uint8)
+        for row in marked.repartition("chunk").mapInArrow(_join_chunks, "chunk int, bits binary").toLocalIterator():
+            bits[row["chunk"] * FILTER_CHUNK :][:FILTER_CHUNK] = np.frombuffer(row["bits"], np.uint8)
+        self.sent = spark.sparkContext.broadcast(bits)
+
+    def rows(self, df: DataFrame, key: str, *, hit: bool = True) -> DataFrame:
+        """Rows of ``df`` that may be meant, or those that surely are not. A null key is never meant."""
+        sent, at = self.sent, df.columns.index(key)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bits = sent.value
+            for batch in batches:
+                slots = _slots(batch.column(at).cast(pa.int64()))
+                there = (bits[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 > 0
+                there &= batch.column(at).is_valid().to_numpy(zero_copy_only=False)
+                yield batch.filter(pa.array(there if hit else ~there))
+
+        return df.mapInArrow(run, df.schema)
 
 
 def among(df: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Rows of ``df`` whose key is in ``ids`` (one column of that name). The ids are written once and counted: up to
-    BROADCAST_IDS of them are broadcast so that ``df`` is not shuffled; more are joined with a shuffle."""
-    from pyspark.sql.functions import broadcast
+    """Rows of ``df`` whose key is in ``ids`` (one column of that name): what the filter lets through is joined."""
+    return IdFilter(ids).rows(df, key).join(ids, key, "left_semi")
+
 
-    ids = written(ids, "ids")
-    return df.join(broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, "left_semi")
+def not_among(df: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Rows of ``df`` whose key is not in ``ids``, or null: only what the filter lets through needs a join."""
+    found = IdFilter(ids)
+    return found.rows(df, key, hit=False).unionByName(found.rows(df, key).join(ids, key, "left_anti"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

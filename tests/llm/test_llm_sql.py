@@ -203,20 +203,29 @@ def test_next_documents_and_edits(spark, texts, some):
         assert got[i][0]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
 
 
-def test_successors_over_ranges(spark, monkeypatch):
-    monkeypatch.setattr(spotsigs, "TOP_KEYS", 4)
-    keys = [1, 2, 3, 50, 51, 90, 91, 92, 93, 94, 500, 7000, 7001]
-    frame = spark.createDataFrame([(k,) for k in keys], "k long")
-    got = {r["k"]: r["k2"] for r in spotsigs.successors(frame, len(keys)).collect()}
-    order = sorted(keys, reverse=True)
-    assert got == dict(zip(order, order[1:] + order[:1], strict=True))
+@pytest.mark.parametrize("per_range", [3, 1000])
+def test_next_documents_of_any_ids(spark, monkeypatch, per_range):
+    """Ids far apart, of both signs, repeated and null; in several ranges and in one."""
+    monkeypatch.setattr(spotsigs, "RANGE_ROWS", per_range)
+    ids = [0, 1 << 60, -(1 << 63), (1 << 63) - 1, 5, 5, 6, 7, -3, *range(100, 120), None, None]
+    rows = [(i, f"the text {n} of words number{n} and more like {n * 7}") for n, i in enumerate(ids)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    want = set()
+    for (i, t), (_, after) in zip(order, order[1:] + order[:1], strict=True):
+        half = len(t) // 2
+        want.add((i, hashlib.sha256((t[: len(t) - half] + after[:half]).encode()).hexdigest()))
+    assert {(r["doc_id"], r["edited_sha256"]) for r in spotsigs.fingerprints(frame).collect()} == want
+    assert [tuple(r) for r in spotsigs.fingerprints(frame.where("doc_id = 6")).select("doc_id", "near_next").collect()] == [(6, 1.0)]
 
 
-def test_near_copies_against_all_pairs(spark):
+@pytest.mark.parametrize("members", [4, 64])
+def test_near_copies_against_all_pairs(spark, monkeypatch, members):
     """Near copies far from each other in doc_id order, equal sets, texts without signatures, rows without an id."""
     import itertools
     import random
 
+    monkeypatch.setattr(spotsigs, "PART_MEMBERS", members)
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("bcdfghjk") for _ in range(5))
     docs = []
@@ -246,7 +255,7 @@ def test_jaccard_counts_every_link(spark, monkeypatch):
     """A group of many distinct near copies, some of them twice, over several squares, against all pairs."""
     import random
 
-    monkeypatch.setattr(ngram_jaccard, "CHUNK", 4)
+    monkeypatch.setattr(ngram_jaccard, "PART_MEMBERS", 4)
     monkeypatch.setattr(ngram_jaccard, "STRIP", 16)
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
@@ -265,3 +274,48 @@ def test_jaccard_counts_every_link(spark, monkeypatch):
     want = {i: sum(linked(a, b) for j, b in enumerate(sets) if j != i) for i, a in enumerate(sets)}
     assert 0 < min(want[i] for i in range(20)) < 22
     assert {r["doc_id"]: r["n_links"] for r in ngram_jaccard.jaccard_classes(frame).collect()} == want
+    first = {i: min(j for j, b in enumerate(sets) if b == a) for i, a in enumerate(sets)}
+    pairs = {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if i < j and a != b and linked(a, b) and first[i] == i and first[j] == j}
+    assert {tuple(r) for r in ngram_jaccard.linked_pairs(frame).collect()} == pairs
+
+
+def test_jaccard_of_a_large_group(spark, monkeypatch):
+    """Many families of near copies of all sizes with a passage that all texts share, repeated ids, null ids: every row
+    against all pairs."""
+    import random
+
+    monkeypatch.setattr(ngram_jaccard, "PART_MEMBERS", 16)
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(3))
+    passage = [word() for _ in range(30)]
+    docs = []
+    for n in (1, 3, 6, 9, 14, 25, 60, 150):
+        base = [word() for _ in range(n)] + (passage if n > 20 else [])
+        for _ in range(30 if n != 60 else 120):
+            own = [word() if rng.random() < 0.03 else w for w in base][: len(base) - rng.randrange(3)]
+            docs.append(own)
+    rng.shuffle(docs)
+    rows = [(i, " ".join(d)) for i, d in enumerate(docs)]
+    rows += [(5, rows[9][1]), (None, rows[7][1]), (7, rows[7][1])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def shingled(t):
+        w = t.split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets = [shingled(t) for _, t in rows]
+    ids = [i for i, _ in rows]
+    root = {i: i for i in ids if i is not None}
+    n_links = [0] * len(rows)
+    edges = []
+    for i in range(len(rows)):
+        for j in range(len(rows)):
+            if i != j and None not in (ids[i], ids[j]) and sets[i] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                edges.append((ids[i], ids[j]))
+                n_links[i] += ids[i] != ids[j] or sets[i] == sets[j]
+    for _ in range(20):
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    want = sorted(((ids[i], len(sets[i]), root.get(ids[i]), n_links[i]) for i in range(len(rows))), key=repr)
+    got = sorted((tuple(r) for r in ngram_jaccard.jaccard_classes(frame).collect()), key=repr)
+    assert got == want
