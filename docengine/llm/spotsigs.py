@@ -1,40 +1,45 @@
 """Document fingerprints: SpotSigs.
 
 A signature is an anchor, a common word of the text's language or the start of the text, with the next CHAIN words after
-it that are not common words. A text's fingerprint is the sorted set of the hashes of its signatures, as eight hex digits each. Two fingerprints
-are as alike as their sets' Jaccard similarity.
+it that are not common words. A text's fingerprint is the sorted set of the hashes of its signatures, as eight hex digits
+each. Two fingerprints are as alike as their sets' Jaccard similarity.
 
-Near copies: (1) equal sets become one class; (2) each class stands under its rarest signatures, as many as one of which
-any set at least NEAR alike shares, and under its partition of set lengths, which a near set is in or next to; (3) classes
-that meet are compared only if their lengths, and what is left of both behind the signature they meet at, allow it.
-Rareness comes from a count sketch of fixed size; it decides how many classes meet, never which are found.
+Near copies, over all rows: (1) equal sets become one class; (2) a class stands under its rarest signatures, a prefix in
+an order that puts frequent ones last, of which two near sets share l at least (``least_shared``); a class with fewer than l
+that others have too is done with. Each shared signature is labelled with its first row, its head, and a class leaves out
+the weakest heads whose signatures are fewer than l in all; (3) the classes of a head are partitioned by set length, so
+that a near set lies in the same partition or the next, and a partition is dealt out in parts of a bounded size; (4) each
+part is compared with the others by Jaccard similarity, pruned by set length first. Rareness comes from a count sketch of
+fixed size; it decides how many classes meet, never which are found.
 
 Everything is DataFrame code: one regular expression finds all runs of common words of a text with the chain behind each,
-which is that of every anchor in the run, so time is in proportion to the text; and the next
-document of each is found in ranges of doc_id, so a text is shuffled once and no window spans the table.
+which is that of every anchor in the run, so time is in proportion to the text; and the next document of each is found in
+ranges of doc_id of about equal numbers of rows, so a text is shuffled once and no window spans the table.
 """
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from docengine.llm.spill import BROADCAST_IDS, among, table, written
+from docengine.llm.spill import Scratch, table
 
 CHAIN = 2
-#: Common words that may stand before each word of a chain: any number.
-GAP = math.inf
-#: Documents in one range of doc_id, on average.
+#: Documents in one range of doc_id on average, and the most ranges.
 RANGE_ROWS = 500
-#: Keys that one window may order.
-TOP_KEYS = 4096
+MAX_RANGES = 4096
 #: Pairs at least so alike are near copies.
 NEAR = 0.75
 #: Slots of signatures that are counted together.
-SKETCH_SLOTS = 1 << 18
+SKETCH_SLOTS = 1 << 16
+#: A prefix is longer by one signature for so many of its set; as many more are shared by near sets.
+SHARED_STEP = 20
+#: Classes of one head and length partition that are compared with as many others in one go, on average.
+PART_MEMBERS = 64
 # Common words of English, French, German and Spanish.
 COMMON = """the a an and of to in is it be as at by for from with this that are was on or has had not but
 le la les un une des du de et est en que qui dans pour sur par au aux ce il elle ne pas son se
@@ -42,15 +47,27 @@ der die das den dem ein eine und ist zu von mit auf im nicht sich des als auch e
 el los las una del y que por con para su no al lo como""".split()
 
 
+
+def trie(words: list[str]) -> str:
+    """A regular expression for any of the words, by common beginnings; a word that goes on is preferred."""
+    below: dict[str, list[str]] = {}
+    for w in words:
+        below.setdefault(w[:1], []).append(w[1:])
+    parts = [(r"\^" if c == "^" else c) + trie(rest) for c, rest in sorted(below.items()) if c]
+    if not parts:
+        return ""
+    body = parts[0] if len(parts) == 1 and "" not in below else f"(?:{'|'.join(parts)})"
+    return f"{body}?" if "" in below else body
+
+
 def signatures(text: Column) -> Column:
     """The distinct signatures of a text as strings, in no set order."""
-    common = "|".join([r"\^", *sorted(set(COMMON))])
-    words = F.concat(F.lit(" ^ "), F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
-    run = rf"(?:(?:{common}) )"
+    words = F.concat(F.lit(" ^ "), F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]++", " ")), F.lit(" "))
+    run = rf"(?:{trie(sorted({'^', *COMMON}))} )"
     # A run is taken whole also where the text ends before its chain does: none is tried again from its second word.
-    chain = rf"(?<= )({run}++)(?=(?:{rf'{run}*+'.join([r'([^ ]+) '] * CHAIN)})?)"
+    chain = rf" ({run}++)(?=(?:{rf'{run}*+'.join([r'([^ ]++) '] * CHAIN)})?)"
     groups = " ".join(f"${i + 2}" for i in range(CHAIN))
-    marked = F.split(F.regexp_replace(words, F.lit(chain), F.lit(f"\n$1\t{groups}\n")), "\n")
+    marked = F.split(F.regexp_replace(words, F.lit(chain), F.lit(f" \n$1\t{groups}\n")), "\n")
     every = F.filter(marked, lambda s: s.contains("\t") & ~s.endswith(" "))
     anchors = lambda s: F.array_distinct(F.split(F.rtrim(F.substring_index(s, "\t", 1)), " "))
     signed = F.transform(every, lambda s: F.transform(anchors(s), lambda w: F.concat_ws(" ", w, F.substring_index(s, "\t", -1))))
@@ -72,116 +89,140 @@ def as_text(hashes: Column) -> Column:
     return F.array_join(F.transform(hashes, lambda h: F.lpad(F.lower(F.hex(h.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))), 8, "0")), "")
 
 
-def successors(keys: DataFrame, n: int) -> DataFrame:
-    """k, k2 for distinct long keys ``k``: the next smaller key, the largest one after the smallest. ``n`` is their number
-    at most. More than TOP_KEYS keys are ordered in ranges of about as many, and the ranges by this function again."""
-    if n <= TOP_KEYS:
-        order = W.orderBy(F.desc("k"))
-        whole = order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-        return keys.select("k", F.coalesce(F.lead("k").over(order), F.first("k").over(whole)).alias("k2"))
-    low, high = keys.agg(F.min("k"), F.max("k")).first()
-    width = max(2, (high - low + 1) * TOP_KEYS // n)
-    ranged = keys.withColumn("g", F.floor((F.col("k") - low) / width))
-    inside = ranged.withColumn("k2", F.lead("k").over(W.partitionBy("g").orderBy(F.desc("k"))))
-    heads = written(ranged.groupBy("g").agg(F.max("k").alias("head")), "successor-heads")
-    following = successors(heads.select(F.col("g").alias("k")), heads.count())
-    nexts = following.join(heads, following["k2"] == heads["g"]).select(F.col("k").alias("g"), "head")
-    return inside.join(nexts, "g", "left").select("k", F.coalesce("k2", "head").alias("k2"))
+def range_of(documents: DataFrame) -> Column:
+    """The range of each row's doc_id, from 0 with the smallest ids; -1 for no id. Ranges are cut at approximate quantiles,
+    so that they hold about as many rows each, however far ids lie apart."""
+    rows = documents.count()
+    ranges = min(MAX_RANGES, max(1, rows // RANGE_ROWS))
+    bounds: list[int] = []
+    if ranges > 1:
+        at = ", ".join(f"{i / ranges}D" for i in range(1, ranges))
+        found = documents.select(F.expr(f"percentile_approx(doc_id, array({at}), {4 * ranges})")).first()[0]
+        bounds = sorted(set(found or []))
+    # How many bounds are at most doc_id, by halving.
+    listed = f"from_json('{json.dumps(bounds)}', 'array<bigint>')"
+    half = "((s.lo + s.hi) div 2)"
+    step = f"if(element_at({listed}, cast({half} + 1 as int)) <= doc_id, named_struct('lo', {half} + 1L, 'hi', s.hi), named_struct('lo', s.lo, 'hi', {half}))"
+    found = f"aggregate(sequence(1, {len(bounds).bit_length()}), named_struct('lo', 0L, 'hi', {len(bounds)}L), (s, i) -> if(s.lo >= s.hi, s, {step}), s -> s.lo)"
+    return F.expr(f"if(doc_id is null, -1L, {found if bounds else '0L'})")
 
 
 def with_next(documents: DataFrame, near: DataFrame) -> DataFrame:
     """Adds ``fp``, and ``next``, a struct of text and fp of the document that comes next in descending order of doc_id
-    (ties by text; null ids last); the last one's next is the first. Each text is fingerprinted once. Adds what ``near`` (see near_rows) says of each row."""
-    low, high, n = documents.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
-    low, high = (low, high) if low is not None else (0, 0)
-    width = max(1, (high - low + 1) * RANGE_ROWS // max(n, 1))
-    key = F.coalesce(F.floor((F.col("doc_id") - low) / F.lit(width)), F.lit(-1)).cast("long")
-    keyed = documents.withColumn("k", key)
-    ranged = with_near(keyed, near).withColumn("fp", prints(F.col("text"))).withColumn("own", F.struct("text", "fp"))
-    order = W.partitionBy("k").orderBy(F.desc_nulls_last("doc_id"), "text")
-    placed = ranged.withColumn("next", F.lead("own").over(order))
-    # The first document of each range follows the last one of the range above.
-    tops = written(keyed.groupBy("k").agg(F.max("doc_id").alias("top")), "spotsigs-ranges")
-    count = tops.count()
-    few = F.broadcast(tops) if count <= BROADCAST_IDS else tops
-    heads = keyed.join(few.withColumnRenamed("k", "k1"), (F.col("k") == F.col("k1")) & F.col("doc_id").eqNullSafe(F.col("top")))
-    heads = heads.groupBy("k").agg(F.min("text").alias("text")).select("k", F.struct("text", prints(F.col("text")).alias("fp")).alias("head"))
-    heads = written(heads, "spotsigs-heads")
-    after = successors(tops.select("k"), count).join(heads.withColumnRenamed("k", "k2"), "k2").select("k", "head")
-    return placed.join(after, "k").withColumn("next", F.coalesce("next", "head")).drop("k", "own", "head")
-
-
-def classes(sets: DataFrame) -> DataFrame:
-    """cid, n, fp, first, members of each class of rows of ``sets`` (doc_id, fp, blank) with equal sets: its smallest doc_id
-    and its number of rows. ``blank`` stands for the text of an empty set and is null elsewhere."""
-    same = sets.groupBy("fp", "blank").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("members"))
-    return written(same.select(F.monotonically_increasing_id().alias("cid"), F.size("fp").alias("n"), "fp", "blank", "first", "members"), "spotsigs-classes")
-
-
-def _ranks(own: DataFrame) -> bytes:
-    """How many classes each slot's signatures are in, as a power of two of the mean; a byte a slot."""
-    slots = own.select(F.explode("fp").alias("h")).select(F.pmod("h", F.lit(SKETCH_SLOTS)).alias("s"))
+    (ties by text; null ids last); the last one's next is the first. Adds what ``near`` (see near_rows) says of a row."""
+    key = range_of(documents)
+    keyed = documents.select(key.alias("k"), "doc_id", F.xxhash64("text").alias("t"), "text")
+    none = F.lit(None).cast("long")
+    rows = keyed.select("k", F.lit(0).alias("kind"), "doc_id", "t", "text", none.alias("n_near"), none.alias("near_id"))
+    facts = near.select(key.alias("k"), F.lit(1).alias("kind"), "doc_id", "t", F.lit(None).cast("string").alias("text"), "n_near", "near_id")
+    # The first document of each range follows the last one of the range above. There are MAX_RANGES at most, and one of none.
+    tops = keyed.groupBy("k").agg(F.max("doc_id").alias("top"))
+    above = W.orderBy("k")
+    tops = tops.withColumn("above", F.coalesce(F.lead("k").over(above), F.first("k").over(above.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))))
+    tops = Scratch(documents.sparkSession, "spotsigs-tops").write(tops, "tops")
+    heads = keyed.join(F.broadcast(tops.withColumnRenamed("k", "k1")), (F.col("k") == F.col("k1")) & F.col("doc_id").eqNullSafe(F.col("top")))
+    heads = heads.groupBy("above").agg(F.min("text").alias("text"))
+    heads = heads.select(F.col("above").alias("k"), F.lit(2).alias("kind"), none.alias("doc_id"), none.alias("t"), "text", none.alias("n_near"), none.alias("near_id"))
+    same = W.partitionBy("k", "doc_id", "t")
+    both = rows.unionByName(facts).unionByName(heads).repartition("k")
+    both = both.withColumns({c: F.max(c).over(same) for c in ("n_near", "near_id")}).where("kind <> 1")
+    own = both.withColumn("fp", prints(F.col("text"))).withColumn("own", F.struct("text", "fp"))
+    order = W.partitionBy("k").orderBy("kind", F.desc_nulls_last("doc_id"), "text")
+    placed = own.withColumn("next", F.lead("own").over(order)).where("kind = 0")
+    return placed.withColumns({"n_near": F.coalesce("n_near", F.lit(0)).cast("long"), "near_id": F.coalesce("near_id", "doc_id")}).drop("k", "kind", "t", "own")
+
+
+def _ranks(fps: DataFrame) -> bytes:
+    """How many rows each slot's signatures are in, as a power of two of the mean; a byte a slot."""
+    slots = fps.select(F.explode("fp").alias("h")).select(F.pmod("h", F.lit(SKETCH_SLOTS)).alias("s"))
     counted = slots.groupBy("s").agg(F.count(F.lit(1)).alias("c")).toArrow()
     slots, counts = (counted.column(c).to_pylist() for c in ("s", "c"))
     mean = max(1, sum(counts) // max(len(counts), 1))
     ranks = bytearray(SKETCH_SLOTS)
     for s, c in zip(slots, counts, strict=True):
-        ranks[s] = (c // mean).bit_length()
+        ranks[s] = min((c // mean).bit_length(), 255)
     return bytes(ranks)
 
 
-def near_pairs(same: DataFrame) -> DataFrame:
-    """a, b, near of every two of the ``classes`` whose different sets are at least NEAR alike, each pair once."""
-    percent = round(100 * NEAR)
-    own = same.where("n > 0").select("cid", "n", "fp")
-    rank = F.lit(_ranks(own))
+def least_shared(n: str) -> str:
+    """How many prefix signatures near sets share at least, where the smaller set has n; as SQL."""
+    return f"(1 + {n} div {SHARED_STEP})"
+
+
+def _met(sets: DataFrame, classes: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """Which classes may be near which: rep, n, first, members, head, and low, their smaller heads."""
+    full = sets.where("size(fp) > 0").select("rid", "fp", F.size("fp").cast("long").alias("n"))
+    rank = F.lit(_ranks(full))
     rarest = F.array_sort(F.transform("fp", lambda h: F.struct(F.substring(rank, F.pmod(h, F.lit(SKETCH_SLOTS)) + 1, F.lit(1)).alias("r"), h.alias("h"))))
-    # Of sets with lengths n and m that share percent of their union, each has a shared one among so many.
-    first = F.slice(rarest, F.lit(1), F.expr(f"cast(n - ceil({percent} * n / 100D) + 1 as int)"))
-    part = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent)).cast("int")
-    met = own.select("cid", "n", part.alias("part"), F.posexplode(first).alias("i", "s")).select("cid", "n", "part", "i", F.col("s.h").alias("h"))
-    met = written(met, "spotsigs-index")
-    # A class meets its own partition and the one of the next longer sets.
-    a = met.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"), "h", F.col("part").alias("home"), F.explode(F.array("part", F.col("part") + 1)).alias("part"))
-    b = met.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"), "h", "part")
-    left = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))
-    allowed = (100 * F.col("na") >= percent * F.col("nb")) & ((100 + percent) * left >= percent * (F.col("na") + F.col("nb")))
-    ordered = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
-    maybe = written(a.join(b, ["h", "part"]).where(ordered & allowed).select("a", "b").distinct(), "spotsigs-met")
-    fps = among(own.select("cid", "fp"), maybe.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), "cid")
-    pairs = maybe.join(fps.select(F.col("cid").alias("a"), F.col("fp").alias("fa")), "a").join(fps.select(F.col("cid").alias("b"), F.col("fp").alias("fb")), "b")
-    both = F.size(F.array_intersect("fa", "fb"))
-    found = pairs.select("a", "b", both.alias("both"), (F.size("fa") + F.size("fb") - both).alias("all")).where(100 * F.col("both") >= percent * F.col("all"))
-    return written(found.select("a", "b", (F.col("both") / F.col("all")).alias("near")), "spotsigs-pairs")
-
-
-def near_counts(same: DataFrame, pairs: DataFrame) -> DataFrame:
-    """cid, n_near, near_id of the classes that have near rows: how many others a row of it has, and the smallest doc_id of
-    them and itself."""
-    ends = pairs.select(F.col("a").alias("cid"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("cid"), F.col("a").alias("other")))
-    sizes = same.select(F.col("cid").alias("other"), "first", "members")
-    others = ends.join(sizes, "other").select("cid", "first", "members")
-    alone = same.where("members > 1").select("cid", "first", (F.col("members") - 1).alias("members"))
-    counted = others.unionByName(alone).groupBy("cid").agg(F.sum("members").alias("n_near"), F.min("first").alias("low"))
-    return counted.join(same.select("cid", "first"), "cid").select("cid", "n_near", F.least("low", "first").alias("near_id"))
+    common = f"(({percent} * n + 99) div 100)"
+    prefix = F.slice(rarest, F.lit(1), F.expr(f"cast(least(n, n - {common} + {least_shared('n')}) as int)"))
+    met = full.select("rid", F.explode(prefix).alias("s")).select("rid", F.col("s.h").alias("h"))
+    first = met.groupBy("h").agg(F.min("rid").alias("head"), F.count(F.lit(1)).alias("c")).where("c > 1").select("h", "head")
+    shared = met.join(scratch.write(first, "first"), "h").select(F.col("rid").alias("rep"), "head")
+    counted = shared.groupBy("rep", "head").agg(F.count(F.lit(1)).alias("w"))
+    own = W.partitionBy("rep")
+    named = classes.where("n > 0").withColumn("need", F.expr(least_shared(common)))
+    held = counted.join(named, "rep").withColumn("all", F.sum("w").over(own)).where("all >= need").drop("all")
+    held = scratch.write(held, "held")
+    each = scratch.write(held.groupBy("head").agg(F.count(F.lit(1)).alias("m"), F.avg("w").alias("mean")).where("m > 1").select("head", "mean"), "each")
+    worst = own.orderBy("mean", F.col("head").desc()).rowsBetween(W.unboundedPreceding, W.currentRow)
+    ranked = held.join(each, "head").withColumn("sum", F.sum("w").over(worst)).where("sum >= need")
+    heads = ranked.groupBy("rep", "n", "first", "members").agg(F.array_sort(F.collect_list("head")).alias("heads"))
+    heads = heads.withColumn("head", F.explode("heads"))
+    return scratch.write(heads.select("rep", "n", "first", "members", "head", F.filter("heads", lambda h: h < F.col("head")).alias("low")), "met")
+
+
+def near_classes(sets: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
+    """rep, others, low_id of the ``classes`` that have near ones: how many rows those have, and their smallest doc_id."""
+    percent = round(100 * NEAR)
+    met = _met(sets, classes, scratch, percent).withColumn("length", F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent)).cast("int"))
+    sizes = met.groupBy("head", "length").agg(F.ceil(F.count(F.lit(1)) / float(PART_MEMBERS)).cast("int").alias("parts"), F.count(F.lit(1)).alias("m"))
+    sizes = sizes.groupBy("head").agg(F.sum("m").alias("m"), F.map_from_entries(F.collect_list(F.struct("length", "parts"))).alias("parts")).where("m > 1")
+    dealt = met.join(scratch.write(sizes.select("head", "parts"), "sizes"), "head")
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")[F.col("length")]).cast("int"))
+    # Against every part of its own length partition, and of the next shorter and longer ones.
+    others = "flatten(transform(array(length - 1, length, length + 1), l -> transform(sequence(1, coalesce(parts[l], 0)), p -> struct(l as length, p - 1 as part))))"
+    others = others.replace("sequence(1, coalesce(parts[l], 0))", "filter(sequence(0, coalesce(parts[l], 0)), p -> p > 0)")
+    dealt = dealt.withColumn("at", F.struct("length", "part")).withColumn("other", F.explode(F.expr(others)))
+    squares = dealt.select("head", F.least("at", "other").alias("lo"), F.greatest("at", "other").alias("hi"), "at", "rep", "n", "first", "members", "low")
+    squares = scratch.write(squares, "squares")
+    rows = squares.join(sets.select(F.col("rid").alias("rep"), "fp"), "rep")
+    rows = rows.groupBy("head", "lo", "hi").agg(F.collect_list(F.struct("rep", "at", "n", "first", "members", "low", "fp")).alias("held"))
+
+    def found(a: Column) -> Column:
+        """What is near a among the rows held. A pair that meets under several heads counts under the smallest."""
+
+        def near(b: Column) -> Column:
+            both = F.size(F.array_intersect(a["fp"], b["fp"]))
+            apart = (a["rep"] != b["rep"]) & ((F.col("lo") == F.col("hi")) | (a["at"] != b["at"]))
+            allowed = 100 * F.least(a["n"], b["n"]) >= percent * F.greatest(a["n"], b["n"])
+            return apart & allowed & ~F.arrays_overlap(a["low"], b["low"]) & (100 * both >= percent * (a["n"] + b["n"] - both))
+
+        return F.filter("held", near)
+
+    summed = lambda near: F.aggregate(near, F.lit(0).cast("long"), lambda x, b: x + b["members"])
+    each = rows.select("held", F.explode(F.transform("held", lambda a: F.struct(a["rep"].alias("rep"), F.transform(found(a), lambda b: F.struct(b["members"].alias("members"), b["first"].alias("first"))).alias("near")))).alias("x"))
+    each = each.where("size(x.near) > 0").select("x.rep", summed(F.col("x.near")).alias("others"), F.array_min(F.transform("x.near", lambda b: b["first"])).alias("low_id"))
+    return each.groupBy("rep").agg(F.sum("others").alias("others"), F.min("low_id").alias("low_id"))
 
 
 def near_rows(documents: DataFrame) -> DataFrame:
-    """id, t, n_near, near_id of the rows (doc_id, text) that have near rows; ``t`` is the text's hash."""
+    """doc_id, t, n_near, near_id of the rows (doc_id, text) that have near rows; ``t`` is the text's hash."""
+    scratch = Scratch(documents.sparkSession, "spotsigs")
+    sets = documents.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.xxhash64("text").alias("t"), "text", prints(F.col("text")).alias("fp"))
+    # Texts without signatures are near only to equal ones.
     blank = F.when(F.size("fp") == 0, F.sha2(F.col("text").cast("binary"), 256))
-    sets = documents.select("doc_id", F.xxhash64("text").alias("t"), "text", prints(F.col("text")).alias("fp"))
-    sets = written(sets.select("doc_id", "t", "fp", blank.alias("blank")), "spotsigs-sets")
-    same = classes(sets)
-    counts = written(near_counts(same, near_pairs(same)), "spotsigs-counts")
-    named = same.join(counts, "cid").select("fp", "blank", "n_near", "near_id")
-    rows = sets.alias("x").join(named.alias("y"), (F.col("x.fp") == F.col("y.fp")) & F.col("x.blank").eqNullSafe(F.col("y.blank")))
-    return written(rows.select(F.col("x.doc_id").alias("id"), "t", "n_near", "near_id").distinct(), "spotsigs-near")
-
-
-def with_near(rows: DataFrame, near: DataFrame) -> DataFrame:
-    near = F.broadcast(near) if near.count() <= BROADCAST_IDS else near
-    joined = rows.join(near, F.col("doc_id").eqNullSafe(F.col("id")) & (F.xxhash64("text") == F.col("t")), "left").drop("id", "t")
-    return joined.withColumns({"n_near": F.coalesce("n_near", F.lit(0)).cast("long"), "near_id": F.coalesce("near_id", "doc_id")})
+    sets = sets.withColumns({"c1": F.xxhash64("fp", blank), "c2": F.xxhash64(F.lit(1), "fp", blank)})
+    sets = scratch.write(sets.drop("text"), "sets")
+    classes = sets.groupBy("c1", "c2").agg(F.min("rid").alias("rep"), F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("members"), F.max(F.size("fp")).cast("long").alias("n"))
+    classes = scratch.write(classes, "classes")
+    near = near_classes(sets, classes.drop("c1", "c2"), scratch)
+    counts = classes.join(near, "rep", "left").withColumn("n_near", F.col("members") - 1 + F.coalesce("others", F.lit(0))).where("n_near > 0")
+    counts = counts.select("c1", "c2", "n_near", F.least("first", "low_id").alias("near_id"))
+    rows = sets.select("c1", "c2", "doc_id", "t").join(scratch.write(counts, "counts"), ["c1", "c2"]).select("doc_id", "t", "n_near", F.least("near_id", "doc_id").alias("near_id"))
+    rows = scratch.write(rows, "rows")
+    scratch.drop("sets", "classes", "first", "held", "each", "met", "sizes", "squares", "counts")
+    return rows
 
 
 def fingerprints(documents: DataFrame) -> DataFrame:
@@ -218,6 +259,7 @@ def _near(a: str, b: str, fa: str, fb: str) -> Column:
 
 
 def op9_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract columns, n_near and near_id of fingerprints over all of ``documents``."""
     return fingerprints(table(spark, sf_dir, "documents")).drop("n_signatures")
 
 
