@@ -13,10 +13,13 @@ from docengine.errors import NotFoundError
 from docengine.functions import paths, values
 from docengine.functions.filters import compile_filter
 from docengine.operators.find import project, sortable
+from docengine.plans.lineage import cut
 from docengine.plans.stages import Stage, parse, rewrite
 
-#: Hidden column with the place of a row in the order of the last sort.
+#: Hidden column with the place of a row in the order of the last sort, where a later stage may lose that order.
 ORDER = "__order"
+#: Stages that shuffle rows or make several of one.
+LOSES_ORDER = {"$lookup", "$join", "$unwind"}
 
 Catalog = Mapping[str, DataFrame] | Callable[[str], DataFrame]
 
@@ -39,7 +42,9 @@ def expression(spec: Any, schema: T.StructType) -> tuple[Column, T.DataType]:
 class Lowering:
     def __init__(self, catalog: Catalog | None = None):
         self.catalog = catalog
-        self.sort: list[tuple[str, int]] | None = None
+        #: Whether rows are in the order of ORDER, or of a sort that no stage has disturbed.
+        self.in_order = False
+        self.sorted = False
 
     def table(self, name: str) -> DataFrame:
         found = self.catalog(name) if callable(self.catalog) else (self.catalog or {}).get(name)
@@ -48,8 +53,14 @@ class Lowering:
         return found
 
     def run(self, df: DataFrame, stages: list[Stage]) -> DataFrame:
+        if "_id" in df.columns and any(s.op in ("$skip", "$limit") for s in _until_resorted(stages)) and _loses_order(stages):
+            df = df.withColumn(ORDER, order_key(df, []))
         for i, stage in enumerate(stages):
             df = getattr(self, "do_" + stage.op[1:])(df, stage.arg, stages[i + 1 :])
+            if stage.op in LOSES_ORDER:
+                self.in_order = False
+        if ORDER in df.columns and self.sorted and not self.in_order:
+            df = df.orderBy(ORDER)
         return df.drop(ORDER)
 
     # Stages. Each takes the rows so far, its argument and the stages after it.
@@ -58,23 +69,38 @@ class Lowering:
         return df.where(compile_filter(arg, df.schema))
 
     def do_sort(self, df: DataFrame, arg: list[tuple[str, int]], after: list[Stage]) -> DataFrame:
-        self.sort = arg
-        needed = any(s.op == "$group" for s in after)
-        if needed:
-            df = df.withColumn(ORDER, order_key(df, arg))
-        return df.orderBy(*sort_columns(df, arg))
+        """Rows are sorted here if no stage disturbs them until they are looked at; else they only get their place."""
+        self.sorted = True
+        later = _loses_order(after)
+        if later or any(s.op == "$group" for s in after):
+            df = df.drop(ORDER).withColumn(ORDER, order_key(df, arg))
+        else:
+            df = df.drop(ORDER)
+        self.in_order = not later
+        return df if later else df.orderBy(*sort_columns(df, arg))
 
     def _paged(self, df: DataFrame) -> DataFrame:
         """Rows in a known order: that of the last sort, else of ``_id``."""
-        return df if self.sort is not None or "_id" not in df.columns else df.orderBy("_id")
+        if self.in_order:
+            return df
+        self.in_order = True
+        self.sorted = True
+        if ORDER in df.columns:
+            return df.orderBy(ORDER)
+        return df.orderBy("_id") if "_id" in df.columns else df
 
     def do_skip(self, df: DataFrame, arg: int, after: list[Stage]) -> DataFrame:
-        return self._paged(df).offset(arg) if arg else df
+        if not arg:
+            return df
+        out = self._paged(df).offset(arg)
+        # Once a shuffled offset has run, adaptive execution may take its rows for none and leave out a limit above.
+        return cut(out, "skip") if _loses_order(after) and any(s.op in ("$skip", "$limit") for s in after) else out
 
     def do_limit(self, df: DataFrame, arg: int, after: list[Stage]) -> DataFrame:
         return self._paged(df).limit(arg)
 
     def do_count(self, df: DataFrame, arg: str, after: list[Stage]) -> DataFrame:
+        self.sorted = self.in_order = False
         return df.agg(F.count(F.lit(1)).alias(arg))
 
     def do_project(self, df: DataFrame, arg: dict, after: list[Stage]) -> DataFrame:
@@ -88,11 +114,11 @@ class Lowering:
         if not isinstance(found.kind, T.ArrayType):
             return df if arg["preserve"] else df.where(found.column.isNotNull())
         head, _, rest = arg["path"].partition(".")
-        make = F.explode_outer if arg["preserve"] else F.explode
-        if not rest:
-            return df.select(*(make(paths.column(c)).alias(c) if c == head else paths.column(c) for c in df.columns))
-        exploded = df.withColumn("__one", make(found.column))
-        return exploded.withColumn(head, paths.column(head).withField(rest, F.col("__one"))).drop("__one")
+        placed = ORDER in df.columns
+        make = (F.posexplode_outer if placed else F.explode_outer) if arg["preserve"] else F.posexplode if placed else F.explode
+        out = df.select("*", make(found.column).alias(*(["__at"] if placed else []), "__one"))
+        out = out.withColumn(head, paths.column(head).withField(rest, F.col("__one")) if rest else F.col("__one"))
+        return _placed_within(out, F.col("__at")).drop("__at", "__one") if placed else out.drop("__one")
 
     def _foreign(self, df: DataFrame, arg: dict) -> tuple[DataFrame, Column] | None:
         """Foreign documents by key (__key, __doc), and the local key; None where nothing can be equal."""
@@ -117,9 +143,14 @@ class Lowering:
         if found is None:
             return df.withColumn(arg["as"], F.array().cast(kind))
         foreign, local = found
-        listed = F.array_sort(F.collect_list("__doc"), _by_id) if "_id" in other.columns else F.collect_list("__doc")
-        grouped = foreign.groupBy("__key").agg(listed.alias("__docs"))
-        joined = df.withColumn("__local", local).join(grouped, F.col("__local") == F.col("__key"), "left")
+        local_df = df.withColumn("__local", local)
+        # Only documents that some row looks up are collected.
+        wanted = local_df.select(F.col("__local").alias("__key")).where("__key is not null")
+        grouped = foreign.join(wanted, "__key", "left_semi").groupBy("__key").agg(F.collect_list("__doc").alias("__docs"))
+        if "_id" in other.columns:
+            places = F.array_sort(F.transform("__docs", lambda d, i: F.struct(d["_id"].alias("id"), i.alias("i"))))
+            grouped = grouped.select("__key", F.transform(places, lambda x: F.col("__docs")[x["i"]]).alias("__docs"))
+        joined = local_df.join(grouped, F.col("__local") == F.col("__key"), "left")
         return joined.withColumn(arg["as"], F.coalesce("__docs", F.array().cast(kind))).drop("__local", "__key", "__docs")
 
     def do_join(self, df: DataFrame, arg: dict, after: list[Stage]) -> DataFrame:
@@ -132,13 +163,15 @@ class Lowering:
             return out if arg["preserve"] else out.limit(0)
         foreign, local = found
         joined = df.withColumn("__local", local).join(foreign, F.col("__local") == F.col("__key"), how)
+        if ORDER in df.columns and "_id" in self.table(arg["from"]).columns:
+            joined = _placed_within(joined, F.col("__doc._id"))
         return joined.withColumn(arg["as"], F.col("__doc")).drop("__local", "__key", "__doc")
 
     def do_group(self, df: DataFrame, arg: dict, after: list[Stage]) -> DataFrame:
         key = group_key(arg["_id"], df.schema)
         order = F.col(ORDER) if ORDER in df.columns else F.col("_id") if "_id" in df.columns else F.lit(0)
         made = [accumulator(spec, df.schema, order).alias(name) for name, spec in arg.items() if name != "_id"]
-        self.sort = None
+        self.sorted = self.in_order = False
         grouped = df.groupBy(key.alias("_id"))
         return grouped.agg(*made) if made else df.select(key.alias("_id")).distinct()
 
@@ -147,8 +180,23 @@ def _with_order(df: DataFrame, projected: DataFrame) -> DataFrame:
     return df.select(*(paths.column(c) for c in projected.columns), F.col(ORDER))
 
 
-def _by_id(a: Column, b: Column) -> Column:
-    return F.when(a["_id"] < b["_id"], -1).when(a["_id"] > b["_id"], 1).otherwise(0)
+def _placed_within(df: DataFrame, at: Column) -> DataFrame:
+    """Rows made of one row keep its place, and among them come in the order of ``at``."""
+    return df.withColumn(ORDER, F.struct(F.col(ORDER).alias("k0"), at.alias("k1")))
+
+
+def _until_resorted(stages: list[Stage]) -> list[Stage]:
+    """The stages that see rows in the order they come in."""
+    out = []
+    for s in stages:
+        if s.op in ("$sort", "$group", "$count"):
+            break
+        out.append(s)
+    return out
+
+
+def _loses_order(after: list[Stage]) -> bool:
+    return any(s.op in LOSES_ORDER for s in _until_resorted(after))
 
 
 def sort_columns(df: DataFrame, keys: list[tuple[str, int]]) -> list[Column]:

@@ -467,3 +467,30 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("optimise", [True, False])
+def test_order_survives_joins_and_unwinds(spark, optimise):
+    """With shuffle joins: what a sort put in order stays so through $lookup and $unwind, before a page and at the end."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        left = rows_of(spark, [{"_id": f"{i:03d}", "v": i, "k": i % 7, "a": [i, i + 1000]} for i in range(200)]).repartition(5)
+        right = rows_of(spark, [{"_id": f"r{j}", "k": j % 7, "j": j} for j in range(14)]).repartition(3)
+        run = lambda *stages: aggregate(left, list(stages), {"right": right}, optimise=optimise).collect()
+        sort = {"$sort": {"v": -1}}
+        lookup = {"$lookup": {"from": "right", "localField": "k", "foreignField": "k", "as": "r"}}
+        assert [r["v"] for r in run(sort, lookup, {"$limit": 5})] == [199, 198, 197, 196, 195]
+        assert [r["v"] for r in run(sort, lookup)] == list(range(199, -1, -1))
+        assert [r["v"] for r in run(sort, {"$skip": 3}, lookup, {"$limit": 2})] == [196, 195]
+        assert [[x["_id"] for x in r["r"]] for r in run(sort, lookup, {"$limit": 1})] == [["r10", "r3"]]
+        pairs = [(v, j) for v in range(199, -1, -1) for j in sorted((f"r{j}" for j in range(14) if j % 7 == v % 7))]
+        assert [(r["v"], r["r"]["_id"]) for r in run(sort, lookup, {"$unwind": "$r"}, {"$skip": 1}, {"$limit": 7})] == pairs[1:8]
+        assert [(r["v"], r["r"]["_id"]) for r in run(sort, lookup, {"$unwind": "$r"})] == pairs
+        unwound = [x for v in range(199, -1, -1) for x in (v, v + 1000)]
+        assert [r["a"] for r in run(sort, {"$unwind": "$a"}, lookup)] == unwound
+        assert [r["a"] for r in run({"$unwind": "$a"}, lookup, {"$limit": 3})] == [0, 1000, 1]
+        assert [r["xs"] for r in run(sort, {"$unwind": "$a"}, {"$group": {"_id": None, "xs": {"$push": "$a"}}})] == [unwound]
+        assert [r["v"] for r in run(sort, lookup, {"$project": {"v": 1}}, {"$match": {"v": {"$lt": 3}}})] == [2, 1, 0]
+        assert [r["v"] for r in run(sort, lookup, {"$sort": {"v": 1}}, {"$limit": 2})] == [0, 1]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
