@@ -12,11 +12,45 @@ from docengine.errors import BadFilterError, DocEngineError, NotFoundError, Unkn
 from docengine.functions import values
 from docengine.operators import find as finding
 from docengine.operators.indexes import command_index
-from docengine.sources.store import Collection, Database, Registry
+from docengine.sources.store import Database, Registry
 
 BATCH, IDLE_SECONDS = 101, 600
 
 
+class Direct:
+    """The calls that a session has too, on a database without users."""
+
+    def __init__(self, db: Database):
+        self.db = db
+
+    def known_ids(self, name: str, ids: list[str]) -> set[str]:
+        return {r[0] for r in self.db.collection(name, create=True).find({"_id": {"$in": ids}}).select("_id").collect()} if ids else set()
+
+    def insert(self, name: str, docs: list[dict]):
+        return self.db.collection(name, create=True).insert(docs)
+
+    def update(self, name: str, *args: Any, **options: Any):
+        return self.db.collection(name, create=True).update(*args, **options)
+
+    def find_and_modify(self, name: str, *args: Any, **options: Any):
+        return self.db.collection(name, create=options.get("upsert", False)).find_and_modify(*args, **options)
+
+    def ensure_index(self, name: str, *args: Any) -> None:
+        self.db.collection(name, create=True).ensure_index(*args)
+
+    def indexes(self, name: str) -> list:
+        return self.db.collection(name).indexes
+
+    def create(self, name: str) -> None:
+        self.db.create(name)
+
+    def drop(self, name: str) -> None:
+        self.db.drop(name)
+
+    def __getattr__(self, call: str):
+        return lambda name, *args, **options: getattr(self.db.collection(name), call)(*args, **options)
+
+
 class Commands:
     """Runs commands on a database, or on those of a registry by ``$db``."""
 
@@ -39,8 +73,10 @@ class Commands:
 
     # Helpers.
 
-    def _collection(self, name: str, create: bool = False) -> Collection:
-        return self.db.collection(name, create=create)
+    @property
+    def _target(self) -> Any:
+        """Who runs the calls that name a collection: the session, or the database where there is none."""
+        return self.session if self.session is not None else Direct(self.db)
 
     def _table(self, name: str) -> DataFrame:
         if self.session is not None:
@@ -111,21 +147,16 @@ class Commands:
 
     def cmd_explain(self, c: dict) -> dict:
         inner = c["explain"]
-        done = self._collection(inner["find"]).explain(inner.get("filter"))
+        done = self._target.explain(inner["find"], inner.get("filter"))
         return {"stage": done.plan, "index": done.index, "covered": done.covered, "exact": done.exact, "re_match": done.re_match, "pushed": done.pushed}
 
     # Writing.
 
-    def _writable(self, name: str, create: bool = False) -> Any:
-        if self.session is not None:
-            self.session._check(name, write=True)
-        return self._collection(name, create)
-
     def cmd_insert(self, c: dict) -> dict:
-        target, docs, errors, n = self._writable(c["insert"], create=True), c["documents"], [], 0
+        name, docs, errors, n = c["insert"], c["documents"], [], 0
         ordered = c.get("ordered", True)
         seen: set[str] = set()
-        have = {r[0] for r in target.find({"_id": {"$in": [str(d["_id"]) for d in docs if "_id" in d]}}).select("_id").collect()} if docs else set()
+        have = self._target.known_ids(name, [str(d["_id"]) for d in docs if "_id" in d])
         good = []
         for i, d in enumerate(docs):
             id_ = values.plain(d.get("_id"))
@@ -137,48 +168,46 @@ class Commands:
             seen.add(str(id_))
             good.append(d)
         if good:
-            n = target.insert(good).inserted
+            n = self._target.insert(name, good).inserted
         return {"n": n, **({"writeErrors": errors} if errors else {})}
 
     def cmd_update(self, c: dict) -> dict:
-        target, n, modified, upserted = self._writable(c["update"], create=True), 0, 0, []
+        n, modified, upserted = 0, 0, []
         for i, u in enumerate(c["updates"]):
             if u.get("multi") and not any(k.startswith("$") for k in u["u"]):
                 raise BadFilterError("a replacement is of one document")
-            done = target.update(u.get("q"), u["u"], multi=u.get("multi", False), upsert=u.get("upsert", False))
+            done = self._target.update(c["update"], u.get("q"), u["u"], multi=u.get("multi", False), upsert=u.get("upsert", False))
             n += done.matched + len(done.upserted)
             modified += done.modified
             upserted += [{"index": i, "_id": x} for x in done.upserted]
         return {"n": n, "nModified": modified, **({"upserted": upserted} if upserted else {})}
 
     def cmd_delete(self, c: dict) -> dict:
-        target = self._writable(c["delete"])
-        return {"n": sum(target.delete(d.get("q"), one=d.get("limit", 0) == 1).deleted for d in c["deletes"])}
+        return {"n": sum(self._target.delete(c["delete"], d.get("q"), one=d.get("limit", 0) == 1).deleted for d in c["deletes"])}
 
     def cmd_findAndModify(self, c: dict) -> dict:
         name = c.get("findAndModify") or c.get("findandmodify")
         if bool(c.get("remove")) == bool(c.get("update")):
             raise BadFilterError("findAndModify takes remove or update")
-        row = self._writable(name, create=c.get("upsert", False)).find_and_modify(
-            c.get("query"), sort=c.get("sort"), update=c.get("update"), remove=c.get("remove", False), new=c.get("new", False), upsert=c.get("upsert", False), fields=c.get("fields")
-        )
+        upsert = c.get("upsert", False)
+        row = self._target.find_and_modify(name, c.get("query"), sort=c.get("sort"), update=c.get("update"), remove=c.get("remove", False), new=c.get("new", False), upsert=upsert, fields=c.get("fields"))
         return {"value": row.asDict(recursive=True) if row is not None else None}
 
     # Catalog.
 
     def cmd_create(self, c: dict) -> dict:
-        self.db.create(c["create"])
+        self._target.create(c["create"])
         return {}
 
     def cmd_drop(self, c: dict) -> dict:
-        self.db.drop(c["drop"])
+        self._target.drop(c["drop"])
         return {"ns": c["drop"]}
 
     def cmd_listCollections(self, c: dict) -> dict:
         import re
 
         want = (c.get("filter") or {}).get("name")
-        names = sorted({*self.db.collections(), *self.db.views})
+        names = sorted(self.session.collections()) if self.session is not None else sorted({*self.db.collections(), *self.db.views})
         if isinstance(want, str):
             names = [n for n in names if n == want]
         elif isinstance(want, dict):
@@ -190,33 +219,36 @@ class Commands:
         return {"databases": [{"name": n} for n in names]}
 
     def cmd_createIndexes(self, c: dict) -> dict:
-        target = self._collection(c["createIndexes"], create=True)
-        before = len(target.indexes)
+        name = c["createIndexes"]
+        before = len(self._target.indexes(name)) if self.db.has(name) else 0
         for i in c["indexes"]:
             new = command_index(i["key"], i.get("unique", False))
-            target.ensure_index(list(new.fields), new.unique)
-        return {"numIndexesBefore": before + 1, "numIndexesAfter": len(target.indexes) + 1}
+            self._target.ensure_index(name, list(new.fields), new.unique)
+        return {"numIndexesBefore": before + 1, "numIndexesAfter": len(self._target.indexes(name)) + 1}
 
     def cmd_listIndexes(self, c: dict) -> dict:
         listed = [{"name": "_id_", "key": {"_id": 1}}]
-        listed += [{"name": i.name, "key": dict.fromkeys(i.fields, 1), "unique": i.unique} for i in self._collection(c["listIndexes"]).indexes]
+        listed += [{"name": i.name, "key": dict.fromkeys(i.fields, 1), "unique": i.unique} for i in self._target.indexes(c["listIndexes"])]
         return {"cursor": {"id": 0, "firstBatch": listed}}
 
     def cmd_dropIndexes(self, c: dict) -> dict:
-        target, which = self._collection(c["dropIndexes"]), c["index"]
-        own = target.indexes
+        which = c["index"]
+        own = self._target.indexes(c["dropIndexes"])
         gone = own if which == "*" else [i for i in own if i.name == which or isinstance(which, dict) and i.fields == command_index(which).fields]
         if not gone and which != "*":
             raise NotFoundError("no such index")
         for i in gone:
-            target.drop_index(list(i.fields))
+            self._target.drop_index(c["dropIndexes"], list(i.fields))
         return {"nIndexesWas": len(own) + 1}
 
     def cmd_dbStats(self, c: dict) -> dict:
-        return self.db.stats()
+        if self.session is None:
+            return self.db.stats()
+        every = [self.session.stats(n) for n in self.session.collections()]
+        return {"collections": len(every), "objects": sum(x["count"] for x in every), "indexes": sum(x["nindexes"] for x in every), "dataSize": sum(x["size"] for x in every), "each": every}
 
     def cmd_collStats(self, c: dict) -> dict:
-        return self._collection(c["collStats"]).stats()
+        return self._target.stats(c["collStats"])
 
     # The server itself.
 

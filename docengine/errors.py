@@ -29,10 +29,20 @@ class ForbiddenError(DocEngineError):
     code = 13
 
 
+class UnauthorizedError(ForbiddenError):
+    """No session where one is needed, or one that has ended."""
+
+
 class TooLargeError(DocEngineError):
     code = 10334
 
 
+class ConflictError(DocEngineError):
+    """Another writer was first; what was written is to be made again."""
+
+    code = 112
+
+
 class UnknownCommandError(DocEngineError):
     code = 59
 

@@ -50,7 +50,7 @@ class Hooks:
     errors: list[Exception] = field(default_factory=list)
     _next: int = 1
     _queue: Any = None
-    _running: list[int] = field(default_factory=list)
+    _local: threading.local = field(default_factory=threading.local)
 
     def on(self, event: str, collection: str, run: Callable[[Context], DataFrame | None]) -> int:
         return self._add(event, collection, run, True)
@@ -90,7 +90,14 @@ class Hooks:
             if hook.wait:
                 self._quiet(hook, context)
             else:
-                self._worker().put((hook, context))
+                self._worker().put((hook, context, list(self._running)))
+
+    @property
+    def _running(self) -> list[int]:
+        """The hooks that this thread is in, with those that an asynchronous one was called from."""
+        if not hasattr(self._local, "running"):
+            self._local.running = []
+        return self._local.running
 
     def _call(self, hook: Hook, context: Context) -> DataFrame | None:
         if len(self._running) >= MAX_DEPTH or hook.id in self._running:
@@ -113,13 +120,10 @@ class Hooks:
 
             def work() -> None:
                 while True:
-                    hook, context = self._queue.get()
-                    try:
-                        hook.run(context)
-                    except Exception as e:
-                        self.errors.append(e)
-                    finally:
-                        self._queue.task_done()
+                    hook, context, self._local.running = self._queue.get()
+                    with context.db.trusted():
+                        self._quiet(hook, context)
+                    self._queue.task_done()
 
             threading.Thread(target=work, daemon=True).start()
         return self._queue

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import asdict, dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -72,6 +73,19 @@ def check_unique(df: DataFrame, indexes: list[Index]) -> None:
                 raise DuplicateKeyError(f"index {index.name}: {row['first']} and {row['last']} share a key")
 
 
+def check_new(new: DataFrame, old: DataFrame | None, indexes: list[Index]) -> None:
+    """check_unique for rows that join others which are known to be in order: only their keys are looked up."""
+    check_unique(new, indexes)
+    for index in indexes if old is not None else []:
+        if index.unique:
+            names = [f"__k{i}" for i in range(len(index.fields))]
+            mine = _key(new, index).select(F.col("_id").alias("__new"), *(F.col(n).alias(f"{n}n") for n in names))
+            same = [F.col(n).eqNullSafe(F.col(f"{n}n")) for n in names]
+            row = _key(old, index).join(mine, reduce(lambda a, b: a & b, same)).where("_id <> __new").first()
+            if row is not None:
+                raise DuplicateKeyError(f"index {index.name}: {row['_id']} and {row['__new']} share a key")
+
+
 def layout(df: DataFrame, indexes: list[Index], partitions: int | None = None) -> DataFrame:
     """Rows ranged and sorted by the first index's sortable fields, so that row groups have narrow minima and maxima."""
     for index in indexes:

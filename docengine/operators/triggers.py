@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import asdict, dataclass, field
-from functools import reduce
+from functools import partial, reduce
 from typing import TYPE_CHECKING, Any
 
 from pyspark.sql import Column, DataFrame
@@ -114,8 +114,8 @@ def rows(t: Trigger, action: dict, docs: DataFrame, old: DataFrame | None = None
     return seen.select(*columns)
 
 
-def action_run(t: Trigger):
-    """The trigger as a hook."""
+def action_run(t: Trigger, again: bool = False):
+    """The trigger as a hook. With ``again`` documents may come a second time: inserts leave out ids that are there."""
 
     def run(context: Context) -> DataFrame | None:
         docs = context.docs if context.docs is not None else context.old
@@ -131,7 +131,7 @@ def action_run(t: Trigger):
             else:
                 sent = rows(t, a, docs, context.old)
                 target = db.collection(a["collection"], create=kind in ("insert", "upsert"))
-                {"insert": target.insert, "upsert": target.upsert, "update": target.merge, "delete": target.delete_ids}[kind](sent)
+                {"insert": partial(target.insert, ordered=not again), "upsert": target.upsert, "update": target.merge, "delete": target.delete_ids}[kind](sent)
         return None
 
     return run

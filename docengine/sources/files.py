@@ -62,6 +62,30 @@ def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
     context.rename(fs.makeQualified(beside), fs.makeQualified(where), options)
 
 
+def create(spark: SparkSession, path: str, data: bytes) -> bool:
+    """A file that was not there before, whole or not at all; False if there is one."""
+    import uuid
+
+    from py4j.protocol import Py4JJavaError
+
+    jvm, where, fs = _context(spark, path)
+    beside = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
+    out = fs.create(beside, False)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(where.toUri() if where.toUri().getScheme() else fs.getUri(), spark._jsc.hadoopConfiguration())
+    try:
+        context.rename(fs.makeQualified(beside), fs.makeQualified(where), spark._sc._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0))
+        return True
+    except Py4JJavaError:
+        fs.delete(beside, False)
+        if fs.exists(where):
+            return False
+        raise
+
+
 def read_json(spark: SparkSession, path: str) -> Any:
     return json.loads(head(spark, path, 1 << 30)) if exists(spark, path) else None
 

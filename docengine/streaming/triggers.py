@@ -15,14 +15,11 @@ def run(changes: DataFrame, trigger: triggers.Trigger, db: Database, checkpoint:
     must find its effects there, so insert actions should give an ``_id``; duplicates of one are left out."""
     triggers.validate(trigger)
 
+    act = triggers.action_run(trigger, again=True)
+
     def each(batch: DataFrame, batch_id: int) -> None:
-        for action in trigger.actions:
-            sent = triggers.rows(trigger, action, batch)
-            target = db.collection(action["collection"], create=action["type"] in ("insert", "upsert"))
-            if action["type"] == "insert":
-                target.insert(sent, ordered=False)
-            else:
-                {"upsert": target.upsert, "update": target.merge, "delete": target.delete_ids}[action["type"]](sent)
+        if trigger.enabled:
+            act(Context(trigger.event, trigger.collection, batch, None, db))
         db.hooks.after(Context(trigger.event, trigger.collection, batch, None, db))
 
     writer = changes.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)

@@ -1,12 +1,14 @@
 """Small fixtures for each part of the engine."""
 
 import json
+import threading
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from docengine.commands import Commands
-from docengine.errors import BadFilterError, DuplicateKeyError, ExistsError, ForbiddenError, NotFoundError, StageError, TooLargeError
+from docengine.errors import BadFilterError, DuplicateKeyError, ExistsError, ForbiddenError, NotFoundError, StageError, TooLargeError, UnauthorizedError
 from docengine.functions import variant
 from docengine.functions.filters import compile_filter
 from docengine.operators import find as finding
@@ -14,7 +16,7 @@ from docengine.operators import graph, triggers, updates
 from docengine.operators.aggregate import aggregate
 from docengine.operators.security import Permission, Security
 from docengine.plans.stages import parse, rewrite
-from docengine.sources import io
+from docengine.sources import io, store
 from docengine.sources.store import Database, Registry, rows_of
 
 Q = [
@@ -381,6 +383,123 @@ def test_security(db):
         s.set_user_roles("eva", ["nope"])
 
 
+def _guarded(db):
+    db.create("q").insert([{"_id": "1", "name": "a", "salary": 5.0}, {"_id": "2", "name": "b", "salary": 7.0}])
+    db.create("p").insert([{"_id": "1", "who": "a"}])
+    db.add_edge("knows", "a", "b")
+    s = db.security
+    s.create_role("clerk", [Permission("q", read=True, write=True, field_deny=["salary"]), Permission("p", read=True)])
+    s.create_role("admin", [Permission("*", read=True, write=True)])
+    s.create_user("eva", "pw", ["clerk"])
+    s.create_user("root", "pw", ["admin"])
+    return s.authenticate("eva", "pw"), s.authenticate("root", "pw")
+
+
+def test_users_close_the_database(db):
+    """From the first user on only sessions get through; the graph too."""
+    eva, root = _guarded(db)
+    for call in (
+        lambda: db["q"].get("1"), lambda: db["q"].insert([{"_id": "9"}]), lambda: db["q"].count(), lambda: db["q"].update({}, {"$set": {"x": 1}}), lambda: db["q"].delete({}),
+        lambda: db.neighbors("knows", "a"), lambda: db.traverse("knows", "a"), lambda: db.drop("q"), lambda: db.create("new"), lambda: db.table("q"), lambda: db["q"].ensure_index(["name"]),
+    ):
+        with pytest.raises(UnauthorizedError):
+            call()
+    assert db.collections() == ["edges_knows", "p", "q"] or "q" in db.collections()
+    assert root.neighbors("knows", "a") == ["b"] and root.get("q", "1")["salary"] == 5.0
+    for call in (lambda: eva.neighbors("knows", "a"), lambda: eva.traverse("knows", "a"), lambda: eva.add_edge("knows", "x", "y"), lambda: eva.drop("p")):
+        with pytest.raises(ForbiddenError):
+            call()
+    seen = []
+    db.hooks.on("after_insert", "q", lambda c: seen.append(c.db["q"].count()))
+    root.insert("q", [{"_id": "3", "name": "c"}])
+    assert seen == [3]
+
+
+def test_denied_fields_do_not_leak(db):
+    eva, root = _guarded(db)
+    c = Commands(db, session=eva)
+    shown = c.run({"findAndModify": "q", "query": {"_id": "1"}, "update": {"$set": {"name": "z"}}, "new": True})
+    assert shown["ok"] == 1 and shown["value"] == {"_id": "1", "name": "z"}
+    for command in (
+        {"findAndModify": "q", "query": {"salary": 5}, "update": {"$set": {"name": "x"}}},
+        {"findAndModify": "q", "query": {}, "sort": {"salary": 1}, "update": {"$set": {"name": "x"}}},
+        {"update": "q", "updates": [{"q": {"salary": {"$gt": 1}}, "u": {"$set": {"name": "x"}}}]},
+        {"update": "q", "updates": [{"q": {"_id": "1"}, "u": {"$rename": {"salary": "pay"}}}]},
+        {"update": "q", "updates": [{"q": {"_id": "1"}, "u": {"$rename": {"name": "salary"}}}]},
+        {"update": "q", "updates": [{"q": {"_id": "1"}, "u": {"$inc": {"salary": 1}}}]},
+        {"delete": "q", "deletes": [{"q": {"salary": 5}, "limit": 0}]},
+        {"explain": {"find": "q", "filter": {"salary": 5}}},
+        {"createIndexes": "q", "indexes": [{"key": {"salary": 1}, "unique": True}]},
+        {"aggregate": "q", "pipeline": [{"$group": {"_id": "$salary", "n": {"$count": {}}}}], "cursor": {}},
+        {"aggregate": "q", "pipeline": [{"$sort": {"salary": 1}}], "cursor": {}},
+        {"aggregate": "q", "pipeline": [{"$project": {"salary": 1}}], "cursor": {}},
+        {"aggregate": "p", "pipeline": [{"$lookup": {"from": "q", "localField": "who", "foreignField": "salary", "as": "x"}}], "cursor": {}},
+        {"distinct": "q", "key": "salary"}, {"count": "q", "query": {"salary": 5}}, {"drop": "p"}, {"collStats": "edges_knows"}, {"insert": "p", "documents": [{"a": 1}]},
+    ):
+        assert c.run(command)["code"] == 13, command
+    joined = eva.aggregate("p", [{"$lookup": {"from": "q", "localField": "_id", "foreignField": "_id", "as": "x"}}, {"$unwind": "$x"}]).collect()
+    assert joined[0].asDict(recursive=True)["x"] == {"_id": "1", "name": "z"}
+    assert root.find("q", {"salary": 5.0}).count() == 1 and "pay" not in root.df("q").columns
+    assert {x["name"] for x in c.run({"listCollections": 1})["cursor"]["firstBatch"]} == {"p", "q"}
+
+
+def test_sessions_end(db):
+    eva, root = _guarded(db)
+    db.security.set_user_roles("eva", ["admin"])
+    assert eva.get("q", "1")["salary"] == 5.0
+    db.security.change_password("eva", "new")
+    with pytest.raises(UnauthorizedError):
+        eva.get("q", "1")
+    with pytest.raises(UnauthorizedError):
+        db.security.authenticate("eva", "pw")
+    short = Security(db, session_seconds=0.01).authenticate("eva", "new")
+    time.sleep(0.02)
+    with pytest.raises(UnauthorizedError):
+        short.insert("q", [{"_id": "8"}])
+    db.security.delete_user("root")
+    with pytest.raises(UnauthorizedError):
+        root.count("q")
+
+
+def test_writers_of_two_drivers_lose_nothing(spark, tmp_path):
+    """Two databases on one root, one as if in another process: each insert and update is there in the end."""
+    one, two = (Database(spark, f"file://{tmp_path}/shared") for _ in range(2))
+    assert one.lock is two.lock
+    two.lock = threading.RLock()
+    one.create("q").ensure_index(["k"], unique=True)
+    errors = []
+
+    def write(db, first):
+        for i in range(first, first + 4):
+            try:
+                db["q"].insert([{"_id": str(i), "k": float(i), "n": 0.0}])
+                db["q"].update({"_id": str(first)}, {"$inc": {"n": 1}})
+            except Exception as e:
+                errors.append(e)
+
+    threads = [threading.Thread(target=write, args=x) for x in ((one, 0), (two, 100))]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert not errors
+    got = {r["_id"]: r["n"] for r in one["q"].df.collect()}
+    assert sorted(got) == sorted(str(i) for i in [*range(4), *range(100, 104)]) and got["0"] == got["100"] == 4.0
+    with pytest.raises(DuplicateKeyError):
+        two["q"].insert([{"_id": "x", "k": 3.0}])
+    assert one["q"].count() == 8
+
+
+def test_small_folders_are_merged(db, monkeypatch):
+    monkeypatch.setattr(store, "MAX_PARTS", 4)
+    q = db.create("q")
+    for i in range(9):
+        q.insert([{"_id": str(i), "n": float(i)}] if i != 5 else [{"_id": "5", "n": 5.0, "more": "x"}])
+    assert len(q.meta["parts"]) <= 4 and ids(q.df) == [str(i) for i in range(9)] and q.find({"more": "x"}).count() == 1
+    with pytest.raises(BadFilterError):
+        q.insert([{"_id": "nan", "n": float("nan")}])
+
+
 def test_import_export(db, spark, tmp_path):
     (tmp_path / "a.csv").write_text("_id,nombre,activo,nota,n\n1,Ana,true,hola mundo,1\n2,Bo,false,xyz,2\n")
     df = io.read(spark, f"file://{tmp_path}/a.csv")
