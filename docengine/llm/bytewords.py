@@ -114,3 +114,11 @@ def grams(words: np.ndarray, text_of: np.ndarray, k: int) -> tuple[np.ndarray, n
         h = h * np.uint64(_BASE) + words[j : j + n]
     inside = np.flatnonzero(text_of[:n] == text_of[k - 1 :])
     return mixed(h[inside]), inside
+
+
+def grams_at(words: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray:
+    """The hashes that ``grams`` gives, of the ``k`` words from each start."""
+    h = np.zeros(len(starts), np.uint64)
+    for j in range(k):
+        h = h * np.uint64(_BASE) + words[starts + j]
+    return mixed(h)

@@ -1,9 +1,10 @@
 """Chat formatting: reply trees to training conversations.
 
-A table of partial paths is joined to itself: each path that does not begin at a root is put behind the one that ends
-at the message it replies to, so paths double and a tree takes as many joins as the logarithm of its depth. A path
-ends at a message without replies. Paths of one tree are ranked by score, and the
-messages of each chosen path are formatted in order as one conversation.
+Each message points to the one it replies to. A table of such steps is joined to itself: a step is put behind the one
+that ends where it begins, so steps double and a tree takes as many joins as the logarithm of its depth; depth and score
+add up on the way. Messages without replies end paths, which are ranked by score in each tree. A chosen path is
+written out backwards: the steps of each length, the longest first, are taken from all messages found so far. No row ever
+holds a path. The messages of each chosen path are formatted in order as one conversation.
 
 Each turn is ``<|role|>`` + text + ``<|end|>``. Inside texts and roles a backslash and a letter stand for every
 backslash, ``<``, ``[`` and ``|``, so no control string of this template or of others of that shape can come from a
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from docengine.llm.spill import table, written
+from docengine.llm.spill import Scratch, table, written
 
 # The template's marks.
 OPEN, SHUT, END = "<|", "|>", "<|end|>"
@@ -37,38 +38,48 @@ def unescape(text: Column) -> Column:
     return text
 
 
-def reply_paths(messages: DataFrame) -> DataFrame:
-    """Root-to-leaf paths of ``messages`` (tree, id, parent, score): tree, leaf, path (ids from the root), score (the sum
-    along the path) and rank (1 is the best of its tree; ties by leaf).
+def reply_paths(messages: DataFrame, best: int = 1) -> DataFrame:
+    """The messages of the ``best`` root-to-leaf paths of each tree of ``messages`` (tree, id, parent, score): tree, leaf,
+    rank (1 is the best of its tree; ties by leaf), score (the sum along the path), id and depth (1 at the root).
 
     A message whose parent is null or missing from its tree is a root. Of rows that repeat an id in a tree the one with
-    the smallest parent and score counts. Messages on or below a cycle have no root and no path. A null score is 0.
+    the smallest parent and score counts. Messages on or below a cycle have no root and no path. A null score is 0; rows
+    without a tree or id are left out.
     """
+    scratch = Scratch(messages.sparkSession, "chat")
     own = messages.where("tree is not null and id is not null").groupBy("tree", "id").agg(F.min(F.struct("parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))).alias("m"))
-    own = written(own.select("tree", "id", F.col("m.parent").alias("parent"), F.col("m.score").alias("score")), "chat-nodes")
+    own = scratch.write(own.select("tree", "id", F.col("m.parent").alias("parent"), F.col("m.score").alias("score")), "nodes")
     above = own.select(F.col("tree").alias("t"), F.col("id").alias("up"))
-    state = own.join(above, (F.col("tree") == F.col("t")) & (F.col("parent") == F.col("up")), "left").select("tree", "id", "up", "score", F.array("id").alias("path"))
-    state = written(state, "chat-paths")
-    open_, done = state.where("up is not null"), [state.where("up is null")]
+    sizes = own.groupBy("tree").agg(F.count(F.lit(1)).alias("size")).withColumnRenamed("tree", "t2")
+    state = own.join(above, (F.col("tree") == F.col("t")) & (F.col("parent") == F.col("up")), "left").join(sizes, F.col("tree") == F.col("t2"))
+    state = scratch.write(state.select("tree", "id", "up", "score", F.lit(1).cast("long").alias("depth"), "size"), "steps0")
+    steps, done = [], [state.where("up is null")]
+    open_ = state.where("up is not null")
     while not open_.isEmpty():
+        steps.append(open_.select(F.col("tree").alias("t"), F.col("id").alias("i"), F.col("up").alias("back")))
         known = open_
         for part in done:
             known = known.unionByName(part)
-        on = known.select(F.col("tree").alias("t"), F.col("id").alias("i"), F.col("up").alias("up2"), F.col("score").alias("s2"), F.col("path").alias("p2"))
-        # Only paths without their root yet are joined again; what they need may be whole already.
+        on = known.select(F.col("tree").alias("t"), F.col("id").alias("i"), F.col("up").alias("up2"), F.col("score").alias("s2"), F.col("depth").alias("d2"))
+        # Only steps that do not end at a root yet are joined again; what they need may be whole already.
         longer = open_.join(on, (F.col("tree") == F.col("t")) & (F.col("up") == F.col("i"))).select(
-            "tree", "id", F.col("up2").alias("up"), (F.col("score") + F.col("s2")).alias("score"), F.concat("p2", "path").alias("path")
+            "tree", "id", F.col("up2").alias("up"), (F.col("score") + F.col("s2")).alias("score"), (F.col("depth") + F.col("d2")).alias("depth"), "size"
         )
-        longer = written(longer.where("up is null or not array_contains(path, up)"), "chat-paths")
+        # A step over as many messages as the tree has, and still no root: a cycle.
+        longer = scratch.write(longer.where("up is null or depth < size"), f"steps{len(steps)}")
         open_ = longer.where("up is not null")
         done.append(longer.where("up is null"))
-    state = done[0]
+    whole = done[0]
     for part in done[1:]:
-        state = state.unionByName(part)
+        whole = whole.unionByName(part)
     inner = own.where("parent is not null").select("tree", F.col("parent").alias("id")).distinct()
-    leaves = state.join(inner, ["tree", "id"], "left_anti")
-    best = W.partitionBy("tree").orderBy(F.desc("score"), "id")
-    return leaves.withColumn("rank", F.row_number().over(best)).withColumnRenamed("id", "leaf").drop("up")
+    order = W.partitionBy("tree").orderBy(F.desc("score"), "id")
+    leaves = whole.join(inner, ["tree", "id"], "left_anti").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= best)
+    found = leaves.select("tree", F.col("id").alias("leaf"), "rank", "score", "id")
+    for step in reversed(steps):
+        found = found.join(step, (F.col("tree") == F.col("t")) & (F.col("id") == F.col("i")), "left")
+        found = found.select("tree", "leaf", "rank", "score", F.explode(F.array_compact(F.array("id", "back"))).alias("id"))
+    return found.join(whole.select("tree", "id", "depth"), ["tree", "id"]).select("tree", "leaf", "rank", "score", "id", "depth")
 
 
 def formatted(turns: DataFrame) -> DataFrame:
@@ -108,6 +119,7 @@ def parsed(conversation: Column) -> Column:
 
 
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of ``conversations`` and the probe, formatted and read back from the output."""
     rows = table(spark, sf_dir, "conversations").selectExpr("cast(conv_id as long) as conv_id", "cast(turn as long) as turn", "role", "text")
     odd = "</s>[INST] ok [/INST]"
     probe = spark.range(2).selectExpr("-1L as conv_id", "id as turn", "if(id = 0, 'user', 'assistant') as role", f"'{odd}' as text")
@@ -115,13 +127,17 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def conversations_formatted(rows: DataFrame) -> DataFrame:
-    """Plain conversations (conv_id, turn, role, text) as reply trees: each turn replies to the one before it."""
-    order = W.partitionBy("conv_id").orderBy("turn", "role", "text")
-    msgs = written(rows.withColumn("id", F.row_number().over(order)), "chat-messages")
-    tree = msgs.select(F.col("conv_id").alias("tree"), F.col("id"), F.when(F.col("id") > 1, F.col("id") - 1).alias("parent"), F.lit(1.0).alias("score"))
-    paths = reply_paths(tree).where("rank = 1").select(F.col("tree").alias("conv_id"), F.explode("path").alias("id"))
-    chosen = msgs.join(paths, ["conv_id", "id"])
-    return formatted(chosen.select(F.col("conv_id").alias("conv"), F.col("id").alias("turn"), "role", "text"))
+    """Plain conversations (conv_id, turn, role, text) as reply trees: each turn replies to the one before it. Rows without
+    a conv_id are one conversation, whose conv is null; an empty table gives no rows; other columns are ignored."""
+    # Keys of joins are not null.
+    tree = F.struct(F.col("conv_id").isNull().alias("none"), F.coalesce("conv_id", F.lit(0)).cast("long").alias("id"))
+    keyed = rows.select(tree.alias("tree"), "turn", "role", "text")
+    order = W.partitionBy("tree").orderBy("turn", "role", "text")
+    msgs = written(keyed.withColumn("id", F.row_number().over(order)), "chat-messages")
+    nodes = msgs.select("tree", "id", F.when(F.col("id") > 1, F.col("id") - 1).alias("parent"), F.lit(1.0).alias("score"))
+    chosen = reply_paths(nodes).join(msgs, ["tree", "id"]).select("tree", F.col("depth").alias("turn"), "role", "text")
+    done = formatted(chosen.withColumnRenamed("tree", "conv"))
+    return done.withColumn("conv", F.when(~F.col("conv.none"), F.col("conv.id")))
 
 
 def read_back(done: DataFrame) -> DataFrame:

@@ -2,13 +2,14 @@
 
 A training text and a benchmark text that share 13 consecutive words also share, for k = 5 and windows of
 w = 9 k-grams, at least one winnowed fingerprint: the smallest k-gram hash of each window of w is kept on both
-sides, and 13 = w + k - 1 words hold exactly one such window. Fingerprints of the two sides are joined, each hit
-is extended to the left and right word by word, and a span of 13 words or more is a shared passage. Items of
-fewer words than a window are one window each and are looked up whole.
-
-The benchmark's index goes to the executors in blocks of at most ``block_bytes`` of text, so what is sent at once
-has a fixed bound however large the benchmark is; one more block means one more mapping step in the same pass over
-the documents. Documents are never shuffled, so hot sources, copies and passages cannot skew anything.
+sides, and 13 = w + k - 1 words hold exactly one such window. Fingerprints of the two sides are joined; each hit is
+extended to every window of 13 words around it, and those that the benchmark has are shared passages. A window is looked
+up once for each text however often it stands there or in an item, so texts of few different words cost no more than
+others. Items of fewer words than a window are one window each and are looked up whole.
+
+The benchmark's index goes to the executors in blocks of at most ``block_bytes`` of text, so what is sent at once has a
+fixed bound however large the benchmark is; with more than one block, each is a pass of its own over the documents, whose
+rows are written in between. Documents are never shuffled, so hot sources, copies and passages cannot skew anything.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docengine.llm import bytewords as bw
-from docengine.llm.spill import table
+from docengine.llm.spill import Scratch, table
 
 WINDOW_WORDS = 13
 GRAM_WORDS = 5
@@ -40,10 +41,11 @@ class Index:
     window: int
     k: int
     ids: list[str] = field(default_factory=list)
-    words: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
-    item_of: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    #: Different fingerprints, sorted.
     prints: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
-    at: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    #: Hashes of whole windows, sorted, and an item of each; once for each item.
+    whole: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    owner: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     #: Word count -> (sorted hashes of whole items, the item of each).
     short: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
 
@@ -77,20 +79,38 @@ def build_index(items: list[tuple[str, str]], window: int, k: int) -> Index:
     raw = [t.encode() for _, t in items]
     data = np.frombuffer(b"".join(raw), np.uint8)
     offsets = np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
-    index.words, index.item_of = words_of(data, offsets)
-    prints, at = winnowed(index.words, index.item_of, k, window)
-    order = np.argsort(prints, kind="stable")
-    index.prints, index.at = prints[order], at[order]
-    sizes = np.bincount(index.item_of, minlength=len(items))
+    words, item_of = words_of(data, offsets)
+    index.prints = np.unique(winnowed(words, item_of, k, window)[0])
+    index.whole, index.owner = _once(*_owned(words, item_of, window))
+    sizes = np.bincount(item_of, minlength=len(items))
     for size in sorted(set(sizes[(sizes > 0) & (sizes < window)].tolist())):
-        gram, first = bw.grams(index.words, index.item_of, size)
-        own = index.item_of[first]
-        whole = sizes[own] == size
-        order = np.argsort(gram[whole], kind="stable")
-        index.short[size] = gram[whole][order], own[whole][order]
+        gram, own = _owned(words, item_of, size)
+        short = sizes[own] == size
+        index.short[size] = _once(gram[short], own[short])
     return index
 
 
+def _owned(words: np.ndarray, text_of: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    gram, first = bw.grams(words, text_of, k)
+    return gram, text_of[first]
+
+
+def _once(gram: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each pair once, in order of the hashes."""
+    order = np.lexsort((own, gram))
+    gram, own = gram[order], own[order]
+    new = np.ones(len(gram), bool)
+    new[1:] = (gram[1:] != gram[:-1]) | (own[1:] != own[:-1])
+    return gram[new], own[new]
+
+
+def _within(keys: np.ndarray, queries: np.ndarray) -> np.ndarray:
+    """Which queries are among the sorted keys."""
+    if not len(keys):
+        return np.zeros(len(queries), bool)
+    return keys[np.minimum(np.searchsorted(keys, queries), len(keys) - 1)] == queries
+
+
 def _matches(keys: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All (query, key) index pairs with equal values; ``keys`` is sorted."""
     lo, hi = np.searchsorted(keys, queries, "left"), np.searchsorted(keys, queries, "right")
@@ -106,39 +126,26 @@ def find(index: Index, words: np.ndarray, text_of: np.ndarray) -> tuple[np.ndarr
     window, k = index.window, index.k
     marks = np.zeros(len(words) + 1, np.int64)
     texts, items = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+
+    def found(starts: np.ndarray, gram: np.ndarray, size: int, keys: np.ndarray, own: np.ndarray) -> None:
+        good = _within(keys, gram)
+        np.add.at(marks, starts[good], 1)
+        np.add.at(marks, starts[good] + size, -1)
+        gram, text = _once(gram[good], text_of[starts[good]])
+        query, key = _matches(keys, gram)
+        texts.append(text[query])
+        items.append(own[key])
+
     if len(index.prints):
         prints, at = winnowed(words, text_of, k, window)
-        query, key = _matches(index.prints, prints)
-        p, q = at[query], index.at[key]
-        reach = window - k
-
-        def run(step: int, from_p: np.ndarray, from_q: np.ndarray) -> np.ndarray:
-            length, going = np.zeros(len(p), np.int64), np.ones(len(p), bool)
-            for j in range(reach):
-                a, b = from_p + step * j, from_q + step * j
-                ok = going & (a >= 0) & (b >= 0) & (a < len(words)) & (b < len(index.words))
-                a, b = np.where(ok, a, 0), np.where(ok, b, 0)
-                going = ok & (words[a] == index.words[b]) & (text_of[a] == text_of[p]) & (index.item_of[b] == index.item_of[q])
-                length += going
-            return length
-
-        if len(p):
-            equal = np.ones(len(p), bool)
-            for j in range(k):
-                equal &= words[p + j] == index.words[q + j]
-            left, right = run(-1, p - 1, q - 1), run(1, p + k, q + k)
-            good = equal & (left + right + k >= window)
-            np.add.at(marks, (p - left)[good], 1)
-            np.add.at(marks, (p + k + right)[good], -1)
-            texts.append(text_of[p[good]])
-            items.append(index.item_of[q[good]])
+        hit = at[_within(index.prints, prints)]
+        starts = np.unique(hit[:, None] - np.arange(window - k + 1)[None])
+        starts = starts[(starts >= 0) & (starts + window <= len(words))]
+        starts = starts[text_of[starts] == text_of[starts + window - 1]]
+        found(starts, bw.grams_at(words, starts, window), window, index.whole, index.owner)
     for size, (keys, own) in index.short.items():
         gram, first = bw.grams(words, text_of, size)
-        query, key = _matches(keys, gram)
-        np.add.at(marks, first[query], 1)
-        np.add.at(marks, first[query] + size, -1)
-        texts.append(text_of[first[query]])
-        items.append(own[key])
+        found(first, gram, size, keys, own)
     return marks, np.concatenate(texts), np.concatenate(items)
 
 
@@ -181,12 +188,17 @@ def decontaminate(
     empty = "cast(array() as array<struct<s:long,e:long>>) as spans", "cast(array() as array<string>) as items"
     out = base.selectExpr(*(f"`{c}`" for c in own), "0L as n_words", *empty, "text")
     ahead: list[tuple[str, str]] = []
+    scratch, step = Scratch(spark, "decontamination"), 0
     for items in chain(item_blocks(benchmark, block_bytes), [None]):
         if items is None or ahead:
             # Only a step that another one follows hands on the texts, unless they are to be kept.
             sent = spark.sparkContext.broadcast(build_index(ahead, window, k))
             texts = items is not None or "text" in (keep or [])
             out = out.mapInArrow(_mapper(sent, texts), carried + ", text string" * texts)
+            if items is not None:
+                step += 1
+                out = scratch.write(out, f"block{step}")
+                scratch.drop(f"block{step - 1}")
         ahead = items or []
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, x: acc + x["e"] - x["s"])
     return out.select(*(keep or ["doc_id"]), "n_words", hit.alias("n_hit"), "items", F.col("spans").alias("hit_spans"))
@@ -223,6 +235,7 @@ def _mapper(sent, keep_text: bool):
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of ``documents`` against all of ``benchmark``."""
     found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return judged(found).drop("items", "hit_spans")
 

@@ -20,11 +20,11 @@ from pyspark.sql import functions as F
 
 from docengine.llm import bytewords as bw
 from docengine.llm.spill import table
-from docengine.llm.toxicity import fold, sample
+from docengine.llm.toxicity import fold, labelled, sample
 
-#: At most so many labelled documents of each class are used to fit, of at most so many code points each.
+#: At most so many labelled documents of each class give means and covariances, of at most so many code points in all.
 SAMPLE_PER_CLASS = 3000
-SAMPLE_CHARS = 20_000
+SAMPLE_CHARS = 9_000_000
 THRESHOLD = 0.3
 #: Shares of the pooled covariance and of the identity in each class's covariance.
 TO_POOLED, TO_IDENTITY = 0.2, 0.05
@@ -111,11 +111,14 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(density[1] - density[0], -30, 30)))
 
 
-def fit(x: np.ndarray, y: np.ndarray) -> Model:
-    """Fit on statistics and labels. A class with no rows leaves the prior alone to decide."""
+def fit(x: np.ndarray, y: np.ndarray, prior: tuple[int, int] | None = None) -> Model:
+    """Fit on statistics and labels; ``prior`` is how many rows of each class there are in all, by default those given. A
+    class with no rows leaves the prior alone to decide."""
     d = x.shape[1] if len(x) else len(NAMES)
+    y = np.zeros(0) if y is None else y
+    known = np.array(prior if prior is not None else [(y == 0).sum(), (y == 1).sum()], float)
+    share = np.clip(known / known.sum(), 1e-3, 1 - 1e-3) if known.sum() else np.array([0.5, 0.5])
     if not len(x) or y.min() == y.max():
-        share = np.array([0.5, 0.5]) if not len(x) else np.clip([1 - y.mean(), y.mean()], 1e-3, None)
         return Model(np.zeros(d), np.ones(d), np.zeros((2, d)), np.stack([np.eye(d)] * 2), np.zeros(2), np.log(share))
     center, scale = x.mean(0), np.maximum(x.std(0), 1e-6)
     z = (x - center) / scale
@@ -131,7 +134,7 @@ def fit(x: np.ndarray, y: np.ndarray) -> Model:
         factor = np.linalg.cholesky(cov)
         inverse.append(np.linalg.inv(factor))
         log_det.append(2 * np.log(np.diag(factor)).sum())
-    return Model(center, scale, means, np.stack(inverse), np.array(log_det), np.log(counts / counts.sum()))
+    return Model(center, scale, means, np.stack(inverse), np.array(log_det), np.log(share))
 
 
 def statistics_of(texts: list[str]) -> np.ndarray:
@@ -150,18 +153,21 @@ def _scorer(sent):
 
 
 def trained(documents: DataFrame, labels: DataFrame, train: Column) -> Model:
+    """Means and covariances come from a bounded sample, the classes' prior from all labels to learn from."""
+    counts = {r["y"]: r["n"] for r in labelled(labels, "quality", train).groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     rows = sample(documents, labels, "quality", train, SAMPLE_PER_CLASS, SAMPLE_CHARS)
-    return fit(statistics_of([t for t, _ in rows]), np.array([y for _, y in rows]))
+    return fit(statistics_of([t for t, _ in rows]), np.array([y for _, y in rows]), (counts.get(0, 0), counts.get(1, 0)))
 
 
 def score(documents: DataFrame, model: Model) -> DataFrame:
     """One row per row of ``documents`` (doc_id, text): doc_id, score. Null, empty and wordless texts score as a text whose
-    statistics are all zero. Other columns are ignored; repeated rows score alike."""
+    statistics are all zero. Other columns are ignored; repeated rows score alike; an empty table gives no rows."""
     sent = documents.sparkSession.sparkContext.broadcast(model)
     return documents.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(_scorer(sent), "doc_id long, score double")
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all of ``documents`` by a model of the labels outside the held-out fold."""
     documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     scored = score(documents, trained(documents, labels, fold(F.col("doc_id"), 5) != 0))
     return scored.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -4,9 +4,12 @@ The base patterns (``assign``, ``access``, ``hex``) are taken as they are. Beyon
 credential word is split into dictionary words, dates, repeats, sequences, keyboard walks and brute-force spans by
 dynamic programming, so that the product of the parts' guess counts is smallest; a value that still needs
 ``MIN_GUESSES_LOG10`` decimal digits of guesses is a span of kind ``guess``. Values that a guesser reaches early
-(placeholders, walks, dates) add nothing.
+(placeholders, walks, dates, one or two plain words) add nothing; three words are a passphrase.
 
-One pass over the texts, no shuffle. A linear-time filter in Arrow finds the texts worth a closer look.
+The dictionary has common passwords, word forms made by a rule, and the MOST_WORDS words of letters that most rows of the
+corpus itself hold, ranked by that: prose after a credential word is no secret. The words are counted in a pass
+over the texts with partial sums; the scan is one more pass without a shuffle, in which a linear-time filter in Arrow
+finds the texts worth a closer look.
 """
 
 from __future__ import annotations
@@ -46,8 +49,63 @@ winter spring autumn baseball batman superman starwars computer internet server
 manager service account company london paris berlin madrid orange apple banana cookie coffee cheese pepper ginger
 charlie jordan thomas robert daniel andrew jessica jennifer michelle hunter killer soccer hockey ranger tiger eagle
 silver golden purple yellow black white green blue red the and for you are""".split()
-RANK = {w: i + 1 for i, w in enumerate(COMMON)}
-LONGEST_WORD = max(map(len, COMMON))
+# Beginnings and endings that long common words are made of.
+STEMS = """act addit administr allow amount applic approv associ assum attach authentic author avail basic calcul certific
+collect commerc commun configur confirm connect consider construct continu convers correct creat custom decis default defin
+deliver depend deploy describ design detail determin develop direct discuss distribut document educ element encrypt environ
+establish examin express extens financ function generat govern identif implement import increas independ individu inform
+initi instal instruct integr interest intern introduct invest locat manag mean member modif necess notif number object
+observ occur operat opinion organ origin owner parameter particip particular perform permiss person popul posit possib
+prefer prepar present process produc product profess program project protect provid publish quest receiv recognis refer
+regist regul relat repres requir research resid resourc respons restrict result review select separ sequenc session
+signific situat special specif standard statement storag structur student suggest support technic tradit transact transfer
+transform translat understand universit updat valid variabl verif""".split()
+ENDINGS = """ s e es ed er ers ing ings ion ions ation ations ication ications ition itional ional ally al ally ant ance ances ence
+ent ents ment ments mental able ible ability ibility ity ities ive ively ship ships ness y ies ied ic ical ise ised ize ized
+izing ator ators or ors ary ory ful less ly""".split(" ")
+#: Words of the corpus that the dictionary takes, and how long its words are.
+MOST_WORDS = 50_000
+LEAST_WORD, LONGEST_WORD = 3, 24
+#: Words that one task counts before it hands on its counts.
+HELD_WORDS = 200_000
+
+
+def ranked(words: list[str]) -> dict[str, int]:
+    """Words to ranks: common passwords first, then the given words in order, then the forms made of stems and endings."""
+    forms = (stem + end for end in ENDINGS for stem in STEMS)
+    return {w: i + 1 for i, w in enumerate(dict.fromkeys([*COMMON, *words, *forms]))}
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: dict[str, int] = {}
+
+    def done() -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
+        held.clear()
+        return out
+
+    for batch in batches:
+        for part in range(0, batch.num_rows, 256):
+            words = pc.split_pattern_regex(pc.utf8_lower(pc.fill_null(batch.column(0).slice(part, 256), "")), r"[^a-z]+")
+            size = pc.utf8_length(words.flatten())
+            mine = pc.and_(pc.greater_equal(size, LEAST_WORD), pc.less_equal(size, LONGEST_WORD))
+            # Once for each row.
+            rows = pa.table([pc.list_parent_indices(words), words.flatten()], names=["row", "word"]).filter(mine).group_by(["row", "word"]).aggregate([])
+            for x in pc.value_counts(rows["word"].combine_chunks()):
+                word, n = x["values"].as_py(), x["counts"].as_py()
+                held[word] = held.get(word, 0) + n
+            if len(held) >= HELD_WORDS:
+                yield done()
+    if held:
+        yield done()
+
+
+def common_words(documents: DataFrame, most: int = MOST_WORDS) -> list[str]:
+    """The ``most`` words of Latin letters that most rows hold, ties by the word; at most LONGEST_WORD letters each."""
+    counted = documents.select("text").mapInArrow(_counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return [r["word"] for r in counted.where("n > 1").orderBy(F.desc("n"), "word").limit(most).collect()]
+
+
 # Characters that stand for letters, and the rows and columns of a keyboard.
 LEET = str.maketrans("4@831!0$57", "aabeliosst")
 WALKS = "`1234567890-= qwertyuiop[]\\ asdfghjkl;' zxcvbnm,./ 1qaz 2wsx 3edc 4rfv 5tgb 6yhn 7ujm 8ik, 9ol. 0p;/".split()
@@ -59,50 +117,55 @@ PER_CHAR, PER_PART = 1.0, 0.3
 LONGEST_UNIT = 8
 
 
-def _parts(value: str) -> list[list[tuple[int, float]]]:
-    """For each start, (end, log10 guesses) of the parts that begin there, brute force left out."""
+RANK = ranked([])
+
+
+def _runs(holds: list[bool]) -> list[int]:
+    """How many True stand in a row from each place on."""
+    out, n = [0] * len(holds), 0
+    for i in range(len(holds) - 1, -1, -1):
+        n = n + 1 if holds[i] else 0
+        out[i] = n
+    return out
+
+
+def _parts(value: str, rank: dict[str, int] | None = None) -> list[list[tuple[int, float]]]:
+    """For each start, (end, log10 guesses) of the parts that begin there, brute force left out; some thirty at most."""
+    rank = RANK if rank is None else rank
     n, low = len(value), value.lower()
     plain = low.translate(LEET)
     out: list[list[tuple[int, float]]] = [[] for _ in range(n)]
+    period = [_runs([value[i] == value[i + u] for i in range(n - u)]) + [0] * u for u in range(1, LONGEST_UNIT + 1)]
+    steps = [_runs([ord(b) - ord(a) == step and b.isalnum() for a, b in zip(low, low[1:], strict=False)]) + [0] for step in (1, -1)]
+    walks = _runs([pair in NEXT_KEY for pair in zip(low, low[1:], strict=False)]) + [0]
     for i in range(n):
-        for j in range(i + 3, min(n, i + LONGEST_WORD) + 1):
+        for j in range(i + LEAST_WORD, min(n, i + LONGEST_WORD) + 1):
             for text, extra in ((low, 0.0), (plain, math.log10(4))):
-                if rank := RANK.get(text[i:j]):
+                if found := rank.get(text[i:j]):
                     case = 0.0 if value[i:j] == low[i:j] else math.log10(2)
-                    out[i].append((j, math.log10(rank) + extra + case))
+                    out[i].append((j, math.log10(found) + extra + case))
                     break
         if m := DATE.match(value, i):
             out[i].append((m.end(), math.log10(365 * 120 if m.end() - i > 4 else 120)))
-        for unit in range(1, min(LONGEST_UNIT, (n - i) // 2) + 1):
-            j = i + unit
-            while value[j : j + unit] == value[i : i + unit]:
-                j += unit
-            times = (j - i) // unit
+        for unit, run in enumerate(period, 1):
+            times = 1 + run[i] // unit
             if times >= (3 if unit == 1 else 2):
-                out[i].append((j, unit * PER_CHAR + math.log10(times)))
-        for step in (1, -1):
-            j = i + 1
-            while j < n and ord(low[j]) - ord(low[j - 1]) == step and low[j].isalnum():
-                j += 1
-            if j - i >= 3:
-                out[i].append((j, math.log10(26 * (j - i))))
-        j, turns = i + 1, 1
-        while j < n and (low[j - 1], low[j]) in NEXT_KEY:
-            turns += j - i > 1 and ((low[j], low[j - 1]) in NEXT_KEY) != ((low[j - 1], low[j]) in NEXT_KEY)
-            j += 1
-        if j - i >= 3:
-            out[i].append((j, math.log10(47 * (j - i)) + turns * math.log10(2)))
+                out[i].append((i + unit * times, unit * PER_CHAR + math.log10(times)))
+        for run in steps:
+            if run[i] >= 2:
+                out[i].append((i + run[i] + 1, math.log10(26 * (run[i] + 1))))
+        if walks[i] >= 2:
+            out[i].append((i + walks[i] + 1, math.log10(47 * (walks[i] + 1)) + math.log10(2)))
     return out
 
 
-def guess_cost(value: str) -> float:
-    """log10 of the guesses for the cheapest segmentation of ``value``; 0 for an empty one. Linear in its length,
-    but for the repeats of long runs."""
+def guess_cost(value: str, rank: dict[str, int] | None = None) -> float:
+    """log10 of the guesses for the cheapest segmentation of ``value``; 0 for an empty one. Linear in its length."""
     n = len(value)
     # Cheapest with the last part a known one, and with a brute-force span still open.
     known, brute = [math.inf] * (n + 1), [math.inf] * (n + 1)
     known[0] = 0.0
-    parts = _parts(value)
+    parts = _parts(value, rank)
     for i in range(n):
         best = min(known[i], brute[i])
         brute[i + 1] = min(brute[i + 1], brute[i] + PER_CHAR, known[i] + PER_PART + PER_CHAR)
@@ -119,11 +182,11 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def guess_spans(text: str) -> list[tuple[int, int, int]]:
+def guess_spans(text: str, rank: dict[str, int] | None = None) -> list[tuple[int, int, int]]:
     found = []
     for m in CONTEXT.finditer(text):
         value = m[1].rstrip(".:!?")
-        if len(value) >= 6 and guess_cost(value) >= MIN_GUESSES_LOG10:
+        if len(value) >= 6 and guess_cost(value, rank) >= MIN_GUESSES_LOG10:
             found.append((m.start(1), 3, m.start(1) + len(value)))
     return found
 
@@ -132,7 +195,7 @@ def joined(found: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in found)
 
 
-def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _run(batches: Iterator[pa.RecordBatch], rank: dict[str, int]) -> Iterator[pa.RecordBatch]:
     none = hashlib.sha256(b"").hexdigest()
     for batch in batches:
         texts = pc.fill_null(batch.column(1), "")
@@ -144,47 +207,54 @@ def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             base = base_spans(text)
             for _, k, _ in base:
                 counts[k][i] += 1
-            more = guess_spans(text)
+            more = guess_spans(text, rank)
             counts[3][i] = len(more)
             sums[i], spans[i] = hashlib.sha256(joined(base).encode()).hexdigest(), joined(sorted(base + more))
         arrays = [batch.column(0), *(pa.array(x, pa.int64()) for x in counts), pa.array(sums), pa.array(spans)]
         yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_assign", "n_access", "n_hex", "n_guess", "base_sha256", "spans"])
 
 
-def scan(documents: DataFrame) -> DataFrame:
+def _sent(documents: DataFrame, words: list[str] | None):
+    """The dictionary as a broadcast of bounded size: ``words``, or those of the corpus."""
+    return documents.sparkSession.sparkContext.broadcast(ranked(common_words(documents) if words is None else words))
+
+
+def scan(documents: DataFrame, words: list[str] | None = None) -> DataFrame:
     """One row per row of ``documents`` (doc_id, text): doc_id, n_assign, n_access, n_hex, n_guess, base_sha256, spans.
 
-    Offsets are code points, ends exclusive. A null text is empty and has no spans. Repeated rows are scanned each;
-    other columns are ignored; an empty table gives no rows.
+    Offsets are code points, ends exclusive. ``words`` stand in the dictionary in place of the corpus's own. A null text is
+    empty and has no spans. Repeated rows are scanned each; other columns are ignored; an empty table gives no rows.
     """
-    return documents.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(
-        _run, "doc_id long, n_assign long, n_access long, n_hex long, n_guess long, base_sha256 string, spans string"
-    )
+    sent = _sent(documents, words)
+    kinds = "doc_id long, n_assign long, n_access long, n_hex long, n_guess long, base_sha256 string, spans string"
+    return documents.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(lambda batches: _run(batches, sent.value), kinds)
 
 
-def mask(text: str) -> str:
+def mask(text: str, rank: dict[str, int] | None = None) -> str:
     """``text`` with each span replaced by its kind in brackets; spans that overlap become one, named by the first."""
     out, at = [], 0
-    for start, kind, end in sorted(base_spans(text) + guess_spans(text)):
+    for start, kind, end in sorted(base_spans(text) + guess_spans(text, rank)):
         if start >= at:
             out += [text[at:start], f"[{KINDS[kind].upper()}]"]
         at = max(at, end)
     return "".join(out) + text[at:]
 
 
-def _mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _mask(batches: Iterator[pa.RecordBatch], rank: dict[str, int]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         place = batch.schema.get_field_index("text")
         texts = batch.column(place)
         worth = pc.fill_null(pc.match_substring_regex(texts, MAYBE), False)
-        made = [mask(t) if w else t for t, w in zip(texts.to_pylist(), worth.to_pylist(), strict=True)]
+        made = [mask(t, rank) if w else t for t, w in zip(texts.to_pylist(), worth.to_pylist(), strict=True)]
         columns = dict(zip(batch.schema.names, batch.columns, strict=True)) | {"text": pa.array(made, texts.type)}
         yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
-def masked(documents: DataFrame) -> DataFrame:
-    """``documents`` with all columns, secrets in ``text`` masked and ``n_chars``, if there, counted anew; a null text stays null, with the n_chars it has."""
-    out = documents.mapInArrow(_mask, documents.schema)
+def masked(documents: DataFrame, words: list[str] | None = None) -> DataFrame:
+    """``documents`` with all columns, secrets in ``text`` masked and ``n_chars``, if there, counted anew; a null text stays
+    null, with the n_chars it has. ``words`` as for ``scan``."""
+    sent = _sent(documents, words)
+    out = documents.mapInArrow(lambda batches: _mask(batches, sent.value), documents.schema)
     if "n_chars" in documents.columns:
         kind = documents.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.coalesce(F.length("text").cast(kind), F.col("n_chars")))
@@ -192,6 +262,7 @@ def masked(documents: DataFrame) -> DataFrame:
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of ``documents``, with the words of ``documents`` in the dictionary."""
     return scan(table(spark, sf_dir, "documents"))
 
 

@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 from docengine.llm import bytewords as bw
 from docengine.llm.spill import table
 
-#: At most so many labelled documents of each class are used to fit, of at most so many code points each.
+#: At most so many labelled documents of each class are used to fit, of at most so many code points in all.
 SAMPLE_PER_CLASS = 1000
-SAMPLE_CHARS = 6_000
+SAMPLE_CHARS = 3_000_000
 SLOTS = 1 << 18
 ROW = 32
 PREFIXES = (4, 5, 6)
@@ -192,7 +192,8 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     # All rows with a toxic token, and others evenly up to the bound; unmarked rows of toxic documents are left out.
     has = np.bincount(row[marks], minlength=len(row_text)) > 0
     rest = np.flatnonzero(~has & ~toxic[row_text])
-    some = np.flatnonzero(has)[:TRAIN_ROWS // 2]
+    some = np.flatnonzero(has)
+    some = some[:: max(1, -(-len(some) // (TRAIN_ROWS // 2)))]
     use = np.sort(np.concatenate([some, rest[:: max(1, -(-len(rest) // (TRAIN_ROWS - len(some))))]]))
     place = np.full(len(row_text), -1)
     place[use] = np.arange(len(use))
@@ -307,18 +308,31 @@ def fold(doc_id: Column, n: int) -> Column:
 
 
 def sample(documents: DataFrame, labels: DataFrame, label: str, train: Column, per_class: int, chars: int) -> list[tuple[str, int]]:
-    """At most ``per_class`` labelled texts of each class, those of the smallest hash of doc_id; bounded in all."""
-    known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & train).groupBy("doc_id").agg(F.max(label).alias("y"))
-    picked = None
+    """At most ``per_class`` labelled texts of each class, in order of a hash of doc_id, of at most ``chars`` code points in
+    all: a text that the rest of the bound does not hold is passed over, texts of any length within it are not."""
+    known = labelled(labels, label, train)
+    sizes = documents.where("doc_id is not null and text is not null").groupBy("doc_id").agg(F.sum(F.length("text")).alias("n"))
+    sized = known.join(sizes, "doc_id")
+    chosen = []
     for y in (0, 1):
-        part = known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
-        picked = part if picked is None else picked.unionByName(part)
-    texts = documents.where(F.col("text").isNotNull() & (F.length("text") <= chars)).select("doc_id", "text")
+        left = chars
+        for row in sized.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).collect():
+            if row["n"] <= left:
+                left -= row["n"]
+                chosen.append((row["doc_id"], y))
+    if not chosen:
+        return []
+    picked = documents.sparkSession.createDataFrame(chosen, "doc_id long, y int")
     # The picked rows are at most 2 * per_class.
-    rows = texts.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "y").orderBy("doc_id", "text").limit(4 * per_class).collect()
+    rows = documents.where("text is not null").select("doc_id", "text").join(F.broadcast(picked), "doc_id").orderBy("doc_id", "text").collect()
     return [(r["text"], int(r["y"])) for r in rows]
 
 
+def labelled(labels: DataFrame, label: str, train: Column) -> DataFrame:
+    """doc_id and label y (0 or 1) of the rows to learn from; of labels that differ the larger one."""
+    return labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & train).groupBy("doc_id").agg(F.max(label).alias("y"))
+
+
 def score(documents: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
     """One row per row of ``documents`` (doc_id, text): doc_id, score, spans (start and end in code points of the runs of
     tokens whose marginal is at least SPAN_MARGINAL). Null and empty texts get the score of a text without tokens.
@@ -336,13 +350,15 @@ def trained(documents: DataFrame, labels: DataFrame, train: Column) -> Model:
 
 
 def toxic_scores(documents: DataFrame, labels: DataFrame, labelled_texts: DataFrame | None = None) -> DataFrame:
-    """Scores of ``documents`` by a model of the labelled rows outside the held-out fold."""
+    """Scores of ``documents`` by a model of the labelled rows outside the held-out fold. Without any such rows every score
+    is the prior; an empty table gives no rows."""
     train = fold(F.col("doc_id"), 3) != 1
     scored = score(documents, trained(labelled_texts if labelled_texts is not None else documents, labels, train))
     return scored.withColumns({"held_out": fold(F.col("doc_id"), 3) == 1, "predicted": (F.col("score") >= THRESHOLD).cast("int")})
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all of ``documents`` by a model of the labels outside the held-out fold."""
     out = toxic_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     text = F.expr("array_join(transform(spans, x -> concat(x.start, ':', x.end)), ',')")
     return out.select("doc_id", "held_out", "score", "predicted", text.alias("spans"))

@@ -49,6 +49,107 @@ def test_guess_cost_is_the_cheapest_segmentation():
     assert secret_scan.guess_cost("changeme123") < secret_scan.MIN_GUESSES_LOG10 < secret_scan.guess_cost("b7db7aa4a5fcc78305")
 
 
+def test_words_after_a_credential_word_are_no_secrets():
+    prose = ["configuration", "identification", "relationship", "references", "understanding", "thedefaultvalue", "changeme123", "administrator"]
+    for v in prose:
+        assert secret_scan.guess_cost(v) < secret_scan.MIN_GUESSES_LOG10, v
+    rng = np.random.default_rng(4)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz0123456789"))
+    for v in prose:
+        assert secret_scan.guess_cost("".join(rng.choice(letters, max(len(v), 14)))) >= secret_scan.MIN_GUESSES_LOG10
+    assert secret_scan.guess_cost("anblewhsttible", secret_scan.ranked(["anblewh", "sttible"])) < 5 < 10 < secret_scan.guess_cost("anblewhsttible")
+
+
+def test_guess_cost_is_linear():
+    import time
+
+    for unit in ("a", "qw", "abc", "ab12"):
+        value = unit * (200_000 // len(unit))
+        began = time.time()
+        assert secret_scan.guess_cost(value) < 20
+        assert time.time() - began < 30
+
+
+def test_words_of_the_corpus(spark):
+    rows = [("Alpha beta alpha",), ("beta GAMMA",), ("beta x yz " + "q" * 40,), (None,), ("",), ("gamma9gamma",)]
+    frame = spark.createDataFrame(rows, "text string")
+    assert secret_scan.common_words(frame) == ["beta", "gamma"] and secret_scan.common_words(frame, 1) == ["beta"]
+    assert secret_scan.common_words(frame.limit(0)) == []
+
+
+def test_base_columns_by_brute_force(spark, sf):
+    """The base patterns character by character, without regular expressions, over all texts."""
+    import hashlib
+
+    value = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+    words = ("password", "passwd", "secret", "token", "apikey", "api_key")
+
+    def assign_at(t, i):
+        for w in words:
+            if ascii_lower(t[i : i + len(w)]) != w:
+                continue
+            j = i + len(w)
+            j += j < len(t) and t[j] in "\"'"
+            # An optional quote may be left out again only where no separator follows it.
+            while j < len(t) and t[j] == " ":
+                j += 1
+            if j >= len(t) or t[j] not in ":=":
+                continue
+            j += 1
+            while j < len(t) and t[j] == " ":
+                j += 1
+            j += j < len(t) and t[j] in "\"'"
+            e = j
+            while e < len(t) and t[e] in value:
+                e += 1
+            if e > j:
+                return e, e - j
+        return None
+
+    def runs(t, start, member):
+        i = 0
+        while i < len(t):
+            if t.startswith(start, i):
+                e = i + len(start)
+                while e < len(t) and t[e] in member:
+                    e += 1
+                if e > i + len(start):
+                    yield i, e
+                    i = e
+                    continue
+            i += 1
+
+    some = spark.read.parquet(f"{sf.replace('sf0.001', 'sf0.01')}/documents.parquet")
+    got = {r["doc_id"]: r for r in secret_scan.scan(some).collect()}
+    upper, hexes = set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), set("0123456789abcdef")
+    seen = 0
+    for r in some.collect():
+        t, found, i = r["text"] or "", [], 0
+        while i < len(t):
+            m = assign_at(t, i) if ascii_lower(t[i]) in "pstar" else None
+            if m:
+                if m[1] >= 8:
+                    found.append((i, 0, m[0]))
+                i = m[0]
+            else:
+                i += 1
+        found += [(s, 1, e) for s, e in runs(t, "AKIA", upper) if e - s >= 16]
+        i = 0
+        while i < len(t):
+            e = i
+            while e < len(t) and t[e] in hexes:
+                e += 1
+            if e - i >= 32:
+                found.append((i, 2, e))
+            i = max(e, i + 1)
+        g = got[r["doc_id"]]
+        assert [g["n_assign"], g["n_access"], g["n_hex"]] == [sum(k == x for _, k, _ in found) for x in range(3)]
+        names = ",".join(f"{('assign', 'access', 'hex')[k]}:{s}:{e}" for s, k, e in sorted(found))
+        assert g["base_sha256"] == hashlib.sha256(names.encode()).hexdigest()
+        seen += len(found)
+    assert seen
+
+
 def test_secret_spans(spark):
     key = "AKIA" + "B" * 12
     rows = ["password=hunter22 x", "Token: 'abc'", key, "AKIA1", "f" * 32 + "g", "api-key: zzzzzzzz", "API_KEY = \"Zz9-Zz9-Zz9q\"", "password: secret: abcdefgh12", "ſecret=abcdefgh", "my pwd is tR7#kq9!Lm2", None, "é password=aaaaaaaa1"]
@@ -122,6 +223,12 @@ def test_held_out_accuracy(spark, sf):
         held = [r for r in rows if r["held_out"] and r["doc_id"] in labels]
         right = sum(r["predicted"] == labels[r["doc_id"]][name] for r in held)
         assert right >= least * len(held)
+        # The rarer label by itself.
+        rare = min((0, 1), key=lambda y: sum(labels[r["doc_id"]][name] == y for r in held))
+        true = [r for r in held if labels[r["doc_id"]][name] == rare]
+        said = [r for r in held if r["predicted"] == rare]
+        both = sum(r["predicted"] == rare for r in true)
+        assert both >= 0.75 * len(true) and both >= 0.75 * len(said), (name, both, len(true), len(said))
 
 
 def test_discriminant_is_the_plain_formula():
@@ -140,8 +247,25 @@ def test_discriminant_is_the_plain_formula():
     assert np.allclose(m.score(x), 1 / (1 + np.exp(logs[0] - logs[1])))
 
 
+def test_prior_is_that_of_all_labels(spark, monkeypatch):
+    """What a sample leaves out counts for the prior all the same; a text over the bound is passed over, others are not."""
+    rows = [(i, "good words in a row here " * (i % 7 + 1)) for i in range(90)] + [(100 + i, "# # # | | bad " * (i % 5 + 1)) for i in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 100)) for i, _ in rows] + [(None, 1), (5000, None)], "doc_id long, quality int")
+    from pyspark.sql import functions as F
+
+    whole = quality.trained(docs, labels, F.lit(True))
+    monkeypatch.setattr(quality, "SAMPLE_PER_CLASS", 10)
+    few = quality.trained(docs, labels, F.lit(True))
+    assert np.allclose(np.exp(few.log_prior), [0.1, 0.9]) and np.allclose(whole.log_prior, few.log_prior)
+    size = {i: len(t) for i, t in rows}
+    got = toxicity.sample(docs, labels, "quality", F.lit(True), 100, 1000)
+    assert 0 < sum(len(t) for t, y in got if y == 1) <= 1000 and sum(len(t) for t, y in got if y == 0) == sum(size[i] for i in range(100, 110) if i in size)
+    assert toxicity.sample(docs.limit(0), labels, "quality", F.lit(True), 100, 1000) == []
+
+
 def test_license_base_and_rules(spark, some):
-    extra = ["SPDX-License-Identifier: Apache-2.0", "GNU  general-public license, version 3 and MIT License", "cc by cc by-nc 4.0", "mit der Lizenz", None, "Licensed under the terms of the Mozilla Public License 2.0", "all rights reserved all rights reserved"]
+    extra = ["SPDX-License-Identifier: Apache-2.0", "GNU  general-public license, version 3 and MIT License", "cc by cc by-nc 4.0", "mit der Lizenz", None, "Licensed under the terms of the Mozilla Public License 2.0", "all rights reserved all rights reserved", "gplv2 a-gpl2 mpl 2.0 example", "cc\tby-sa 3.0", "see gnu.org/licenses/gpl-3.0", "python software foundation licence 2"]
     frame = some.select("doc_id", "text").unionByName(spark.createDataFrame([(10_000 + i, t) for i, t in enumerate(extra)], "doc_id long, text string"))
     got = {r["doc_id"]: r for r in license_scan.scan(frame).collect()}
     for r in frame.collect():
@@ -154,7 +278,8 @@ def test_license_base_and_rules(spark, some):
         assert (g["first_word"], g["last_word"]) == ((min(hits)[0], max(hits)[0]) if hits else (None, None))
         found = []
         for rule in license_scan.rules():
-            if rule["kw"] in low:
+            # A keyword of one word or a mark is part of any match; of several words, it asks for single spaces.
+            if " " not in rule["kw"] or rule["kw"] in low:
                 found += [(rule["p"], m.start(), m.end(), rule["label"], rule["w"]) for m in re.finditer(rule["re"], low, re.A)]
         left = [x for x in found if not any(y[1] <= x[1] and y[2] >= x[2] and (y[0] < x[0] or y[0] == x[0] and y[2] - y[1] > x[2] - x[1]) for y in found)]
         assert set(g["labels"].split(",")) - {""} == {x[3] for x in left} | {label for _, label in hits}, r["text"]

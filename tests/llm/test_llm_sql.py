@@ -114,9 +114,38 @@ def test_jaccard_loses_no_link(spark):
 
 def test_reply_trees(spark):
     msgs = [("t", 1, None, 1.0), ("t", 2, 1, 1.0), ("t", 3, 1, 5.0), ("t", 4, 2, 9.0), ("t", 5, 99, 0.5), ("u", 1, 2, 1.0), ("u", 2, 1, 1.0), ("u", 3, 1, 1.0)]
+    msgs += [("v", i, i - 1 if i else None, 0.1) for i in range(40)] + [("v", 2, 77, 9.0), (None, 1, None, 1.0), ("w", None, None, 1.0), ("x", 1, None, None)]
     frame = spark.createDataFrame(msgs, "tree string, id long, parent long, score double")
-    got = {(r["tree"], r["leaf"]): (r["path"], r["score"], r["rank"]) for r in chat_format.reply_paths(frame).collect()}
-    assert got == {("t", 4): ([1, 2, 4], 11.0, 1), ("t", 3): ([1, 3], 6.0, 2), ("t", 5): ([5], 0.5, 3)}
+    got = {}
+    for r in chat_format.reply_paths(frame, best=9).orderBy("depth").collect():
+        got.setdefault((r["tree"], r["leaf"], r["rank"], round(r["score"], 6)), []).append(r["id"])
+    assert got == {("t", 4, 1, 11.0): [1, 2, 4], ("t", 3, 2, 6.0): [1, 3], ("t", 5, 3, 0.5): [5], ("v", 39, 1, 4.0): list(range(40)), ("x", 1, 1, 0.0): [1]}
+    assert {(r["tree"], r["leaf"]) for r in chat_format.reply_paths(frame).collect()} == {("t", 4), ("v", 39), ("x", 1)}
+
+
+def test_odd_conversations(spark):
+    """Rows without a conv_id are one conversation; repeated rows are turns; other columns do not matter."""
+    rows = [(None, 1, "user", "a", 1), (None, 2, "assistant", "b", 1), (7, None, None, None, 1), (7, 1, "assistant", "x", 1), (7, 1, "assistant", "x", 2)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, tree int")
+    got = {r["conv_id"]: r for r in chat_format.read_back(chat_format.conversations_formatted(frame)).collect()}
+    assert {k: (r["n_turns"], r["loss_chars"]) for k, r in got.items()} == {None: (2, 1), 7: (3, 2)}
+    assert got[None]["turns_sha256"] == hashlib.sha256(b"user\na\nassistant\nb\n").hexdigest()
+    assert got[7]["loss_sha256"] == hashlib.sha256(b"xx").hexdigest()
+    assert chat_format.read_back(chat_format.conversations_formatted(frame.limit(0))).collect() == []
+
+
+def test_texts_of_one_word_cost_no_more(spark):
+    """Repeated words: every place of a document matches every place of an item."""
+    import time
+
+    bench = spark.createDataFrame([(1, "buffalo " * 3000), (2, "buffalo " * 14), (3, "a b " * 500), (4, "buffalo " * 5)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "buffalo " * 100_000), (2, "b a " * 8 + "x"), (3, "buffalo " * 12), (4, "b a b a")], "doc_id long, text string")
+    began = time.time()
+    got = by_id(decontamination.decontaminate(docs, bench))
+    assert time.time() - began < 60
+    assert (got[1][0]["n_hit"], got[1][0]["items"]) == (100_000, ["1", "2", "4"])
+    assert (got[2][0]["n_hit"], got[2][0]["items"]) == (16, ["3"])
+    assert (got[3][0]["n_hit"], got[3][0]["items"]) == (12, ["4"]) and got[4][0]["n_hit"] == 0
 
 
 def test_chat_round_trip(spark):
