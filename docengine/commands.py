@@ -191,7 +191,9 @@ class Commands:
             raise BadFilterError("findAndModify takes remove or update")
         upsert = c.get("upsert", False)
         row = self._target.find_and_modify(name, c.get("query"), sort=c.get("sort"), update=c.get("update"), remove=c.get("remove", False), new=c.get("new", False), upsert=upsert, fields=c.get("fields"))
-        return {"value": row.asDict(recursive=True) if row is not None else None}
+        found = row is not None
+        last = {"n": int(found), **({} if c.get("remove") else {"updatedExisting": found})}
+        return {"value": row.asDict(recursive=True) if found else None, "lastErrorObject": last}
 
     # Catalog.
 

@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docengine.errors import NotFoundError
-from docengine.functions import paths, values
+from docengine.functions import paths, values, variant
 from docengine.functions.filters import compile_filter
 from docengine.operators.find import project, sortable
 from docengine.plans.lineage import cut
-from docengine.plans.stages import Stage, parse, rewrite
+from docengine.plans.stages import IN_ORDER, Stage, parse, rewrite
 
 #: Hidden column with the place of a row in the order of the last sort, where a later stage may lose that order.
 ORDER = "__order"
@@ -71,6 +71,11 @@ class Lowering:
     def do_sort(self, df: DataFrame, arg: list[tuple[str, int]], after: list[Stage]) -> DataFrame:
         """Rows are sorted here if no stage disturbs them until they are looked at; else they only get their place."""
         self.sorted = True
+        if variant.is_variant(df.schema):
+            if any(s.op == "$group" and _takes_in_order(s.arg) for s in after):
+                raise variant.unsupported("$first or $last after $sort")
+            self.in_order = True
+            return df.orderBy(*variant.sorted_by(df, arg))
         later = _loses_order(after)
         if later or any(s.op == "$group" for s in after):
             df = df.drop(ORDER).withColumn(ORDER, order_key(df, arg))
@@ -108,6 +113,8 @@ class Lowering:
         return _with_order(df, out) if ORDER in df.columns else out
 
     def do_unwind(self, df: DataFrame, arg: dict, after: list[Stage]) -> DataFrame:
+        if variant.is_variant(df.schema):
+            raise variant.unsupported("$unwind")
         found = paths.resolve(df.schema, arg["path"], "strict")
         if found is None:
             return df if arg["preserve"] else df.limit(0)
@@ -123,6 +130,8 @@ class Lowering:
     def _foreign(self, df: DataFrame, arg: dict) -> tuple[DataFrame, Column] | None:
         """Foreign documents by key (__key, __doc), and the local key; None where nothing can be equal."""
         other = self.table(arg["from"])
+        if variant.is_variant(df.schema) or variant.is_variant(other.schema):
+            raise variant.unsupported("$lookup")
         local_type = paths.strict_type(df.schema, arg["localField"])
         found = paths.resolve(other.schema, arg["foreignField"])
         doc = F.struct(*(paths.column(c) for c in other.columns)).alias("__doc")
@@ -168,6 +177,9 @@ class Lowering:
         return joined.withColumn(arg["as"], F.col("__doc")).drop("__local", "__key", "__doc")
 
     def do_group(self, df: DataFrame, arg: dict, after: list[Stage]) -> DataFrame:
+        if variant.is_variant(df.schema):
+            self.sorted = self.in_order = False
+            return variant.grouped(df, arg)
         key = group_key(arg["_id"], df.schema)
         order = F.col(ORDER) if ORDER in df.columns else F.col("_id") if "_id" in df.columns else F.lit(0)
         made = [accumulator(spec, df.schema, order).alias(name) for name, spec in arg.items() if name != "_id"]
@@ -195,6 +207,10 @@ def _until_resorted(stages: list[Stage]) -> list[Stage]:
     return out
 
 
+def _takes_in_order(spec: dict) -> bool:
+    return any(next(iter(v)) in IN_ORDER for k, v in spec.items() if k != "_id")
+
+
 def _loses_order(after: list[Stage]) -> bool:
     return any(s.op in LOSES_ORDER for s in _until_resorted(after))
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docengine.errors import BadFilterError
-from docengine.functions import paths
+from docengine.functions import paths, variant
 from docengine.functions.filters import compile_filter, fields_used
 
 SortSpec = dict[str, int] | list[tuple[str, int]] | None
@@ -37,6 +37,10 @@ def ordered(df: DataFrame, spec: SortSpec) -> list[Column]:
     times tie."""
     out = []
     for name, way in sort_keys(spec):
+        if variant.is_variant(df.schema) and name != "_id":
+            c = variant.key(name)
+            out.append(c.asc() if way == 1 else c.desc())
+            continue
         found = paths.field_of(df.schema, name)
         if found is not None and sortable(found.dataType):
             c = paths.column(name)
@@ -48,6 +52,8 @@ def project(df: DataFrame, spec: dict[str, Any] | list[str] | None) -> DataFrame
     """A list keeps ``_id`` and the listed fields; a dict of 1 and 0 includes or excludes top-level fields."""
     if not spec:
         return df
+    if variant.is_variant(df.schema):
+        return variant.project(df, spec)
     if isinstance(spec, (list, tuple)):
         return df.select(*(paths.column(n) for n in dict.fromkeys(["_id", *spec]) if n in df.columns))
     include, exclude, keep_id = [], [], True
@@ -101,6 +107,8 @@ def counted(df: DataFrame, filter_: dict | None = None, name: str = "n") -> Data
 def distinct(df: DataFrame, key: str, filter_: dict | None = None) -> DataFrame:
     """Distinct values at ``key``, a strict path; an array is unrolled one level. Nulls are left out, as missing ones are."""
     kept = df.where(compile_filter(filter_, df.schema)) if filter_ else df
+    if variant.is_variant(df.schema) and key != "_id":
+        return variant.distinct(kept, key)
     found = paths.resolve(df.schema, key, "strict")
     if found is None:
         return df.sparkSession.createDataFrame([], T.StructType([T.StructField("value", T.StringType())]))
@@ -108,10 +116,6 @@ def distinct(df: DataFrame, key: str, filter_: dict | None = None) -> DataFrame:
     return kept.select(value.alias("value")).where("value is not null").distinct()
 
 
-def first_seen(names: Iterable[str]) -> list[str]:
-    return list(dict.fromkeys(names))
-
-
 @dataclass
 class ExplainResult:
     """How a find would run."""
@@ -127,7 +131,7 @@ class ExplainResult:
 
 def explain(df: DataFrame, filter_: dict | None = None, indexes: Iterable[Iterable[str]] = ()) -> ExplainResult:
     """IXSCAN when an index's leading field has a condition, else COLLSCAN; pushed filters as in the physical plan."""
-    used = fields_used(filter_)
+    used = _bounding(filter_)
     text = find(df, filter_)._jdf.queryExecution().executedPlan().toString()
     pushed = [p.strip() for part in text.split("PushedFilters: [")[1:] for p in part.split("]")[0].split(", ") if p.strip()]
     best: list[str] = []
@@ -146,6 +150,21 @@ def explain(df: DataFrame, filter_: dict | None = None, indexes: Iterable[Iterab
     return ExplainResult("IXSCAN", index, best, pushed, exact, not exact, text)
 
 
+def _bounding(filter_: dict | None) -> set[str]:
+    """Fields whose conditions every match meets: those at the top and under $and, not under $or, $nor or $not."""
+    out: set[str] = set()
+    for name, arg in (filter_ or {}).items():
+        if name == "$and":
+            out |= set().union(*(_bounding(part) for part in arg))
+        elif not name.startswith("$"):
+            out.add(name)
+    return out
+
+
+#: A page of a cursor ends behind the row that brings it to so many characters.
+REPLY_CHARS = 16 << 20
+
+
 class Cursor:
     """Pages of a result through the driver; at most a page is held at once."""
 
@@ -153,13 +172,14 @@ class Cursor:
         self._rows, self._batch, self.done = df.toLocalIterator(), batch, False
 
     def next_batch(self, size: int | None = None) -> list:
-        out = []
-        for _ in range(size or self._batch):
+        out, held = [], 0
+        while len(out) < (size or self._batch) and held < REPLY_CHARS:
             row = next(self._rows, None)
             if row is None:
                 self.done = True
                 break
             out.append(row)
+            held += len(repr(row))
         return out
 
     def kill(self) -> None:

@@ -28,14 +28,19 @@ def check_edge(start: str, end: str) -> None:
         raise BadFilterError("an edge has two ends")
 
 
-def steps(edges: DataFrame, direction: str = OUT) -> DataFrame:
-    """Distinct (src, dst) in the direction asked for; edges without both ends are left out."""
+def links_of(edges: DataFrame, direction: str = OUT) -> DataFrame:
+    """(src, dst) in the direction asked for, repeated edges as they are; edges without both ends are left out."""
+    if direction not in (OUT, IN, BOTH):
+        raise BadFilterError("direction is out, in or both")
     real = edges.where("_from is not null and _to is not null and _from <> '' and _to <> ''")
     forth = real.select(F.col("_from").alias("src"), F.col("_to").alias("dst"))
     back = real.select(F.col("_to").alias("src"), F.col("_from").alias("dst"))
-    if direction not in (OUT, IN, BOTH):
-        raise BadFilterError("direction is out, in or both")
-    return (forth if direction == OUT else back if direction == IN else forth.unionByName(back)).distinct()
+    return forth if direction == OUT else back if direction == IN else forth.unionByName(back)
+
+
+def steps(edges: DataFrame, direction: str = OUT) -> DataFrame:
+    """Distinct (src, dst) of ``links_of``."""
+    return links_of(edges, direction).distinct()
 
 
 def neighbors(edges: DataFrame, vertex: str, direction: str = OUT) -> DataFrame:
@@ -59,16 +64,18 @@ def _depth(asked: int, default: int) -> int:
 
 
 def _levels(edges: DataFrame, start: str, direction: str, depth: int, stop: str | None = None):
-    """Yields each level's (vertex, depth, path), the start first."""
+    """Yields each level's (vertex, depth, path), the start first. A level is one scan of the edges, of two columns, joined
+    to the level before; only levels are written."""
     spark = edges.sparkSession
-    links = cut(steps(edges, direction).repartition("src"), "graph-links")
     # What is seen is the union of the levels, each a written table; there are at most MAX_DEPTH of them.
     level = spark.createDataFrame([(start, 0, [start])], "vertex string, depth int, path array<string>")
     seen = level.select("vertex")
     yield level
     for d in range(1, depth + 1):
-        reached = level.select(F.col("vertex").alias("at"), "path").join(links, F.col("at") == F.col("src")).select(F.col("dst").alias("vertex"), F.concat("path", F.array("dst")).alias("path"))
-        new = reached.join(seen, "vertex", "left_anti").groupBy("vertex").agg(F.min("path").alias("path"))
+        links = links_of(edges, direction)
+        reached = links.join(level.select(F.col("vertex").alias("at"), "path"), F.col("at") == F.col("src")).select(F.col("dst").alias("vertex"), F.concat("path", F.array("dst")).alias("path"))
+        # Parallel edges and several ways to a vertex fall together before anything is shuffled.
+        new = reached.groupBy("vertex").agg(F.min("path").alias("path")).join(seen, "vertex", "left_anti")
         level = cut(new.select("vertex", F.lit(d).alias("depth"), "path"), "graph-level")
         if level.isEmpty():
             return
@@ -80,11 +87,15 @@ def _levels(edges: DataFrame, start: str, direction: str, depth: int, stop: str
 
 def traverse(edges: DataFrame, start: str, *, direction: str = OUT, min_depth: int = 0, max_depth: int = 0, limit: int = 0) -> DataFrame:
     """(vertex, depth) breadth first, in order of discovery; the start has depth 0. min_depth only hides rows; a
-    max_depth of 0 is 5 and at most 32; a limit of 0 is 10,000 and at most 100,000 vertices."""
+    max_depth of 0 is 5 and at most 32; a limit of 0 is 10,000 and at most 100,000 vertices. The walk ends at the level
+    that fills the limit."""
     most = min(limit, MAX_LIMIT) if limit > 0 else 10_000
-    found = None
-    for level in _levels(edges, start, direction, _depth(max_depth, 5)):
+    found, n = None, 0
+    for d, level in enumerate(_levels(edges, start, direction, _depth(max_depth, 5))):
         found = level if found is None else found.unionByName(level)
+        n += level.count() if d >= min_depth else 0
+        if n >= most:
+            break
     return found.where(F.col("depth") >= min_depth).orderBy("depth", "path").limit(most).select("vertex", "depth")
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docengine.errors import BadFilterError
-from docengine.functions import paths, values
+from docengine.functions import paths, values, variant
 from docengine.functions.filters import all_of, sure
 
 OPERATORS = {"$set", "$setOnInsert", "$unset", "$inc", "$mul", "$min", "$max", "$rename", "$push", "$addToSet", "$pop", "$pull", "$pullAll", "$currentDate"}
@@ -287,6 +287,8 @@ def _pulled(op: str, value: Any, x: Column, kind: T.DataType) -> Column:
 def updated(df: DataFrame, update: dict, condition: Column | None = None, inserting: bool = False) -> DataFrame:
     """``df`` with the update applied where ``condition`` holds (everywhere without one). A document without operators
     replaces all columns but ``_id``."""
+    if variant.is_variant(df.schema):
+        raise variant.unsupported("an update")
     here = sure(condition) if condition is not None else None
     if not is_operators(update):
         if "_id" in update and "_id" not in df.columns:
@@ -326,10 +328,9 @@ def changes(old: DataFrame, new: DataFrame) -> DataFrame:
     """``_id`` of the rows that an update left different."""
     names = [c for c in new.columns if c != "_id"]
     left = new.select("_id", *(paths.column(c).alias(f"n{i}") for i, c in enumerate(names)))
-    right = old.select("_id", *((paths.column(c) if c in old.columns else F.lit(None)).alias(f"o{i}") for i, c in enumerate(names)))
-    both = left.join(right, "_id")
-    differs = reduce(lambda a, b: a | b, [~F.to_json(F.struct(f"n{i}")).eqNullSafe(F.regexp_replace(F.to_json(F.struct(F.col(f"o{i}").alias(f"n{i}"))), "^$", "")) for i in range(len(names))], F.lit(False))
-    return both.where(differs).select("_id")
+    right = old.select("_id", *((fitted(paths.column(c), old.schema[c].dataType, new.schema[c].dataType) if c in old.columns else F.lit(None).cast(new.schema[c].dataType)).alias(f"o{i}") for i, c in enumerate(names)))
+    differs = reduce(lambda a, b: a | b, (~F.col(f"n{i}").eqNullSafe(F.col(f"o{i}")) for i in range(len(names))), F.lit(False))
+    return left.join(right, "_id").where(differs).select("_id")
 
 
 def seed(filter_: dict | None) -> dict:

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
+import threading
+import uuid
+from contextlib import nullcontext
+from dataclasses import dataclass, field
 from typing import TYPE_CHECKING, Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -56,15 +60,11 @@ def infer_csv(df: DataFrame) -> DataFrame:
             F.coalesce(F.bool_and(at.isin("true", "false")), F.lit(False)).alias(f"b{i}"),
             F.coalesce(F.bool_and(at.try_cast("double").isNotNull() & ~F.lower(at).rlike("nan|inf|[df]$")), F.lit(False)).alias(f"n{i}"),
         ]
-    fits = cells.where(" OR ".join(f"`{c}` IS NOT NULL" for c in names)).agg(*(_ignoring_null(c) for c in checks)).first()
+    fits = cells.where(" OR ".join(f"`{c}` IS NOT NULL" for c in names)).agg(*checks).first()
     kinds = {c: "boolean" if fits[f"b{i}"] else "double" if fits[f"n{i}"] else "string" for i, c in enumerate(names)}
     return cells.select(*(paths.column(c).cast(kinds.get(c, "string")).alias(c) for c in cells.columns))
 
 
-def _ignoring_null(c: Column) -> Column:
-    return c
-
-
 def read(spark: SparkSession, path: str, format: str = "auto", *, strict: bool = True) -> DataFrame:
     """Documents of a file or folder. ``strict`` fails on a bad NDJSON line; otherwise it is skipped."""
     if format == "auto":
@@ -90,8 +90,39 @@ def with_string_id(df: DataFrame) -> DataFrame:
     return df.withColumn("_id", at.cast("string"))
 
 
+#: Bytes of a file that a preview looks at.
+PREVIEW_BYTES = 64 << 10
+
+
 def preview(spark: SparkSession, path: str, format: str = "auto", rows: int = 10) -> list[dict]:
-    return [r.asDict(recursive=True) for r in read(spark, path, format, strict=False).limit(min(rows, 10)).collect()]
+    """The first rows, read from the first PREVIEW_BYTES alone; JSON that one document fills is cut at its last whole one."""
+    start = files.head(spark, path, PREVIEW_BYTES)
+    format = detect_format(start) if format == "auto" else format
+    text = start.removeprefix(BOM).decode("utf-8", "ignore")
+    if len(start) == PREVIEW_BYTES:
+        text = text.rpartition("\n")[0] or text
+    if format == "json":
+        text = "\n".join(json.dumps(x) for x in whole_documents(text))
+    beside = f"{shared_dir(spark)}/preview-{uuid.uuid4().hex}"
+    files.write_bytes(spark, beside, text.encode())
+    try:
+        found = read(spark, beside, "ndjson" if format == "json" else format, strict=False)
+        return [r.asDict(recursive=True) for r in found.limit(min(rows, 10)).collect()]
+    finally:
+        files.delete(spark, beside)
+
+
+def whole_documents(text: str) -> list[Any]:
+    """The documents of a JSON array, or the one document, that ``text`` holds to their end."""
+    decoder, at, out = json.JSONDecoder(), 0, []
+    text = text.lstrip().removeprefix("[")
+    while True:
+        at += len(text) - at - len(text[at:].lstrip(" \t\r\n,"))
+        try:
+            found, at = decoder.raw_decode(text, at)
+        except ValueError:
+            return out
+        out.append(found)
 
 
 @dataclass
@@ -115,6 +146,41 @@ def import_into(collection: Collection, path: str, format: str = "auto", *, mode
     raise BadFilterError("mode is insert or upsert")
 
 
+@dataclass
+class ImportJob:
+    """An import under way: its id, state (running, done or failed), counters and error."""
+
+    id: str
+    state: str = "running"
+    report: ImportReport | None = None
+    error: str = ""
+    _thread: threading.Thread | None = field(default=None, repr=False)
+
+    def wait(self, seconds: float | None = None) -> ImportJob:
+        if self._thread is not None:
+            self._thread.join(seconds)
+        return self
+
+
+def start_import(collection: Collection, path: str, format: str = "auto", *, mode: str = "insert") -> ImportJob:
+    """``import_into`` in the background; the database keeps the job by its id in ``jobs``."""
+    job = ImportJob(uuid.uuid4().hex)
+    allowed = collection.db.is_trusted
+
+    def run() -> None:
+        try:
+            with collection.db.trusted() if allowed else nullcontext():
+                job.report = import_into(collection, path, format, mode=mode)
+            job.state = "done"
+        except Exception as e:
+            job.state, job.error = "failed", str(e)
+
+    collection.db.jobs[job.id] = job
+    job._thread = threading.Thread(target=run, daemon=True)
+    job._thread.start()
+    return job
+
+
 def cell(c: Column, kind: T.DataType) -> Column:
     """A value as a CSV cell: nested ones as JSON, integral numbers without a fraction."""
     if isinstance(kind, (T.StructType, T.ArrayType, T.MapType, T.VariantType)):

@@ -465,6 +465,7 @@ class Database:
         self.lock, self.hooks = _LOCKS.setdefault(self.root, threading.RLock()), Hooks()
         self.security = Security(self)
         self._trust = threading.local()
+        self.jobs: dict[str, Any] = {}
         self.views: dict[str, DataFrame] = {}
         self._hooked: dict[str, int] = {}
         for t in self.list_triggers():
@@ -480,8 +481,12 @@ class Database:
         finally:
             self._trust.depth -= 1
 
+    @property
+    def is_trusted(self) -> bool:
+        return bool(getattr(self._trust, "depth", 0))
+
     def allow(self) -> None:
-        if not getattr(self._trust, "depth", 0) and self.security.active:
+        if not self.is_trusted and self.security.active:
             raise UnauthorizedError("the database has users: a session is needed")
 
     # Catalog.
