@@ -63,7 +63,6 @@ _find("filter_ne_null", "orders", {"o_orderstatus": {"$ne": "F"}}, "o_orderstatu
 _find("filter_range", "orders", {"o_totalprice": {"$gte": 50000, "$lt": 150000}}, "o_totalprice >= 50000 AND o_totalprice < 150000", O)
 _find("filter_in", "orders", {"o_orderpriority": {"$in": ["1-URGENT", "2-HIGH"]}}, "o_orderpriority IN ('1-URGENT', '2-HIGH')", O)
 _find("filter_nin", "orders", {"o_orderpriority": {"$nin": ["1-URGENT", "2-HIGH"]}}, "o_orderpriority IS NULL OR o_orderpriority NOT IN ('1-URGENT', '2-HIGH')", O)
-_find("filter_exists", "orders", {"o_orderdate": {"$exists": True}, "nothing": {"$exists": False}}, "o_orderdate IS NOT NULL", O)
 _find("filter_regex_i", "part", {"p_type": {"$regex": "^standard|steel$", "$options": "i"}}, "regexp_matches(p_type, '^standard|steel$', 'i')", "p_partkey, p_name, p_type")
 _find(
     "filter_and_or_nor_not", "orders",
@@ -72,6 +71,28 @@ _find(
 )
 
 
+@query("filter_exists", "SELECT o_orderkey FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
+def filter_exists(spark: SparkSession, d: str) -> DataFrame:
+    return finding.find(orders_doc(spark, d), {"items": {"$exists": True}, "nothing": {"$exists": False}}).select("o_orderkey")
+
+
+@query("filter_exists_not", "SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
+def filter_exists_not(spark: SparkSession, d: str) -> DataFrame:
+    return finding.find(orders_doc(spark, d), {"items": {"$exists": False}}).select("o_orderkey")
+
+
+@query("filter_regex_options", "SELECT p_partkey FROM part WHERE regexp_matches(p_name || chr(10) || p_type, 's.*E', 'is')")
+def filter_regex_options(spark: SparkSession, d: str) -> DataFrame:
+    docs = coll(spark, d, "part").withColumn("both", F.concat_ws("\n", "p_name", "p_type"))
+    return finding.find(docs, {"both": {"$regex": "s.*E", "$options": "is"}}).select("p_partkey")
+
+
+@query("filter_id_normalised", "SELECT c_custkey FROM customer WHERE c_custkey >= 0 AND CAST(c_custkey AS VARCHAR) IN ('3', '17', '99')")
+def filter_id_normalised(spark: SparkSession, d: str) -> DataFrame:
+    docs = raw(spark, d, "customer").withColumn("_id", F.col("c_custkey").cast("string"))
+    return finding.find(docs, {"_id": {"$in": [3, {"$numberInt": "17"}, "99"]}}).select("c_custkey")
+
+
 @query("filter_array_any", "SELECT o_orderkey FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')")
 def filter_array_any(spark: SparkSession, d: str) -> DataFrame:
     return finding.find(orders_doc(spark, d), {"items.l_returnflag": "R"}).select("o_orderkey")
@@ -152,6 +173,17 @@ def group_add_to_set(spark: SparkSession, d: str) -> DataFrame:
     return out.select("_id", F.array_join("seen", ",").alias("seen"))
 
 
+@query("group_constant_literal", "SELECT 'all' AS _id, count(*) AS n, sum(o_custkey) AS keys, 'x' AS tag FROM orders")
+def group_constant_literal(spark: SparkSession, d: str) -> DataFrame:
+    spec = {"_id": "all", "n": {"$count": {}}, "keys": {"$sum": "$o_custkey"}, "tag": {"$min": {"$literal": "x"}}}
+    return aggregate(coll(spark, d, "orders"), [{"$group": spec}]).withColumn("keys", F.col("keys").cast("long"))
+
+
+@query("projection_list", "SELECT c_custkey AS _id, c_name FROM customer WHERE c_nationkey = 7")
+def projection_list(spark: SparkSession, d: str) -> DataFrame:
+    return finding.find(coll(spark, d, "customer"), {"c_nationkey": 7}, projection=["c_name"])
+
+
 @query("count_stage", "SELECT count(*) AS n FROM orders WHERE o_orderstatus = 'O'")
 def count_stage(spark: SparkSession, d: str) -> DataFrame:
     return aggregate(coll(spark, d, "orders"), [{"$match": {"o_orderstatus": "O"}}, {"$count": "n"}])
@@ -215,10 +247,38 @@ def lookup_foreign_array(spark: SparkSession, d: str) -> DataFrame:
     return out.select("p_partkey", F.size("orders").cast("long").alias("n"))
 
 
+@query(
+    "lookup_local_path",
+    "WITH o AS (SELECT o_orderkey, min(l_linenumber) AS k FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1) SELECT o.o_orderkey, count(l_partkey) AS n FROM o JOIN lineitem l ON l.l_orderkey = o.o_orderkey AND l.l_linenumber = o.k JOIN part ON p_partkey = l_partkey GROUP BY 1",
+)
+def lookup_local_path(spark: SparkSession, d: str) -> DataFrame:
+    docs = orders_doc(spark, d).where("items is not null").withColumn("lead", F.struct(F.col("items")[0]["l_linenumber"].alias("k"))).select("_id", "o_orderkey", "lead")
+    lines = raw(spark, d, "lineitem").withColumn("_id", F.concat_ws("-", "l_orderkey", "l_linenumber", F.monotonically_increasing_id()))
+    spec = {"from": "lines", "localField": "lead.key", "foreignField": "key", "as": "found"}
+    docs = docs.withColumn("lead", F.struct(F.concat_ws(":", "o_orderkey", "lead.k").alias("key")))
+    out = aggregate(docs, [{"$lookup": spec}], {"lines": lines.withColumn("key", F.concat_ws(":", "l_orderkey", "l_linenumber"))})
+    return out.select("o_orderkey", F.size("found").cast("long").alias("n"))
+
+
+@query("pipeline_sort_lookup_page", "SELECT o_orderkey, c_name FROM orders LEFT JOIN customer ON c_custkey = o_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 40 OFFSET 15")
+def pipeline_sort_lookup_page(spark: SparkSession, d: str) -> DataFrame:
+    spec = {"from": "customer", "localField": "o_custkey", "foreignField": "c_custkey", "as": "buyer"}
+    out = aggregate(coll(spark, d, "orders"), [{"$sort": {"o_totalprice": -1}}, {"$lookup": spec}, {"$skip": 15}, {"$limit": 40}], {"customer": coll(spark, d, "customer")}, optimise=False)
+    return out.select("o_orderkey", F.col("buyer")[0]["c_name"].alias("c_name"))
+
+
+@query("pipeline_sort_unwind_page", "SELECT o_orderkey, l_linenumber FROM orders JOIN lineitem ON l_orderkey = o_orderkey ORDER BY o_totalprice DESC, o_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice LIMIT 100 OFFSET 7")
+def pipeline_sort_unwind_page(spark: SparkSession, d: str) -> DataFrame:
+    out = aggregate(orders_doc(spark, d), [{"$sort": {"o_totalprice": -1}}, {"$unwind": "$items"}, {"$skip": 7}, {"$limit": 100}])
+    return out.select("o_orderkey", "items.l_linenumber")
+
+
 @query("batch_in_join", "SELECT c_custkey, c_name FROM customer SEMI JOIN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000) ON c_custkey = o_custkey")
 def batch_in_join(spark: SparkSession, d: str) -> DataFrame:
-    ids = finding.find(coll(spark, d, "orders"), {"o_totalprice": {"$gt": 200000}}).select(F.col("o_custkey").alias("c_custkey"))
-    return coll(spark, d, "customer").join(ids, "c_custkey", "left_semi").select("c_custkey", "c_name")
+    spec = {"from": "orders", "localField": "c_custkey", "foreignField": "o_custkey", "as": "orders"}
+    dear = finding.find(coll(spark, d, "orders"), {"o_totalprice": {"$gt": 200000}}).select("_id", "o_custkey")
+    out = aggregate(coll(spark, d, "customer"), [{"$lookup": spec}, {"$match": {"orders": {"$ne": []}}}], {"orders": dear})
+    return out.where(F.size("orders") > 0).select("c_custkey", "c_name")
 
 
 @query("pipeline_match_after_group", "SELECT o_custkey AS _id, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) >= 15")
@@ -267,23 +327,70 @@ _array("upd_pull", {"$pull": {"tags": "BUILDING"}}, "list_filter({t}, lambda x:
 _array("upd_pull_all", {"$pullAll": {"tags": ["x", "y"]}}, "list_filter({t}, lambda x: x NOT IN ('x', 'y'))")
 
 
-@query("upsert_replace", "SELECT c_custkey, c_name FROM customer WHERE c_custkey > 20 UNION ALL SELECT c_custkey, 'new' FROM customer WHERE c_custkey <= 20 UNION ALL SELECT c_custkey + 10000000, 'new' FROM customer WHERE c_custkey <= 20")
-def upsert_replace(spark: SparkSession, d: str) -> DataFrame:
-    few = raw(spark, d, "customer").where("c_custkey <= 20").select("c_custkey")
-    return _upserted(spark, d, few)
+_array("upd_pull_condition", {"$pull": {"tags": {"$in": ["x", "BUILDING"]}}}, "list_filter({t}, lambda x: x NOT IN ('x', 'BUILDING'))")
+
+
+@query("upd_current_date", "SELECT c_custkey, true AS recent FROM customer WHERE c_nationkey < 5")
+def upd_current_date(spark: SparkSession, d: str) -> DataFrame:
+    out = updates.updated(coll(spark, d, "customer").where("c_nationkey < 5"), {"$currentDate": {"seen": True}})
+    return out.select("c_custkey", (F.abs(F.unix_seconds(F.col("seen").cast("timestamp")) - F.unix_seconds(F.current_timestamp())) < 90_000).alias("recent"))
+
 
+def _customers(spark: SparkSession, d: str):
+    rows = raw(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("_id"), "c_custkey", "c_name", "c_acctbal", "c_mktsegment")
+    return _stored(spark, rows, "customer")
 
-@query("upsert_replace_half", "SELECT c_custkey, c_name FROM customer WHERE c_custkey % 2 <> 0 UNION ALL SELECT c_custkey, 'new' FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT c_custkey + 10000000, 'new' FROM customer WHERE c_custkey % 2 = 0")
-def upsert_replace_half(spark: SparkSession, d: str) -> DataFrame:
-    return _upserted(spark, d, raw(spark, d, "customer").where("c_custkey % 2 = 0").select("c_custkey"))
 
+def _building(spark: SparkSession, d: str) -> DataFrame:
+    return raw(spark, d, "customer").where("c_mktsegment = 'BUILDING'")
 
-def _upserted(spark: SparkSession, d: str, keys: DataFrame) -> DataFrame:
-    """customer after an upsert of these keys, and of as many new ones, through the store."""
-    customers = _stored(spark, raw(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("_id"), "c_custkey", "c_name"), "customer")
+
+@query("upsert_replace", "SELECT c_custkey, c_name FROM customer WHERE c_mktsegment <> 'BUILDING' UNION ALL SELECT c_custkey, 'new' FROM customer WHERE c_mktsegment = 'BUILDING' UNION ALL SELECT c_custkey + 10000000, 'new' FROM customer WHERE c_mktsegment = 'BUILDING'")
+def upsert_replace(spark: SparkSession, d: str) -> DataFrame:
+    """An upsert of the documents of one segment, and of as many new ones, through the store."""
+    customers, keys = _customers(spark, d), _building(spark, d).select("c_custkey")
     new = keys.unionByName(keys.select((F.col("c_custkey") + 10000000).alias("c_custkey")))
     customers.upsert(new.select(F.col("c_custkey").cast("string").alias("_id"), "c_custkey", F.lit("new").alias("c_name")))
-    return customers.df.drop("_id")
+    return customers.df.select("c_custkey", "c_name")
+
+
+@query("store_merge", "SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal, CASE WHEN c_mktsegment = 'BUILDING' THEN NULL ELSE c_name END AS c_name FROM customer")
+def store_merge(spark: SparkSession, d: str) -> DataFrame:
+    customers = _customers(spark, d)
+    customers.merge(_building(spark, d).select(F.col("c_custkey").cast("string").alias("_id"), (F.col("c_acctbal") + 1).alias("c_acctbal")), remove=["c_name"])
+    return customers.df.select("c_custkey", "c_acctbal", "c_name")
+
+
+@query("store_update_many", "SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN c_acctbal + 100 ELSE c_acctbal END AS c_acctbal, CASE WHEN c_acctbal < 0 THEN 'late' END AS note FROM customer")
+def store_update_many(spark: SparkSession, d: str) -> DataFrame:
+    customers = _customers(spark, d)
+    customers.update({"c_acctbal": {"$lt": 0}}, {"$inc": {"c_acctbal": 100}, "$set": {"note": "late"}, "$setOnInsert": {"made": True}}, multi=True)
+    return customers.df.select("c_custkey", "c_acctbal", "note")
+
+
+@query("store_update_upserts", "SELECT c_custkey, c_name, CAST(NULL AS VARCHAR) AS made FROM customer UNION ALL SELECT -5, 'none', 'now'")
+def store_update_upserts(spark: SparkSession, d: str) -> DataFrame:
+    """$setOnInsert and the filter's equalities seed the new document."""
+    customers = _customers(spark, d)
+    customers.update({"c_custkey": -5, "_id": "x"}, {"$set": {"c_name": "none"}, "$setOnInsert": {"made": "now"}}, upsert=True)
+    return customers.df.select(F.col("c_custkey").cast("long").alias("c_custkey"), "c_name", "made")
+
+
+@query("store_insert_rejects", "SELECT c_custkey, c_name FROM customer UNION ALL SELECT c_custkey + 10000000, 'second' FROM customer WHERE c_mktsegment = 'BUILDING'")
+def store_insert_rejects(spark: SparkSession, d: str) -> DataFrame:
+    """An unordered insert of known and new ids: known ones stay as they are."""
+    customers, keys = _customers(spark, d), _building(spark, d).select("c_custkey")
+    more = keys.unionByName(keys.select((F.col("c_custkey") + 10000000).alias("c_custkey")))
+    customers.insert(more.select(F.col("c_custkey").cast("string").alias("_id"), "c_custkey", F.lit("second").alias("c_name")), ordered=False)
+    return customers.df.select("c_custkey", "c_name")
+
+
+@query("store_find_and_modify", "SELECT c_custkey, CASE WHEN c_custkey = (SELECT c_custkey FROM customer ORDER BY c_acctbal DESC, CAST(c_custkey AS VARCHAR) LIMIT 1) THEN 'top' ELSE c_mktsegment END AS c_mktsegment FROM customer WHERE c_custkey <> (SELECT c_custkey FROM customer ORDER BY c_acctbal, CAST(c_custkey AS VARCHAR) LIMIT 1)")
+def store_find_and_modify(spark: SparkSession, d: str) -> DataFrame:
+    customers = _customers(spark, d)
+    customers.find_and_modify({}, sort={"c_acctbal": -1}, update={"$set": {"c_mktsegment": "top"}})
+    customers.find_and_modify({}, sort={"c_acctbal": 1}, remove=True)
+    return customers.df.select("c_custkey", "c_mktsegment")
 
 
 @query("delete_many", "SELECT o_orderkey FROM orders WHERE NOT coalesce(o_totalprice < 100000 AND o_orderstatus = 'O', false)")
@@ -293,6 +400,85 @@ def delete_many(spark: SparkSession, d: str) -> DataFrame:
     return orders.df.select("o_orderkey")
 
 
+@query("store_versions", "SELECT 'count' AS what, CAST((SELECT count(*) FROM customer) AS BIGINT) AS n UNION ALL SELECT 'after compact', (SELECT count(*) FROM customer) UNION ALL SELECT 'snapshot', (SELECT count(*) FROM customer) UNION ALL SELECT 'indexes', 1 UNION ALL SELECT 'parts', 1")
+def store_versions(spark: SparkSession, d: str) -> DataFrame:
+    """Stats, compaction and a snapshot opened again."""
+    from docengine.sources.store import Database
+
+    customers = _customers(spark, d)
+    customers.ensure_index(["c_name"], unique=True)
+    rows = [("count", customers.stats()["count"])]
+    customers.db.compact()
+    rows.append(("after compact", customers.count()))
+    target = f"{customers.db.root}-copy"
+    customers.db.snapshot(target)
+    rows.append(("snapshot", Database(spark, target)["customer"].count()))
+    rows += [("indexes", customers.stats()["nindexes"]), ("parts", len(customers.meta["parts"]))]
+    return spark.createDataFrame(rows, "what string, n long")
+
+
+@query("store_repair", "SELECT c_mktsegment AS _id, count(*) AS n FROM customer WHERE c_custkey IN (SELECT min(c_custkey) FROM customer GROUP BY c_name) GROUP BY 1")
+def store_repair(spark: SparkSession, d: str) -> DataFrame:
+    customers = _customers(spark, d)
+    customers.ensure_index(["c_name"], unique=True)
+    customers.repair()
+    return customers.aggregate([{"$group": {"_id": "$c_mktsegment", "n": {"$count": {}}}}])
+
+
+@query("import_export_ndjson", "SELECT CAST(c_custkey AS VARCHAR) AS _id, c_name, c_acctbal FROM customer WHERE c_acctbal > 0")
+def import_export_ndjson(spark: SparkSession, d: str) -> DataFrame:
+    customers = _customers(spark, d)
+    path = f"{customers.db.root}/out.ndjson"
+    io.export(customers.df, path, "ndjson", {"c_acctbal": {"$gt": 0}})
+    back = customers.db.create("back")
+    io.import_into(back, path, "ndjson")
+    return back.df.select("_id", "c_name", "c_acctbal")
+
+
+@query("import_export_csv", "SELECT CAST(c_custkey AS VARCHAR) AS _id, c_name, c_acctbal FROM customer")
+def import_export_csv(spark: SparkSession, d: str) -> DataFrame:
+    """The engine's one CSV file with its byte-order mark, read back with types found anew."""
+    customers = _customers(spark, d)
+    path = f"{customers.db.root}/out.csv"
+    io.export_csv(customers.df, path, hidden=["c_mktsegment"])
+    back = customers.db.create("back")
+    io.import_into(back, path)
+    return back.df.select("_id", "c_name", F.col("c_acctbal").cast("double").alias("c_acctbal"))
+
+
+@query("graph_edges_with_props", "SELECT CAST(o_orderkey AS VARCHAR) AS _id, 'c:' || o_custkey AS _from, 'o:' || o_orderkey AS _to, o_totalprice AS weight FROM orders WHERE o_custkey = 7 ORDER BY 1")
+def graph_edges_with_props(spark: SparkSession, d: str) -> DataFrame:
+    edges = raw(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("_id"), F.concat(F.lit("c:"), "o_custkey").alias("_from"), F.concat(F.lit("o:"), "o_orderkey").alias("_to"), F.col("o_totalprice").alias("weight"))
+    return graph.incident(edges, "c:7").select("_id", "_from", "_to", "weight")
+
+
+@query("trigger_update_action", "SELECT c_custkey, CASE WHEN n IS NULL THEN c_mktsegment ELSE 'BUYER' END AS c_mktsegment FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders WHERE o_totalprice > 300000 GROUP BY 1) ON o_custkey = c_custkey")
+def trigger_update_action(spark: SparkSession, d: str) -> DataFrame:
+    """An insert of orders updates their customers through a trigger."""
+    customers = _customers(spark, d)
+    action = {"type": "update", "collection": "customer", "id": {"$get": "o_custkey"}, "fields": {"c_mktsegment": "BUYER"}}
+    customers.db.create_trigger(triggers.Trigger("after_insert", "orders", [action], {"o_totalprice": {"$gt": 300000}}))
+    customers.db.create("orders").insert(raw(spark, d, "orders").withColumn("_id", F.col("o_orderkey").cast("string")))
+    return customers.df.select("c_custkey", "c_mktsegment")
+
+
+@query("command_aggregate_pages", "SELECT o_orderstatus AS _id, count(*) AS n FROM orders GROUP BY 1")
+def command_aggregate_pages(spark: SparkSession, d: str) -> DataFrame:
+    """An aggregate command, its cursor read in pages of one."""
+    from docengine.commands import Commands
+    from docengine.sources.store import Database
+
+    db = Database(spark, f"{_scratch(spark)}/commands-{uuid.uuid4().hex}")
+    db.register("orders", coll(spark, d, "orders"))
+    run = Commands(db).run
+    reply = run({"aggregate": "orders", "pipeline": [{"$group": {"_id": "$o_orderstatus", "n": {"$count": {}}}}], "cursor": {"batchSize": 1}})["cursor"]
+    rows = list(reply["firstBatch"])
+    while reply["id"]:
+        reply = run({"getMore": reply["id"], "collection": "orders", "batchSize": 1})["cursor"]
+        rows += reply["nextBatch"]
+    return spark.createDataFrame([(r["_id"], r["n"]) for r in rows], "_id string, n long")
+
+
 def nation_edges(spark: SparkSession, d: str) -> DataFrame:
     """Each nation to the next by key, and to the first of its region."""
     n = raw(spark, d, "nation")
@@ -317,13 +503,18 @@ def graph_traverse(spark: SparkSession, d: str) -> DataFrame:
     return graph.traverse(nation_edges(spark, d), "n:7", max_depth=4)
 
 
+PAIRS = [("n:20", "n:3"), ("n:24", "n:7"), ("n:9", "n:9"), ("n:20", "n:19")]
+
+
 @query(
     "graph_shortest_path",
-    f"WITH RECURSIVE {EDGES}, w(v, p) AS (SELECT 'n:20', ['n:20'] UNION ALL SELECT t, list_append(p, t) FROM w JOIN e ON s = v WHERE len(p) < 7 AND NOT list_contains(p, t)), b AS (SELECT p FROM w WHERE v = 'n:6' ORDER BY len(p), p LIMIT 1) SELECT array_to_string(p, '>') AS path FROM b",
+    f"WITH RECURSIVE {EDGES}, q(a, b) AS (VALUES {', '.join(map(str, PAIRS))}), w(a, v, p) AS (SELECT a, a, [a] FROM q UNION SELECT a, t, list_append(p, t) FROM w JOIN e ON s = v WHERE len(p) < 7 AND NOT list_contains(p, t)), f AS (SELECT q.a, q.b, p, row_number() OVER (PARTITION BY q.a, q.b ORDER BY len(p), p) AS k FROM q JOIN w ON w.a = q.a AND w.v = q.b) SELECT q.a AS start, q.b AS stop, array_to_string(p, '>') AS path FROM q LEFT JOIN f ON f.a = q.a AND f.b = q.b AND k = 1",
 )
 def graph_shortest_path(spark: SparkSession, d: str) -> DataFrame:
-    found = graph.shortest_path(nation_edges(spark, d), "n:20", "n:6")
-    return spark.createDataFrame([(">".join(found),)] if found else [], "path string")
+    """Paths with ties, to the start itself, and one that is too long."""
+    edges = nation_edges(spark, d)
+    found = [(a, b, graph.shortest_path(edges, a, b)) for a, b in PAIRS]
+    return spark.createDataFrame([(a, b, ">".join(p) if p else None) for a, b, p in found], "start string, stop string, path string")
 
 
 @query("graph_bought_contains", "SELECT DISTINCT 'c:' || o_custkey AS customer, 'p:' || l_partkey AS part FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_returnflag = 'R'")
@@ -350,13 +541,14 @@ def trigger_before_set(spark: SparkSession, d: str) -> DataFrame:
 
 @query("rbac_field_deny", "SELECT * EXCLUDE (c_acctbal) FROM customer WHERE c_mktsegment = 'MACHINERY'")
 def rbac_field_deny(spark: SparkSession, d: str) -> DataFrame:
-    from docengine.operators.security import Permission, Session
+    from docengine.operators.security import Permission
     from docengine.sources.store import Database
 
-    db = Database(spark, f"{_scratch(spark)}/rbac")
+    db = Database(spark, f"{_scratch(spark)}/rbac-{uuid.uuid4().hex}")
     db.register("customer", coll(spark, d, "customer"))
-    session = Session(db, "reader", [Permission("customer", read=True, field_deny=["c_acctbal"])])
-    return session.find("customer", {"c_mktsegment": "MACHINERY"}).drop("_id")
+    db.security.create_role("reader", [Permission("customer", read=True, field_deny=["c_acctbal"])])
+    db.security.create_user("reader", "secret", ["reader"])
+    return db.security.authenticate("reader", "secret").find("customer", {"c_mktsegment": "MACHINERY"}).drop("_id")
 
 
 def _scratch(spark: SparkSession) -> str:
@@ -384,21 +576,21 @@ def fields_discovery(spark: SparkSession, d: str) -> DataFrame:
     return io.discovered(raw(spark, d, "events"))
 
 
+@query("fields_nested", "SELECT * FROM (VALUES ('_id', 'number'), ('o_custkey', 'number'), ('o_orderdate', 'date'), ('o_orderkey', 'number'), ('o_orderpriority', 'string'), ('o_orderstatus', 'string'), ('o_totalprice', 'number'), ('items', 'array'), ('buyer', 'object'), ('buyer.key', 'number'), ('buyer.name', 'string')) v(path, type)")
+def fields_nested(spark: SparkSession, d: str) -> DataFrame:
+    docs = orders_doc(spark, d).withColumn("buyer", F.struct(F.col("o_custkey").alias("key"), F.col("o_orderstatus").alias("name")))
+    found = io.discover(docs, max_scan=1 << 30)
+    return spark.createDataFrame(sorted(found["types"].items()), "path string, type string")
+
+
 @query("repair_dedupe", "SELECT o_custkey AS _id, min(o_orderkey) AS o_orderkey FROM orders GROUP BY 1")
 def repair_dedupe(spark: SparkSession, d: str) -> DataFrame:
     rows = raw(spark, d, "orders").select(F.col("o_custkey").alias("_id"), "o_orderkey")
     return repair.first_by(rows, ["_id"], [F.col("o_orderkey")])
 
 
-@query("resolve_ids", "SELECT DISTINCT CAST(k AS VARCHAR) AS _id, CASE WHEN k IN (SELECT c_custkey FROM customer) THEN 'customer' ELSE 'part' END AS collection FROM (SELECT c_custkey AS k FROM customer WHERE c_custkey < 50 UNION SELECT p_partkey FROM part WHERE p_partkey < 80)")
+@query("resolve_ids", "SELECT CAST(k AS VARCHAR) AS _id, CASE WHEN k IN (SELECT c_custkey FROM customer) THEN 'customer' ELSE 'part' END AS collection FROM (SELECT c_custkey AS k FROM customer UNION SELECT p_partkey FROM part)")
 def resolve_ids(spark: SparkSession, d: str) -> DataFrame:
-    tables = {n: coll(spark, d, n).withColumn("_id", F.col(KEYS[n]).cast("string")) for n in ("customer", "part")}
-    ids = tables["customer"].where("c_custkey < 50").select("_id").union(tables["part"].where("p_partkey < 80").select("_id"))
-    return graph.resolve_ids(ids, tables).select("_id", "collection")
-
-
-@query("resolve_all_ids", "SELECT CAST(k AS VARCHAR) AS _id, CASE WHEN k IN (SELECT c_custkey FROM customer) THEN 'customer' ELSE 'part' END AS collection FROM (SELECT c_custkey AS k FROM customer UNION SELECT p_partkey FROM part)")
-def resolve_all_ids(spark: SparkSession, d: str) -> DataFrame:
     tables = {n: coll(spark, d, n).withColumn("_id", F.col(KEYS[n]).cast("string")) for n in ("customer", "part")}
     ids = tables["customer"].select("_id").union(tables["part"].select("_id"))
     return graph.resolve_ids(ids, tables).select("_id", "collection")
