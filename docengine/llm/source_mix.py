@@ -97,15 +97,18 @@ def mix(documents: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, cap: float
     """One row per row of ``documents`` (doc_id, text, source): doc_id, size, source_size, target, copies, taken.
 
     copies times size is ``taken``. Documents of size 0 (null or blank texts) take nothing; a source of nothing else
-    has target 0. A null source is a source, last in order. Repeated rows are rows of their own. An empty table gives
-    no rows.
+    has target 0. A null source is a source, last in order. Repeated rows are rows of their own, and so are those without
+    a doc_id. Other columns are ignored. An empty table gives no rows.
     """
     n_words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
-    sizes = written(documents.select(F.col("doc_id").cast("long"), n_words.alias("size"), "source"), "mix-sizes")
+    every = documents.select(F.col("doc_id").cast("long"), n_words.alias("size"), "source", F.xxhash64("text").alias("t"))
+    # Rows that are alike in all this are told apart by a number, so that no group of the tree fills up with them.
+    alike = every.groupBy("doc_id", "size", "source", "t").agg(F.count(F.lit(1)).alias("times"))
+    sizes = written(alike.select("doc_id", "size", "source", F.explode(F.sequence(F.lit(1).cast("long"), "times")).alias("nth"), "t"), "mix-sizes")
     per_source = written(targets(sizes, weights, cap), "mix-targets")
     # Sources are many at most; the join is left to the optimiser, which sees the size of the written table.
     known = sizes.join(per_source, sizes["source"].eqNullSafe(per_source["source"])).select(
-        "doc_id", "size", sizes["source"], "source_size", "n", "target"
+        "doc_id", "size", sizes["source"], "source_size", "n", "target", "t", "nth"
     )
     share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     whole = F.floor(F.when(F.abs(share - F.round(share)) < 1e-12, F.round(share)).otherwise(share))
@@ -116,7 +119,7 @@ def mix(documents: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, cap: float
 
     most = per_source.agg(F.max("n")).first()[0] or 0
     open_ = split.where(~closed).select(
-        "source", "source_size", "n", "target", F.struct(F.xxhash64("doc_id", F.lit(seed)).alias("h"), "doc_id", "size", "whole", "x").alias("doc")
+        "source", "source_size", "n", "target", F.struct(F.xxhash64("doc_id", "t", "nth", F.lit(seed)).alias("h"), "doc_id", "size", "whole", "x").alias("doc")
     )
     level, parts = 0, [settled]
     while most > 0:
@@ -153,6 +156,7 @@ def _taken(docs: DataFrame, rises: Column) -> DataFrame:
 
 
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of all ``documents`` by the weights 5, 2 and 1 in turn."""
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 

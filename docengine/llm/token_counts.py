@@ -14,6 +14,7 @@ strings inside a text are one token each, as is the library's default.
 
 from __future__ import annotations
 
+import json
 import re
 import sys
 import unicodedata
@@ -42,10 +43,32 @@ BLOCK_BYTES = 1 << 19
 # The tokenizer's special strings and its pattern.
 SPECIAL = re.compile(r"<\|startoftext\|>|<\|endoftext\|>")
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
+# What a file must say of itself for this to hold.
+SPECIAL_STRINGS = {"<|startoftext|>", "<|endoftext|>"}
+NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+PRE_TOKENIZER = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 AFTER_APOSTROPHE = "strvmld"
 OTHER, LETTER, DIGIT, SPACE = 0, 1, 2, 3
 
 
+@cache
+def check_file(path: str) -> None:
+    """Refuses a tokenizer file whose special strings, normaliser or pre-tokens are not those that are found here."""
+    with open(path, encoding="utf-8") as f:
+        said = json.load(f)
+    special = {t["content"] for t in said["added_tokens"] if not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"])}
+    split, levels = ((said["pre_tokenizer"] or {}).get("pretokenizers") or [{}, {}])[:2]
+    same = (
+        special == SPECIAL_STRINGS == {t["content"] for t in said["added_tokens"]}
+        and (said["normalizer"] or {}).get("normalizers") == NORMALIZER
+        and split.get("pattern") == {"Regex": PRE_TOKENIZER}
+        and (split.get("behavior"), split.get("invert")) == ("Removed", True)
+        and (levels.get("type"), levels.get("add_prefix_space"), levels.get("use_regex")) == ("ByteLevel", False, False)
+    )
+    if not same:
+        raise ValueError(f"{path} divides texts otherwise than this operator does")
+
+
 @cache
 def tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """By code point: class once lower-cased, lower case, whether a text with it takes the slow way, a random value."""
@@ -263,8 +286,10 @@ def token_counts(documents: DataFrame, path: str, *, max_tokens: int = MAX_TOKEN
     """One row per row of ``documents`` (doc_id, text): doc_id, n_bytes, n_tokens, over_limit.
 
     Counts are those of the tokenizer file at ``path`` without begin, end or added tokens, over whole texts; a null
-    text is empty and has none. Repeated rows are counted each; other columns are ignored.
+    text is empty and has none. A file that divides texts into other pre-tokens is refused. Repeated rows are counted each;
+    other columns are ignored; an empty table gives no rows.
     """
+    check_file(path)
     texts = documents.selectExpr("cast(doc_id as long) as doc_id", "text")
     pieces = piece_table(texts, path)
     sent = documents.sparkSession.sparkContext.broadcast(head(pieces, head_tokens))
@@ -278,6 +303,7 @@ def token_counts(documents: DataFrame, path: str, *, max_tokens: int = MAX_TOKEN
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of all of ``documents`` by the vocabulary file TOKENIZER."""
     import public_tokenizers
 
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))

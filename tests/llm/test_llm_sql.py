@@ -348,3 +348,29 @@ def test_jaccard_of_a_large_group(spark, monkeypatch):
     want = sorted(((ids[i], len(sets[i]), root.get(ids[i]), n_links[i]) for i in range(len(rows))), key=repr)
     got = sorted((tuple(r) for r in ngram_jaccard.jaccard_classes(frame).collect()), key=repr)
     assert got == want
+
+
+def test_rows_without_an_id_mix_like_others(spark):
+    """Many rows that are alike: each is a row of its own, and no group of the tree holds them all."""
+    rows = [(None, "a b c", "s")] * 400 + [(1, "a b", "s")] * 50 + [(i, "x " * (i % 9 + 1), "t") for i in range(300)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = source_mix.mix(frame).collect()
+    assert len(got) == len(rows)
+    for first in {r["target"] for r in got}:
+        own = [r for r in got if r["target"] == first]
+        assert abs(sum(r["taken"] for r in own) - first) <= 9
+    again = source_mix.mix(frame.repartition(3)).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, again), key=repr)
+
+
+def test_other_tokenizer_files_are_refused(spark, tmp_path):
+    import json
+
+    import public_tokenizers
+
+    with open(public_tokenizers.path(token_counts.TOKENIZER), encoding="utf-8") as f:
+        said = json.load(f)
+    said["normalizer"]["normalizers"] = said["normalizer"]["normalizers"][:2]
+    (tmp_path / "other.json").write_text(json.dumps(said))
+    with pytest.raises(ValueError, match="divides texts"):
+        token_counts.token_counts(spark.createDataFrame([(1, "a")], "doc_id long, text string"), str(tmp_path / "other.json"))
