@@ -2,7 +2,8 @@
 
 Rules are regular expressions over the lower-cased text, made from license families, their versions and a few shapes of
 notice (identifier tags, full names with a version, grants, addresses, abbreviations, bare names). A rule is tried only
-where its keyword occurs, and only texts with any keyword get that far. Every match is an interval with the rule's
+where its two keywords occur, and only texts with a first keyword of any rule get that far; for abbreviations, which occur
+in many words, a mark that stands for one by itself is the keyword. Every match is an interval with the rule's
 priority; one that lies inside the interval of a match of higher priority, or inside a longer one of its own priority,
 is suppressed. What is left gives labels and a score, the weight of the strongest rule.
 
@@ -73,58 +74,74 @@ NOTICES = (
 
 def rules() -> list[dict]:
     """All rules in order of priority (a smaller number goes first): pattern, keyword, label, weight, priority."""
-    out: list[tuple[int, str, str, str, float]] = []
+    out: list[tuple[int, str, str, str, str, float]] = []
 
-    def add(priority: int, pattern: str, keyword: str, label: str, weight: float) -> None:
+    def add(priority: int, pattern: str, keyword: str, label: str, weight: float, also: str = "") -> None:
         spaced = pattern.replace("[ -]", r"[\s-]").replace(" ?", r"\s*").replace(" ", r"\s+")
-        out.append((priority, spaced, keyword, label, weight))
+        out.append((priority, spaced, keyword, also, label, weight))
 
     for label, name, short, address, versions in FAMILIES:
         plain = re.escape(short)
-        add(20, rf"spdx-license-identifier: {plain}(?![\w.-])", "spdx", label, 1.0)
-        add(30, address, re.sub(r"\\|\(.*", "", address).split("/")[0], label, 0.9)
-        add(40, rf"(?:licensed|available|released|distributed) under (?:the )?(?:terms of (?:the )?)?{name}", "licen", label, 0.9)
-        add(60, name, "licen", label, 0.7)
+        own = distinctive(name)
+        site = distinctive(address.split(r"\.")[0])
+        add(20, rf"spdx-license-identifier: {plain}(?![\w.-])", "spdx", label, 1.0, short)
+        add(30, address, re.sub(r"\\|\(.*", "", address).split("/")[0], label, 0.9, site)
+        add(40, rf"(?:licensed|available|released|distributed) under (?:the )?(?:terms of (?:the )?)?{name}", "licen", label, 0.9, own)
+        add(60, name, "licen", label, 0.7, own)
         for v in versions:
             exact = rf"{label}-{v}"
             digits = re.escape(v) if not v.endswith(".0") else rf"{v[0]}(?:\.0)?"
-            add(10, rf"spdx-license-identifier: {plain}-{re.escape(v)}", "spdx", exact, 1.0)
-            add(12, rf"(?:licensed|available|released|distributed) under (?:the )?(?:terms of (?:the )?)?{name}(?:,)? ?(?:version|v\.?)? ?{digits}(?![\d])", "licen", exact, 1.0)
-            add(15, rf"{name}(?:,)? ?(?:version|v\.?)? ?{digits}(?!\d)", "licen", exact, 0.9)
-            add(25, rf"{address}[-/v]?{digits}(?!\d)", re.sub(r"\\|\(.*", "", address).split("/")[0], exact, 1.0)
-            add(50, rf"(?<![\w-]){plain}[ -]?v?{digits}(?![\d])", short, exact, 0.8)
+            add(10, rf"spdx-license-identifier: {plain}-{re.escape(v)}", "spdx", exact, 1.0, short)
+            add(12, rf"(?:licensed|available|released|distributed) under (?:the )?(?:terms of (?:the )?)?{name}(?:,)? ?(?:version|v\.?)? ?{digits}(?![\d])", "licen", exact, 1.0, own)
+            add(15, rf"{name}(?:,)? ?(?:version|v\.?)? ?{digits}(?!\d)", "licen", exact, 0.9, own)
+            add(25, rf"{address}[-/v]?{digits}(?!\d)", re.sub(r"\\|\(.*", "", address).split("/")[0], exact, 1.0, site)
+            add(50, rf"(?<![\w-]){plain}[ -]?v?{digits}(?![\d])", MARKED_SHORT, exact, 0.8, short)
     for parts in CC_PARTS:
         label = f"cc-{parts}"
         spoken = "[ -]".join(CC_NAMES[p] for p in parts.split("-"))
         tight = parts.replace("-", "[ -]")
         ends = r"(?![ -](?:sa|nc|nd)\b)"
-        add(55, rf"(?<!\w)cc[ -]{tight}(?!\w){ends}", "cc", label, 0.8)
+        add(55, rf"(?<!\w)cc[ -]{tight}(?!\w){ends}", MARKED_CC, label, 0.8)
         add(52, rf"creative commons {spoken}(?![ -](?:share|non|no))", "creative commons", label, 0.8)
         add(30, rf"creativecommons\.org/licenses/{parts}/", "creativecommons", label, 0.9)
         for v in CC_VERSIONS:
             exact = f"{label}-{v}"
             add(10, rf"spdx-license-identifier: cc-{parts}-{re.escape(v)}", "spdx", exact, 1.0)
-            add(14, rf"(?<!\w)cc[ -]{tight}[ -]v?{re.escape(v)}", "cc", exact, 1.0)
+            add(14, rf"(?<!\w)cc[ -]{tight}[ -]v?{re.escape(v)}", MARKED_CC, exact, 1.0)
             add(14, rf"creative commons {spoken} {re.escape(v)}", "creative commons", exact, 1.0)
             add(25, rf"creativecommons\.org/licenses/{parts}/{re.escape(v)}", "creativecommons", exact, 1.0)
     for pattern, keyword, label, weight in NOTICES:
         add(70 if weight < 0.6 else 35, pattern, keyword, label, weight)
-    return [dict(zip(("p", "re", "kw", "label", "w"), r, strict=True)) for r in sorted(out)]
+    return [dict(zip(("p", "re", "kw", "also", "label", "w"), r, strict=True)) for r in sorted(out)]
 
 
+def distinctive(pattern: str) -> str:
+    """A literal word that any match of the pattern holds, one of few texts if there is such a one."""
+    plain = re.sub(r"\(\?:[^()]*(?:\([^()]*\)[^()]*)*\)\??|\[[^\]]*\]\??|\\.\+?|\w\?", "\n", pattern)
+    words = [w for w in re.findall(r"[a-z0-9]+", plain) if len(w) > 1]
+    return max(words, key=lambda w: (w not in USUAL, len(w)), default="")
+
+
+# Words that many license names hold.
+USUAL = {"general", "public", "licen", "license", "software", "the", "open", "free", "common", "and", "do", "you", "want", "to", "what", "union"}
+#: Stand behind a text that has an abbreviation by itself before a digit, and a Creative Commons one.
+MARKED_SHORT, MARKED_CC = "\x01short", "\x01cc"
+SHORT_BY_ITSELF = rf"(?<![\w-])(?:{'|'.join(re.escape(f[2]) for f in FAMILIES if f[4])})[\s-]?v?\d"
+CC_BY_ITSELF = r"(?<!\w)cc[\s-]by"
+
 #: A text with none of these has no match of any rule: each rule's keyword is one of them or contains one.
-GATE = ("licen", "spdx", ".org", ".eu", ".net", "gpl", "gfdl", "apache", "mpl", "epl", "cddl", "cpl", "eupl", "osl", "afl", "artistic", "bsl", "wtfpl",
-        "odbl", "ofl", "psf", "php", "cc", "c0", "commons", "rights reserved", "public domain", "hereby granted", "redistribution", "permission to use", "unencumbered")
+GATE = ("licen", "spdx", ".org", ".eu", ".net", MARKED_SHORT, MARKED_CC, "c0", "commons", "rights reserved", "public domain", "hereby granted",
+        "redistribution", "permission to use", "unencumbered")
 
-_KIND = "array<struct<p:int,re:string,kw:string,label:string,w:double>>"
+_KIND = "array<struct<p:int,re:string,kw:string,also:string,label:string,w:double>>"
 _FOUND = "struct<p:int,label:string,w:double,s:int,e:int>"
 
 
-def detections(low: str) -> Column:
-    """All matches of all rules in the column ``low``, as an array of (p, label, w, s, e), then suppressed."""
+def detections(low: str, keyed: str) -> Column:
+    """All matches of all rules in the column ``low``, as an array of (p, label, w, s, e); ``keyed`` is it with its marks."""
     table_ = json.dumps(rules()).replace("\\", "\\\\").replace("'", "\\'")
     every = f"""
-      flatten(transform(filter(from_json('{table_}', '{_KIND}'), r -> contains({low}, r.kw) and regexp_instr({low}, r.re) > 0), r ->
+      flatten(transform(filter(from_json('{table_}', '{_KIND}'), r -> contains({keyed}, r.kw) and contains({low}, r.also) and regexp_instr({low}, r.re) > 0), r ->
         aggregate(arrays_zip(split({low}, r.re), regexp_extract_all({low}, r.re, 0)),
           named_struct('at', 0, 'd', cast(array() as array<{_FOUND}>)),
           (acc, x) -> named_struct(
@@ -144,7 +161,8 @@ def scan(documents: DataFrame) -> DataFrame:
     """One row per row of ``documents`` (doc_id, text): doc_id, n_words, n_base, first_word, last_word, base_labels, labels,
     score, found (the intervals left, in code points of the text).
 
-    Null texts are empty: no words, no labels, score 0. Repeated rows are scanned each; other columns are ignored.
+    Null texts are empty: no words, no labels, score 0. Repeated rows are scanned each; other columns are ignored; an empty
+    table gives no rows.
     """
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     low = documents.select(F.col("doc_id").cast("long"), F.translate(F.coalesce("text", F.lit("")), upper, lower).alias("low"))
@@ -165,11 +183,12 @@ def scan(documents: DataFrame) -> DataFrame:
             (F.col("n_words") - n(F.element_at(cut, -1)) - size).alias("last"),
         )
         places.append(F.when(F.col("spaced").isNotNull() & (F.size(cut) > 1), hit))
+    marks = F.concat(F.when(F.col("low").rlike(SHORT_BY_ITSELF), MARKED_SHORT).otherwise(""), F.when(F.col("low").rlike(CC_BY_ITSELF), MARKED_CC).otherwise(""))
+    based = counted.select("doc_id", "low", "n_words", F.array_compact(F.array(*places)).alias("places"), F.concat("low", marks).alias("keyed"))
     gate = F.lit(False)
     for word in GATE:
-        gate = gate | F.col("low").contains(word)
-    based = counted.select("doc_id", "low", "n_words", F.array_compact(F.array(*places)).alias("places"), gate.alias("gate"))
-    found = based.select("doc_id", "n_words", "places", F.when(F.col("gate"), detections("low")).otherwise(F.array().cast(f"array<{_FOUND}>")).alias("every"))
+        gate = gate | F.col("keyed").contains(word)
+    found = based.select("doc_id", "n_words", "places", F.when(gate, detections("low", "keyed")).otherwise(F.array().cast(f"array<{_FOUND}>")).alias("every"))
     left = found.select("doc_id", "n_words", "places", _kept("every").alias("found"))
     base = "array_sort(transform(places, x -> x.label))"
     return left.selectExpr(
@@ -186,6 +205,7 @@ def scan(documents: DataFrame) -> DataFrame:
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of ``documents``, without the intervals."""
     return scan(table(spark, sf_dir, "documents")).drop("found")
 
 
