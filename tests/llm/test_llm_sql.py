@@ -62,6 +62,19 @@ def test_every_row_has_a_row(spark, odd, none, sf):
     found = by_id(runs["bench"](odd))
     assert [r["items"] for r in found[100]] == [["2"], ["2"]] and found[100][0]["n_hit"] == 4
     assert {r["n_words"] for r in found[0] + found[1] + found[2]} == {0}
+    empty = {name: by_id(runs[name](odd)) for name in ("tokens", "secrets", "licenses", "toxic", "spots", "quality", "mix")}
+    for i in (0, 1):  # null and empty
+        for r in empty["tokens"][i][:1]:
+            assert (r["n_bytes"], r["n_tokens"], r["over_limit"]) == (0, 0, False)
+        for r in empty["secrets"][i][:1]:
+            assert (r["n_assign"], r["n_access"], r["n_hex"], r["spans"]) == (0, 0, 0, "") and r["base_sha256"] == hashlib.sha256(b"").hexdigest()
+        for r in empty["licenses"][i][:1]:
+            assert (r["n_words"], r["n_base"], r["first_word"], r["labels"], r["score"]) == (0, 0, None, "", 0.0)
+        for r in empty["spots"][i][:1]:
+            assert (r["n_chars"], r["fingerprint"]) == (0, "")
+        for r in empty["mix"][i][:1]:
+            assert (r["size"], r["taken"]) == (0, 0)
+    assert len({r["score"] for name in ("toxic", "quality") for i in (0, 1, 2) for r in empty[name][i]}) <= 2
     near = by_id(runs["jaccard"](odd))
     assert [r["component_id"] for r in near[100]] == [100, 100] and near[0][0]["n_shingles"] == 0 and near[3][0]["n_shingles"] == 1
 
@@ -374,3 +387,25 @@ def test_other_tokenizer_files_are_refused(spark, tmp_path):
     (tmp_path / "other.json").write_text(json.dumps(said))
     with pytest.raises(ValueError, match="divides texts"):
         token_counts.token_counts(spark.createDataFrame([(1, "a")], "doc_id long, text string"), str(tmp_path / "other.json"))
+
+
+def test_very_long_texts(spark, sf):
+    """A text of megabytes and a word of a megabyte, among short ones, through every operator on documents."""
+    import public_tokenizers
+
+    words = ["the", "quick", "fox", "of", "brown", "things", "and", "jumps"]
+    text = " ".join(words[(i * i + i // 7) % 8] + str(i % 977) for i in range(300_000))
+    rows = [(1, text), (2, "z" * 1_000_000), (3, "short the text of one"), (4, text + " more")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumn("source", F.lit("s"))
+    bench = spark.createDataFrame([(1, text[:4000])], "item_id long, text string")
+    near = by_id(ngram_jaccard.jaccard_classes(frame))
+    assert near[4][0]["component_id"] == 1 and near[2][0]["n_shingles"] == 1 and near[1][0]["n_links"] == 1
+    hit = by_id(decontamination.decontaminate(frame, bench))
+    assert hit[1][0]["n_hit"] >= 400 and hit[1][0]["n_words"] == 300_000 and hit[2][0]["n_hit"] == 0
+    tokens = by_id(token_counts.token_counts(frame, public_tokenizers.path(token_counts.TOKENIZER)))
+    assert tokens[1][0]["over_limit"] and tokens[2][0]["n_bytes"] == 1_000_000
+    spots = by_id(spotsigs.fingerprints(frame))
+    assert spots[1][0]["near_id"] == 1 and spots[4][0]["near_id"] == 1
+    labels = spark.read.parquet(f"{sf}/labels.parquet").limit(0)
+    for run in (secret_scan.scan, license_scan.scan, source_mix.mix, lambda d: toxicity.toxic_scores(d, labels), lambda d: quality.score(d, quality.fit(quality.statistics_of([]), None))):
+        assert run(frame).count() == 4
