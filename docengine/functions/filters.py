@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from docengine.errors import BadFilterError
 from docengine.functions import paths, values
 
+# Operators of the language.
 COMPARE = {"$eq", "$ne", "$gt", "$gte", "$lt", "$lte", "$in", "$nin", "$regex", "$options", "$exists", "$not"}
 LOGICAL = {"$and", "$or", "$nor", "$not"}
 IGNORED = {"$comment", "$hint", "$maxTimeMS"}

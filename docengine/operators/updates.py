@@ -15,6 +15,7 @@ from docengine.errors import BadFilterError
 from docengine.functions import paths, values, variant
 from docengine.functions.filters import all_of, sure
 
+# Update operators, and the conditions that $pull takes.
 OPERATORS = {"$set", "$setOnInsert", "$unset", "$inc", "$mul", "$min", "$max", "$rename", "$push", "$addToSet", "$pop", "$pull", "$pullAll", "$currentDate"}
 PULL = {"$eq", "$ne", "$gt", "$gte", "$lt", "$lte", "$in"}
 
