@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import asdict, dataclass, field
-from functools import partial, reduce
+from functools import partial
 from typing import TYPE_CHECKING, Any
 
 from pyspark.sql import Column, DataFrame
@@ -135,7 +135,3 @@ def action_run(t: Trigger, again: bool = False):
         return None
 
     return run
-
-
-def fields_of(t: Trigger) -> set[str]:
-    return reduce(lambda a, b: a | b, (set(a.get("fields") or {}) for a in t.actions), set())
