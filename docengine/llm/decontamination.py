@@ -14,7 +14,6 @@ rows are written in between. Documents are never shuffled, so hot sources, copie
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import chain

@@ -96,11 +96,6 @@ class IdFilter:
         return df.mapInArrow(run, df.schema)
 
 
-def among(df: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Rows of ``df`` whose key is in ``ids`` (one column of that name): what the filter lets through is joined."""
-    return IdFilter(ids).rows(df, key).join(ids, key, "left_semi")
-
-
 def not_among(df: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     """Rows of ``df`` whose key is not in ``ids``, or null: only what the filter lets through needs a join."""
     found = IdFilter(ids)
