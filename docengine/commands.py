@@ -11,12 +11,20 @@ from pyspark.sql import DataFrame
 from docengine.errors import BadFilterError, DocEngineError, NotFoundError, UnknownCommandError
 from docengine.functions import values
 from docengine.operators import find as finding
+from docengine.operators import graph
 from docengine.operators.indexes import command_index
 from docengine.sources.store import Database, Registry
 
 BATCH, IDLE_SECONDS = 101, 600
 
 
+def _whole(value: Any) -> int:
+    try:
+        return int(value)
+    except (TypeError, ValueError):
+        return 0
+
+
 class Direct:
     """The calls that a session has too, on a database without users."""
 
@@ -195,6 +203,25 @@ class Commands:
         last = {"n": int(found), **({} if c.get("remove") else {"updatedExisting": found})}
         return {"value": row.asDict(recursive=True) if found else None, "lastErrorObject": last}
 
+    # Walks, by the parameters that the console's requests have: texts, of which those that are no number count as 0.
+
+    def _walker(self) -> Any:
+        return self.session if self.session is not None else self.db
+
+    def cmd_graphTraverse(self, c: dict) -> dict:
+        p = c["graphTraverse"]
+        if not p.get("edge") or not p.get("start"):
+            raise BadFilterError("edge and start are required")
+        way = p.get("dir") if p.get("dir") in (graph.IN, graph.BOTH) else graph.OUT
+        found = self._walker().traverse(p["edge"], p["start"], direction=way, max_depth=_whole(p.get("maxDepth")), min_depth=_whole(p.get("minDepth")), limit=_whole(p.get("limit")))
+        return {"nodes": [{"vertex": r["vertex"], "depth": r["depth"]} for r in found.collect()]}
+
+    def cmd_graphPath(self, c: dict) -> dict:
+        p = c["graphPath"]
+        if not all(p.get(k) for k in ("edge", "from", "to")):
+            raise BadFilterError("edge, from and to are required")
+        return {"path": self._walker().shortest_path(p["edge"], p["from"], p["to"], max_depth=_whole(p.get("maxDepth"))) or []}
+
     # Catalog.
 
     def cmd_create(self, c: dict) -> dict:

@@ -443,6 +443,18 @@ def test_denied_fields_do_not_leak(db):
     assert {x["name"] for x in c.run({"listCollections": 1})["cursor"]["firstBatch"]} == {"p", "q"}
 
 
+def test_walk_commands(db):
+    for a, b in (("a", "b"), ("b", "c"), ("c", "d")):
+        db.add_edge("knows", a, b)
+    run = Commands(db).run
+    assert [x["vertex"] for x in run({"graphTraverse": {"edge": "knows", "start": "a", "maxDepth": "2"}})["nodes"]] == ["a", "b", "c"]
+    assert [x["vertex"] for x in run({"graphTraverse": {"edge": "knows", "start": "c", "dir": "in", "minDepth": 1, "limit": "x"}})["nodes"]] == ["b", "a"]
+    assert run({"graphPath": {"edge": "knows", "from": "a", "to": "d"}})["path"] == ["a", "b", "c", "d"]
+    assert run({"graphPath": {"edge": "knows", "from": "d", "to": "a"}})["path"] == [] and run({"graphPath": {"edge": "knows"}})["ok"] == 0
+    eva, _ = _guarded(db)
+    assert Commands(db, session=eva).run({"graphTraverse": {"edge": "knows", "start": "a"}})["code"] == 13
+
+
 def test_sessions_end(db):
     eva, root = _guarded(db)
     db.security.set_user_roles("eva", ["admin"])
