@@ -6,7 +6,7 @@ dynamic programming, so that the product of the parts' guess counts is smallest;
 ``MIN_GUESSES_LOG10`` decimal digits of guesses is a span of kind ``guess``. Values that a guesser reaches early
 (placeholders, walks, dates, one or two plain words) add nothing; three words are a passphrase.
 
-The dictionary has common passwords, word forms made by a rule, and the MOST_WORDS words of letters that most rows of the
+The dictionary has common passwords, word forms made by a rule, and at most MOST_WORDS words of letters that most rows of the
 corpus itself hold, ranked by that: prose after a credential word is no secret. The words are counted in a pass
 over the texts with partial sums; the scan is one more pass without a shuffle, in which a linear-time filter in Arrow
 finds the texts worth a closer look.
@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docengine.llm.spill import table
+from docengine.llm.spill import table, written
 
 KINDS = ("assign", "access", "hex", "guess")
 # The base patterns.
@@ -101,9 +101,18 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def common_words(documents: DataFrame, most: int = MOST_WORDS) -> list[str]:
-    """The ``most`` words of Latin letters that most rows hold, ties by the word; at most LONGEST_WORD letters each."""
-    counted = documents.select("text").mapInArrow(_counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r["word"] for r in counted.where("n > 1").orderBy(F.desc("n"), "word").limit(most).collect()]
+    """At most ``most`` words of Latin letters that most rows hold, in that order, ties by the word: those above a frequency
+    that a histogram of logarithms gives, so that no more than these come to the driver. Words of one row are left out."""
+    counted = documents.select("text").mapInArrow(_counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
+    counted = written(counted.withColumn("step", F.floor(F.log2("n") * 8)), "secret-words")
+    steps = counted.groupBy("step").agg(F.count(F.lit(1)).alias("c")).collect()
+    left, least = most, None
+    for step, c in sorted(((r["step"], r["c"]) for r in steps), reverse=True):
+        if c > left:
+            break
+        left, least = left - c, step
+    rows = counted.where(F.col("step") >= least).select("word", "n").collect() if least is not None else []
+    return [r["word"] for r in sorted(rows, key=lambda r: (-r["n"], r["word"]))]
 
 
 # Characters that stand for letters, and the rows and columns of a keyboard.
