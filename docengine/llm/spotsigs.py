@@ -8,8 +8,8 @@ Near copies, over all rows: (1) equal sets become one class; (2) a class stands
 an order that puts frequent ones last, of which two near sets share l at least (``least_shared``); a class with fewer than l
 that others have too is done with. Each shared signature is labelled with its first row, its head, and a class leaves out
 the weakest heads whose signatures are fewer than l in all; (3) the classes of a head are partitioned by set length, so
-that a near set lies in the same partition or the next, and a partition is dealt out in parts of a bounded size; (4) each
-part is compared with the others by Jaccard similarity, pruned by set length first. Rareness comes from a count sketch of
+that a near set lies in the same partition or the next, and a large partition is dealt out in parts; few classes are one
+partition; (4) each part is compared with itself and the others by Jaccard similarity, pruned by set length first. Rareness comes from a count sketch of
 fixed size; it decides how many classes meet, never which are found.
 
 Everything is DataFrame code: one regular expression finds all runs of common words of a text with the chain behind each,
@@ -37,9 +37,10 @@ NEAR = 0.75
 #: Slots of signatures that are counted together.
 SKETCH_SLOTS = 1 << 16
 #: A prefix is longer by one signature for so many of its set; as many more are shared by near sets.
-SHARED_STEP = 20
-#: Classes of one head and length partition that are compared with as many others in one go, on average.
-PART_MEMBERS = 64
+SHARED_STEP = 10
+#: Classes of one head that are compared with one another in one go; more are partitioned by set length, and a partition is
+#: dealt out in parts of about so many.
+PART_MEMBERS = 256
 # Common words of English, French, German and Spanish.
 COMMON = """the a an and of to in is it be as at by for from with this that are was on or has had not but
 le la les un une des du de et est en que qui dans pour sur par au aux ce il elle ne pas son se
@@ -107,26 +108,32 @@ def range_of(documents: DataFrame) -> Column:
     return F.expr(f"if(doc_id is null, -1L, {found if bounds else '0L'})")
 
 
-def with_next(documents: DataFrame, near: DataFrame) -> DataFrame:
-    """Adds ``fp``, and ``next``, a struct of text and fp of the document that comes next in descending order of doc_id
-    (ties by text; null ids last); the last one's next is the first. Adds what ``near`` (see near_rows) says of a row."""
+def with_next(documents: DataFrame, sets: DataFrame, near: DataFrame) -> DataFrame:
+    """Adds ``fp`` from ``sets`` (doc_id, t, fp; ``t`` is the text's hash), and ``next``, a struct of text and fp of the
+    document that comes next in descending order of doc_id (ties by text; null ids last); the last one's next is the first.
+    Adds what ``near`` (see near_rows) says of a row. All of this goes to the ranges of doc_id with the texts."""
     key = range_of(documents)
+    names = {"k": "long", "kind": "int", "doc_id": "long", "t": "long", "text": "string", "fp": "array<int>", "n_near": "long", "near_id": "long"}
+
+    def sent(df: DataFrame, kind: int, **has: str) -> DataFrame:
+        given = {"kind": F.lit(kind)} | {c: F.col(x) for c, x in has.items()}
+        return df.select(*(given.get(c, F.lit(None)).cast(type_).alias(c) for c, type_ in names.items()))
+
     keyed = documents.select(key.alias("k"), "doc_id", F.xxhash64("text").alias("t"), "text")
-    none = F.lit(None).cast("long")
-    rows = keyed.select("k", F.lit(0).alias("kind"), "doc_id", "t", "text", none.alias("n_near"), none.alias("near_id"))
-    facts = near.select(key.alias("k"), F.lit(1).alias("kind"), "doc_id", "t", F.lit(None).cast("string").alias("text"), "n_near", "near_id")
     # The first document of each range follows the last one of the range above. There are MAX_RANGES at most, and one of none.
     tops = keyed.groupBy("k").agg(F.max("doc_id").alias("top"))
     above = W.orderBy("k")
     tops = tops.withColumn("above", F.coalesce(F.lead("k").over(above), F.first("k").over(above.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))))
     tops = Scratch(documents.sparkSession, "spotsigs-tops").write(tops, "tops")
     heads = keyed.join(F.broadcast(tops.withColumnRenamed("k", "k1")), (F.col("k") == F.col("k1")) & F.col("doc_id").eqNullSafe(F.col("top")))
-    heads = heads.groupBy("above").agg(F.min("text").alias("text"))
-    heads = heads.select(F.col("above").alias("k"), F.lit(2).alias("kind"), none.alias("doc_id"), none.alias("t"), "text", none.alias("n_near"), none.alias("near_id"))
+    heads = heads.groupBy("above").agg(F.min("text").alias("text")).withColumn("fp", prints(F.col("text")))
+    both = sent(keyed, 0, k="k", doc_id="doc_id", t="t", text="text")
+    both = both.unionByName(sent(sets.withColumn("k", key), 1, k="k", doc_id="doc_id", t="t", fp="fp"))
+    both = both.unionByName(sent(near.withColumn("k", key), 1, k="k", doc_id="doc_id", t="t", n_near="n_near", near_id="near_id"))
+    both = both.unionByName(sent(heads, 2, k="above", text="text", fp="fp")).repartition("k")
     same = W.partitionBy("k", "doc_id", "t")
-    both = rows.unionByName(facts).unionByName(heads).repartition("k")
-    both = both.withColumns({c: F.max(c).over(same) for c in ("n_near", "near_id")}).where("kind <> 1")
-    own = both.withColumn("fp", prints(F.col("text"))).withColumn("own", F.struct("text", "fp"))
+    facts = {"fp": F.first("fp", ignorenulls=True).over(same)} | {c: F.max(c).over(same) for c in ("n_near", "near_id")}
+    own = both.withColumns(facts).where("kind <> 1").withColumn("own", F.struct("text", "fp"))
     order = W.partitionBy("k").orderBy("kind", F.desc_nulls_last("doc_id"), "text")
     placed = own.withColumn("next", F.lead("own").over(order)).where("kind = 0")
     return placed.withColumns({"n_near": F.coalesce("n_near", F.lit(0)).cast("long"), "near_id": F.coalesce("near_id", "doc_id")}).drop("k", "kind", "t", "own")
@@ -175,10 +182,13 @@ def _met(sets: DataFrame, classes: DataFrame, scratch: Scratch, percent: int) ->
 def near_classes(sets: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
     """rep, others, low_id of the ``classes`` that have near ones: how many rows those have, and their smallest doc_id."""
     percent = round(100 * NEAR)
-    met = _met(sets, classes, scratch, percent).withColumn("length", F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent)).cast("int"))
-    sizes = met.groupBy("head", "length").agg(F.ceil(F.count(F.lit(1)) / float(PART_MEMBERS)).cast("int").alias("parts"), F.count(F.lit(1)).alias("m"))
-    sizes = sizes.groupBy("head").agg(F.sum("m").alias("m"), F.map_from_entries(F.collect_list(F.struct("length", "parts"))).alias("parts")).where("m > 1")
-    dealt = met.join(scratch.write(sizes.select("head", "parts"), "sizes"), "head")
+    own = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent)).cast("int")
+    met = _met(sets, classes, scratch, percent)
+    several = met.groupBy("head").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    met = scratch.write(met.join(several, "head").withColumn("length", F.when(F.col("m") > PART_MEMBERS, own).otherwise(-9)).drop("m"), "placed")
+    sizes = met.groupBy("head", "length").agg(F.ceil(F.count(F.lit(1)) / float(PART_MEMBERS)).cast("int").alias("parts"))
+    sizes = sizes.groupBy("head").agg(F.map_from_entries(F.collect_list(F.struct("length", "parts"))).alias("parts"))
+    dealt = met.join(scratch.write(sizes, "sizes"), "head")
     dealt = dealt.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")[F.col("length")]).cast("int"))
     # Against every part of its own length partition, and of the next shorter and longer ones.
     others = "flatten(transform(array(length - 1, length, length + 1), l -> transform(sequence(1, coalesce(parts[l], 0)), p -> struct(l as length, p - 1 as part))))"
@@ -206,14 +216,17 @@ def near_classes(sets: DataFrame, classes: DataFrame, scratch: Scratch) -> DataF
     return each.groupBy("rep").agg(F.sum("others").alias("others"), F.min("low_id").alias("low_id"))
 
 
-def near_rows(documents: DataFrame) -> DataFrame:
-    """doc_id, t, n_near, near_id of the rows (doc_id, text) that have near rows; ``t`` is the text's hash."""
-    scratch = Scratch(documents.sparkSession, "spotsigs")
+def sets_of(documents: DataFrame, scratch: Scratch) -> DataFrame:
+    """rid, doc_id, t, fp and two hashes c1, c2 of the class of each row (doc_id, text), written; ``t`` is the text's hash."""
     sets = documents.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.xxhash64("text").alias("t"), "text", prints(F.col("text")).alias("fp"))
     # Texts without signatures are near only to equal ones.
     blank = F.when(F.size("fp") == 0, F.sha2(F.col("text").cast("binary"), 256))
     sets = sets.withColumns({"c1": F.xxhash64("fp", blank), "c2": F.xxhash64(F.lit(1), "fp", blank)})
-    sets = scratch.write(sets.drop("text"), "sets")
+    return scratch.write(sets.drop("text"), "sets")
+
+
+def near_rows(sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """doc_id, t, n_near, near_id of the rows of ``sets`` that have near rows."""
     classes = sets.groupBy("c1", "c2").agg(F.min("rid").alias("rep"), F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("members"), F.max(F.size("fp")).cast("long").alias("n"))
     classes = scratch.write(classes, "classes")
     near = near_classes(sets, classes.drop("c1", "c2"), scratch)
@@ -221,7 +234,7 @@ def near_rows(documents: DataFrame) -> DataFrame:
     counts = counts.select("c1", "c2", "n_near", F.least("first", "low_id").alias("near_id"))
     rows = sets.select("c1", "c2", "doc_id", "t").join(scratch.write(counts, "counts"), ["c1", "c2"]).select("doc_id", "t", "n_near", F.least("near_id", "doc_id").alias("near_id"))
     rows = scratch.write(rows, "rows")
-    scratch.drop("sets", "classes", "first", "held", "each", "met", "sizes", "squares", "counts")
+    scratch.drop("classes", "first", "held", "each", "met", "placed", "sizes", "squares", "counts")
     return rows
 
 
@@ -235,7 +248,9 @@ def fingerprints(documents: DataFrame) -> DataFrame:
     other's (0). An only document is its own next. Other columns are ignored; an empty table gives no rows.
     """
     own = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    near = with_next(own, near_rows(own)).withColumn("n", F.length("text"))
+    scratch = Scratch(documents.sparkSession, "spotsigs")
+    sets = sets_of(own, scratch)
+    near = with_next(own, sets, near_rows(sets, scratch)).withColumn("n", F.length("text"))
     half = F.floor(F.col("n") / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.col("n") - half), F.substring(F.col("next.text"), F.lit(1), half))
     made = near.withColumn("edited", edited)
