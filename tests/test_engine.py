@@ -265,11 +265,12 @@ def test_writes_keep_untouched_folders(db):
     c = db.create("w")
     for i in range(3):
         c.insert([{"_id": f"{i}{k}", "n": i} for k in "ab"])
-    assert c.meta["parts"] == ["v1", "v2", "v3"]
+    parts = lambda: [p.split("-")[0] for p in c.meta["parts"]]  # noqa: E731  behind the version stands the writer's own mark
+    assert parts() == ["v1", "v2", "v3"]
     c.update({"n": 1}, {"$set": {"m": "x"}}, multi=True)
-    assert c.meta["parts"] == ["v1", "v3", "v4"] and c.count() == 6 and c.count({"m": "x"}) == 2
+    assert parts() == ["v1", "v3", "v4"] and c.count() == 6 and c.count({"m": "x"}) == 2
     c.delete({"_id": "0a"})
-    assert c.meta["parts"] == ["v3", "v4", "v5"] and ids(c.df) == ["0b", "1a", "1b", "2a", "2b"]
+    assert parts() == ["v3", "v4", "v5"] and ids(c.df) == ["0b", "1a", "1b", "2a", "2b"]
     c.update({"n": 2}, {"$set": {"n": 2.5}}, multi=True)  # another type: all rows
     assert len(c.meta["parts"]) == 1 and sorted(r["n"] for r in c.df.collect()) == [0, 1, 1, 2.5, 2.5]
 
