@@ -24,6 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docengine.llm import bytewords as bw
 from docengine.llm.spill import table, written
 
 KINDS = ("assign", "access", "hex", "guess")
@@ -67,7 +68,9 @@ izing ator ators or ors ary ory ful less ly""".split(" ")
 MOST_WORDS = 50_000
 LEAST_WORD, LONGEST_WORD = 3, 24
 #: Words that one task counts before it hands on its counts.
-HELD_WORDS = 200_000
+HELD_WORDS = 50_000
+#: Bytes of text whose words are split at once; lists of words take many times as much.
+COUNT_BYTES = 1 << 18
 
 
 def ranked(words: list[str]) -> dict[str, int]:
@@ -84,18 +87,17 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held.clear()
         return out
 
-    for batch in batches:
-        for part in range(0, batch.num_rows, 256):
-            words = pc.split_pattern_regex(pc.utf8_lower(pc.fill_null(batch.column(0).slice(part, 256), "")), r"[^a-z]+")
-            size = pc.utf8_length(words.flatten())
-            mine = pc.and_(pc.greater_equal(size, LEAST_WORD), pc.less_equal(size, LONGEST_WORD))
-            # Once for each row.
-            rows = pa.table([pc.list_parent_indices(words), words.flatten()], names=["row", "word"]).filter(mine).group_by(["row", "word"]).aggregate([])
-            for x in pc.value_counts(rows["word"].combine_chunks()):
-                word, n = x["values"].as_py(), x["counts"].as_py()
-                held[word] = held.get(word, 0) + n
-            if len(held) >= HELD_WORDS:
-                yield done()
+    for texts, _, _ in bw.blocks(batches, limit=COUNT_BYTES):
+        words = pc.split_pattern_regex(pc.utf8_lower(pc.fill_null(texts.column(0), "")), r"[^a-z]+")
+        size = pc.utf8_length(words.flatten())
+        mine = pc.and_(pc.greater_equal(size, LEAST_WORD), pc.less_equal(size, LONGEST_WORD))
+        # Once for each row.
+        rows = pa.table([pc.list_parent_indices(words), words.flatten()], names=["row", "word"]).filter(mine).group_by(["row", "word"]).aggregate([])
+        for x in pc.value_counts(rows["word"].combine_chunks()):
+            word, n = x["values"].as_py(), x["counts"].as_py()
+            held[word] = held.get(word, 0) + n
+        if len(held) >= HELD_WORDS:
+            yield done()
     if held:
         yield done()
 

@@ -29,6 +29,8 @@ SAMPLE_PER_CLASS = 1000
 SAMPLE_CHARS = 3_000_000
 SLOTS = 1 << 18
 ROW = 32
+#: Bytes of text scored at once: features of a token take some hundred bytes, several times over.
+SCORE_BYTES = 1 << 18
 PREFIXES = (4, 5, 6)
 THRESHOLD = 0.7
 SPAN_MARGINAL = 0.5
@@ -282,7 +284,7 @@ def _scorer(sent, carried: tuple[str, ...] = ("doc_id",)):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = sent.value
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        for rows, data, offsets in bw.blocks(batches):
+        for rows, data, offsets in bw.blocks(batches, limit=SCORE_BYTES):
             starts, ends, text_of, keys = tokens(data, offsets)
             counts = np.bincount(text_of, minlength=rows.num_rows)
             p = marginals(model.unary[slots(keys, text_of)].sum(1) + model.bias, model.trans, counts)
