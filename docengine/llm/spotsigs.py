@@ -9,7 +9,8 @@ an order that puts frequent ones last, of which two near sets share l at least (
 that others have too is done with. Each shared signature is labelled with its first row, its head, and a class leaves out
 the weakest heads whose signatures are fewer than l in all; (3) the classes of a head are partitioned by set length, so
 that a near set lies in the same partition or the next, and a large partition is dealt out in parts; few classes are one
-partition; (4) each part is compared with itself and the others by Jaccard similarity, pruned by set length first. Rareness comes from a count sketch of
+partition; (4) each part is compared with itself and the others by Jaccard similarity, pruned by set length and by
+bits of the sets first, each pair once. Rareness comes from a count sketch of
 fixed size; it decides how many classes meet, never which are found.
 
 Everything is DataFrame code: one regular expression finds all runs of common words of a text with the chain behind each,
@@ -21,6 +22,8 @@ from __future__ import annotations
 
 import json
 import math
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,6 +44,8 @@ SHARED_STEP = 10
 #: Classes of one head that are compared with one another in one go; more are partitioned by set length, and a partition is
 #: dealt out in parts of about so many.
 PART_MEMBERS = 256
+#: Words of 64 bits that a set is marked in; pairs whose marks differ too much are not compared.
+MARK_WORDS = 4
 # Common words of English, French, German and Spanish.
 COMMON = """the a an and of to in is it be as at by for from with this that are was on or has had not but
 le la les un une des du de et est en que qui dans pour sur par au aux ce il elle ne pas son se
@@ -151,6 +156,13 @@ def _ranks(fps: DataFrame) -> bytes:
     return bytes(ranks)
 
 
+def marks(fp: str) -> Column:
+    """MARK_WORDS times 64 bits, each whether an odd number of the set's hashes fall on it. Two sets' marks differ in at most
+    as many bits as the sets have signatures that the other one lacks."""
+    one = f"aggregate({fp}, 0L, (x, h) -> if(pmod(shiftright(h, 6), {MARK_WORDS}) = {{}}, x ^ shiftleft(1L, h & 63), x))"
+    return F.expr(f"array({', '.join(map(one.format, range(MARK_WORDS)))})")
+
+
 def least_shared(n: str) -> str:
     """How many prefix signatures near sets share at least, where the smaller set has n; as SQL."""
     return f"(1 + {n} div {SHARED_STEP})"
@@ -179,6 +191,25 @@ def _met(sets: DataFrame, classes: DataFrame, scratch: Scratch, percent: int) ->
     return scratch.write(heads.select("rep", "n", "first", "members", "head", F.filter("heads", lambda h: h < F.col("head")).alias("low")), "met")
 
 
+def _candidates(rows: DataFrame, percent: int) -> DataFrame:
+    """a, b: the pairs of each part, or of two, that set lengths and marks allow to be near, each once. Pairs are rows, as
+    lists are intersected much faster in rows than within a function on lists."""
+    rows = rows.withColumn("marks", marks("fp"))
+    rows = rows.groupBy("head", "lo", "hi").agg(F.collect_list(F.struct("rep", "at", "n", "first", "members", "low", "fp", "marks")).alias("held"))
+
+    def maybe(a: Column) -> Column:
+        def allowed(b: Column) -> Column:
+            apart = (a["rep"] < b["rep"]) & ((F.col("lo") == F.col("hi")) | (a["at"] != b["at"]))
+            lengths = 100 * F.least(a["n"], b["n"]) >= percent * F.greatest(a["n"], b["n"])
+            differ = reduce(add, [F.bit_count(a["marks"][i].bitwiseXOR(b["marks"][i])) for i in range(MARK_WORDS)])
+            return apart & lengths & ((100 + percent) * differ <= (100 - percent) * (a["n"] + b["n"]))
+
+        return F.filter("held", allowed)
+
+    each = rows.select(F.explode(F.transform("held", lambda a: F.struct(a.alias("a"), maybe(a).alias("maybe")))).alias("x"))
+    return each.where("size(x.maybe) > 0").select("x.a", F.explode("x.maybe").alias("b"))
+
+
 def near_classes(sets: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
     """rep, others, low_id of the ``classes`` that have near ones: how many rows those have, and their smallest doc_id."""
     percent = round(100 * NEAR)
@@ -196,23 +227,12 @@ def near_classes(sets: DataFrame, classes: DataFrame, scratch: Scratch) -> DataF
     dealt = dealt.withColumn("at", F.struct("length", "part")).withColumn("other", F.explode(F.expr(others)))
     squares = dealt.select("head", F.least("at", "other").alias("lo"), F.greatest("at", "other").alias("hi"), "at", "rep", "n", "first", "members", "low")
     squares = scratch.write(squares, "squares")
-    rows = squares.join(sets.select(F.col("rid").alias("rep"), "fp"), "rep")
-    rows = rows.groupBy("head", "lo", "hi").agg(F.collect_list(F.struct("rep", "at", "n", "first", "members", "low", "fp")).alias("held"))
-
-    def found(a: Column) -> Column:
-        """What is near a among the rows held. A pair that meets under several heads counts under the smallest."""
-
-        def near(b: Column) -> Column:
-            both = F.size(F.array_intersect(a["fp"], b["fp"]))
-            apart = (a["rep"] != b["rep"]) & ((F.col("lo") == F.col("hi")) | (a["at"] != b["at"]))
-            allowed = 100 * F.least(a["n"], b["n"]) >= percent * F.greatest(a["n"], b["n"])
-            return apart & allowed & ~F.arrays_overlap(a["low"], b["low"]) & (100 * both >= percent * (a["n"] + b["n"] - both))
-
-        return F.filter("held", near)
-
-    summed = lambda near: F.aggregate(near, F.lit(0).cast("long"), lambda x, b: x + b["members"])
-    each = rows.select("held", F.explode(F.transform("held", lambda a: F.struct(a["rep"].alias("rep"), F.transform(found(a), lambda b: F.struct(b["members"].alias("members"), b["first"].alias("first"))).alias("near")))).alias("x"))
-    each = each.where("size(x.near) > 0").select("x.rep", summed(F.col("x.near")).alias("others"), F.array_min(F.transform("x.near", lambda b: b["first"])).alias("low_id"))
+    met = _candidates(squares.join(sets.select(F.col("rid").alias("rep"), "fp"), "rep"), percent)
+    both = F.size(F.array_intersect("a.fp", "b.fp"))
+    # A pair that meets under several heads counts under the smallest.
+    near = met.where(~F.arrays_overlap("a.low", "b.low") & (100 * both >= percent * (F.col("a.n") + F.col("b.n") - both)))
+    sides = [F.struct(F.col(f"{x}.rep").alias("rep"), F.col(f"{y}.members").alias("others"), F.col(f"{y}.first").alias("low_id")) for x, y in ("ab", "ba")]
+    each = near.select(F.explode(F.array(*sides)).alias("x")).select("x.*")
     return each.groupBy("rep").agg(F.sum("others").alias("others"), F.min("low_id").alias("low_id"))
 
 

@@ -293,6 +293,25 @@ def test_near_copies_against_all_pairs(spark, monkeypatch, members):
     assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
+def test_near_pairs_are_looked_at_once_and_few_others(spark):
+    """Of a family and of sets alike by length only, in one part: every near pair is compared once, most others never."""
+    import itertools
+    import random
+
+    rng = random.Random(5)
+    base = rng.sample(range(-(2**31), 2**31), 100)
+    sets = [set(rng.sample(base, 95)) | set(rng.sample(range(2**31), i % 6)) for i in range(20)]
+    sets += [set(rng.sample(range(-(2**31), 2**31), 95 + i)) for i in range(20)]
+    rows = [(1, (-9, 0), (-9, 0), (-9, 0), i, len(x), i, 1, [], sorted(x)) for i, x in enumerate(sets)]
+    spot = "struct<length: int, part: int>"
+    kinds = f"head long, lo {spot}, hi {spot}, at {spot}, rep long, n long, first long, members long, low array<long>, fp array<int>"
+    got = [(r["i"], r["j"]) for r in spotsigs._candidates(spark.createDataFrame(rows, kinds), 75).selectExpr("a.rep as i", "b.rep as j").collect()]
+    near = {(i, j) for i, j in itertools.combinations(range(40), 2) if len(sets[i] & sets[j]) >= 0.75 * len(sets[i] | sets[j])}
+    assert len(near) >= 100 and near <= set(got)
+    assert len(got) == len(set(got)) and all(i < j for i, j in got)
+    assert len(set(got) - near) <= 100  # of the other 590 pairs at most
+
+
 def test_jaccard_counts_every_link(spark, monkeypatch):
     """A group of many distinct near copies, some of them twice, over several squares, against all pairs."""
     import random
