@@ -3,14 +3,10 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docengine.llm import bytewords as bw
 from docengine.plans.lineage import shared_dir
 from docengine.sources import files
 
@@ -36,64 +32,35 @@ class Scratch:
             files.delete(self.spark, f"{self.path}/{name}")
 
 
-#: Bits of the filter of ids that is sent to every executor: 8 MiB, however many ids there are.
+#: Bits of the filter of ids that is sent to every executor: 8 MiB, however many ids there are, in rows of FILTER_WORDS
+#: times 64 bits.
 FILTER_BITS = 1 << 26
-FILTER_CHUNK = 1 << 17  # bytes
-
-
-def _slots(ids: pa.Array) -> np.ndarray:
-    return (bw.mixed(ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) % np.uint64(FILTER_BITS)).astype(np.int64)
-
-
-def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    for batch in batches:
-        at = _slots(batch.column(0))
-        np.bitwise_or.at(bits, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
-    chunks = bits.reshape(-1, FILTER_CHUNK)
-    yield from _chunks({i: chunks[i] for i in np.flatnonzero(chunks.any(1)).tolist()})
-
-
-def _chunks(held: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
-    for i, c in held.items():
-        yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([c.tobytes()], pa.binary())], names=["chunk", "bits"])
-
-
-def _join_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for i, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            got = np.frombuffer(c, np.uint8)
-            held[i] = held[i] | got if i in held else got
-    yield from _chunks(held)
+FILTER_WORDS = 128
 
 
 class IdFilter:
-    """A set of bits for hashed ids, of fixed size, made on the executors. A row it lets through may still not be meant;
-    one it holds back is surely not. The more ids, the more it lets through: it spares a shuffle or it does not, and
-    never decides a result."""
+    """A set of bits for hashed ids, of fixed size, made on the executors and joined as a broadcast table, so that no text
+    goes through a Python worker. A row it lets through may still not be meant; one it holds back is surely not. The more
+    ids, the more it lets through: it spares a shuffle or it does not, and never decides a result."""
 
     def __init__(self, ids: DataFrame):
-        spark = ids.sparkSession
-        marked = ids.select(F.col(ids.columns[0]).cast("long").alias("id")).mapInArrow(_mark, "chunk int, bits binary")
-        bits = np.zeros(FILTER_BITS // 8, np.uint8)
-        for row in marked.repartition("chunk").mapInArrow(_join_chunks, "chunk int, bits binary").toLocalIterator():
-            bits[row["chunk"] * FILTER_CHUNK :][:FILTER_CHUNK] = np.frombuffer(row["bits"], np.uint8)
-        self.sent = spark.sparkContext.broadcast(bits)
+        slots = ids.select(F.col(ids.columns[0]).cast("long").alias("id")).where("id is not null").select(self._slot("id").alias("s"))
+        words = slots.selectExpr("s div 64 as w", "shiftleft(1L, cast(s % 64 as int)) as bit").groupBy("w").agg(F.bit_or("bit").alias("bits"))
+        held = words.groupBy(F.expr(f"w div {FILTER_WORDS}").alias("_chunk")).agg(F.map_from_entries(F.collect_list(F.struct(F.expr(f"w % {FILTER_WORDS}"), "bits"))).alias("m"))
+        chunks = held.select("_chunk", F.expr(f"transform(sequence(0L, {FILTER_WORDS - 1}L), i -> coalesce(m[i], 0L))").alias("_bits"))
+        self.sent = Scratch(ids.sparkSession, "filter").write(chunks, "chunks")
+
+    @staticmethod
+    def _slot(key: str) -> Column:
+        return F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(FILTER_BITS))
 
     def rows(self, df: DataFrame, key: str, *, hit: bool = True) -> DataFrame:
         """Rows of ``df`` that may be meant, or those that surely are not. A null key is never meant."""
-        sent, at = self.sent, df.columns.index(key)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            bits = sent.value
-            for batch in batches:
-                slots = _slots(batch.column(at).cast(pa.int64()))
-                there = (bits[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 > 0
-                there &= batch.column(at).is_valid().to_numpy(zero_copy_only=False)
-                yield batch.filter(pa.array(there if hit else ~there))
-
-        return df.mapInArrow(run, df.schema)
+        slot = F.when(F.col(key).isNotNull(), self._slot(key))
+        placed = df.withColumn("_slot", slot).withColumn("_chunk", F.expr(f"_slot div {64 * FILTER_WORDS}"))
+        joined = placed.join(F.broadcast(self.sent), "_chunk", "left")
+        there = F.coalesce(F.expr(f"shiftrightunsigned(_bits[cast(_slot div 64 % {FILTER_WORDS} as int)], cast(_slot % 64 as int)) & 1L") == 1, F.lit(False))
+        return joined.where(there if hit else ~there).select(*df.columns)
 
 
 def not_among(df: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:

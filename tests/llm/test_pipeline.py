@@ -6,7 +6,7 @@ import re
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from docengine.llm import secret_scan, toxicity
+from docengine.llm import secret_scan, spill, toxicity
 
 
 def lowered(text):
@@ -92,3 +92,19 @@ def test_stages_with_odd_rows(spark, sf):
     for _, stage in corpus_pipeline.STAGES:
         empty = corpus_pipeline.written(stage(spark, empty, sf), "empty")
     assert empty.count() == 0
+
+
+def test_rows_left_out_by_id_stay_out_of_python(spark):
+    """What is not among ids, over ids of any kind, without a Python worker for the rows' texts."""
+    own = [None, 0, -1, 1, 63, 64, 8191, 8192, 2**62, -(2**63), 2**63 - 1, *range(100, 3000)]
+    gone = {0, -1, 64, 2**62, -(2**63), *range(101, 3000, 2)}
+    docs = spark.createDataFrame([(i, f"t{i}") for i in own], "doc_id long, text string")
+    ids = spark.createDataFrame([(None,), *((i,) for i in sorted(gone))], "doc_id long")
+    for found, away in ((ids, gone), (ids.where("doc_id is null"), set())):
+        kept = spill.not_among(docs, found)
+        assert kept.columns == docs.columns
+        assert sorted(map(tuple, kept.collect()), key=repr) == sorted(((i, f"t{i}") for i in own if i not in away), key=repr)
+        assert "ArrowPython" not in (plan := kept._jdf.queryExecution().executedPlan().toString()) and "MapInArrow" not in plan
+    held = spill.IdFilter(ids)
+    hit, rest = ({r["doc_id"] for r in held.rows(docs, "doc_id", hit=h).collect()} for h in (True, False))
+    assert gone <= hit and None in rest and hit | rest == set(own) and not hit & rest and len(rest) > len(own) / 3
