@@ -8,7 +8,8 @@ finished with a mixing step; equal words have equal hashes in every process.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import ctypes
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,29 @@ ALNUM = np.array([b >= 128 or chr(b) in "0123456789abcdefghijklmnopqrstuvwxyz" f
 SOLID = np.array([not (b == 32 or 9 <= b <= 13) for b in range(256)])
 LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], dtype=np.uint8)
 
+#: Of glibc; other systems have none.
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def handing_back(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` over a task's batches; then the worker hands what is free back to the system. Workers are kept for later
+    tasks and stages, and what one has taken would else stand beside what the JVM and the other workers take then."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            hand_back()
+
+    return whole
+
+
+def hand_back() -> None:
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 

@@ -193,7 +193,7 @@ def decontaminate(
             # Only a step that another one follows hands on the texts, unless they are to be kept.
             sent = spark.sparkContext.broadcast(build_index(ahead, window, k))
             texts = items is not None or "text" in (keep or [])
-            out = out.mapInArrow(_mapper(sent, texts), carried + ", text string" * texts)
+            out = out.mapInArrow(bw.handing_back(_mapper(sent, texts)), carried + ", text string" * texts)
             if items is not None:
                 step += 1
                 out = scratch.write(out, f"block{step}")

@@ -112,9 +112,9 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def sketch(texts: DataFrame, k: int) -> np.ndarray:
     """How many documents each of SKETCH_SLOTS slots of shingles is in, as a rough power of two. Fixed size; tasks' counts
     are added up chunk by chunk, streaming."""
-    counted = texts.mapInArrow(_count(k), "chunk int, counts binary")
+    counted = texts.mapInArrow(bw.handing_back(_count(k)), "chunk int, counts binary")
     total = np.zeros(SKETCH_SLOTS, np.uint32)
-    for row in counted.repartition("chunk").mapInArrow(_add, "chunk int, counts binary").toLocalIterator():
+    for row in counted.repartition("chunk").mapInArrow(bw.handing_back(_add), "chunk int, counts binary").toLocalIterator():
         total[row["chunk"] * SKETCH_CHUNK :][:SKETCH_CHUNK] = np.frombuffer(row["counts"], "<u4")
     # Slots that hold what the mean one does, by chance, rank alike.
     return np.floor(np.log2(np.maximum(total / max(float(total.mean()), 1.0), 2.0))).astype(np.uint8)
@@ -316,7 +316,7 @@ class Join:
         self.texts = documents.selectExpr("cast(doc_id as long) as doc_id", "text")
         rank = self.spark.sparkContext.broadcast(sketch(self.texts, k))
         kinds = "doc_id long, n long, need long, digest binary, prefix array<long>"
-        points = self.scratch.write(self.texts.mapInArrow(_points(rank, k, percent), kinds), "points")
+        points = self.scratch.write(self.texts.mapInArrow(bw.handing_back(_points(rank, k, percent)), kinds), "points")
         keyed = points.select("doc_id", "n", "need", "digest")
         full = keyed.where("n > 0 and doc_id is not null")
         sizes = full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size"), F.min("n").alias("n"), F.min("need").alias("need"))
@@ -364,7 +364,7 @@ class Join:
         texts = IdFilter(self.squares.select("rep")).rows(self.texts, "doc_id").withColumnRenamed("doc_id", "rep")
         rows = self.squares.join(texts, "rep").select(*self.squares.columns, "text")
         rows = rows.repartition("head", "lo", "hi").sortWithinPartitions("head", "lo", "hi")
-        return rows.mapInArrow(_joined(self.k, self.percent, what), kinds)
+        return rows.mapInArrow(bw.handing_back(_joined(self.k, self.percent, what)), kinds)
 
     def pairs(self) -> DataFrame:
         """a, b (a < b): every link between classes of different sets, once, by their representatives."""

@@ -71,6 +71,8 @@ LEAST_WORD, LONGEST_WORD = 3, 24
 HELD_WORDS = 50_000
 #: Bytes of text whose words are split at once; lists of words take many times as much.
 COUNT_BYTES = 1 << 18
+#: Bytes of text that are masked at once.
+MASK_BYTES = 1 << 20
 
 
 def ranked(words: list[str]) -> dict[str, int]:
@@ -105,7 +107,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def common_words(documents: DataFrame, most: int = MOST_WORDS) -> list[str]:
     """At most ``most`` words of Latin letters that most rows hold, in that order, ties by the word: those above a frequency
     that a histogram of logarithms gives, so that no more than these come to the driver. Words of one row are left out."""
-    counted = documents.select("text").mapInArrow(_counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
+    counted = documents.select("text").mapInArrow(bw.handing_back(_counts), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
     counted = written(counted.withColumn("step", F.floor(F.log2("n") * 8)), "secret-words")
     steps = counted.groupBy("step").agg(F.count(F.lit(1)).alias("c")).collect()
     left, least = most, None
@@ -238,7 +240,7 @@ def scan(documents: DataFrame, words: list[str] | None = None) -> DataFrame:
     """
     sent = _sent(documents, words)
     kinds = "doc_id long, n_assign long, n_access long, n_hex long, n_guess long, base_sha256 string, spans string"
-    return documents.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(lambda batches: _run(batches, sent.value), kinds)
+    return documents.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(bw.handing_back(lambda batches: _run(batches, sent.value)), kinds)
 
 
 def mask(text: str, rank: dict[str, int] | None = None) -> str:
@@ -252,12 +254,11 @@ def mask(text: str, rank: dict[str, int] | None = None) -> str:
 
 
 def _mask(batches: Iterator[pa.RecordBatch], rank: dict[str, int]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        place = batch.schema.get_field_index("text")
-        texts = batch.column(place)
+    for batch, _, _ in bw.blocks(batches, limit=MASK_BYTES):
+        texts = batch.column(batch.schema.get_field_index("text"))
         worth = pc.fill_null(pc.match_substring_regex(texts, MAYBE), False)
-        made = [mask(t, rank) if w else t for t, w in zip(texts.to_pylist(), worth.to_pylist(), strict=True)]
-        columns = dict(zip(batch.schema.names, batch.columns, strict=True)) | {"text": pa.array(made, texts.type)}
+        made = pa.array([mask(t.as_py(), rank) for t in texts.filter(worth)], texts.type)
+        columns = dict(zip(batch.schema.names, batch.columns, strict=True)) | {"text": pc.replace_with_mask(texts, worth, made)}
         yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
@@ -265,7 +266,7 @@ def masked(documents: DataFrame, words: list[str] | None = None) -> DataFrame:
     """``documents`` with all columns, secrets in ``text`` masked and ``n_chars``, if there, counted anew; a null text stays
     null, with the n_chars it has. ``words`` as for ``scan``."""
     sent = _sent(documents, words)
-    out = documents.mapInArrow(lambda batches: _mask(batches, sent.value), documents.schema)
+    out = documents.mapInArrow(bw.handing_back(lambda batches: _mask(batches, sent.value)), documents.schema)
     if "n_chars" in documents.columns:
         kind = documents.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.coalesce(F.length("text").cast(kind), F.col("n_chars")))

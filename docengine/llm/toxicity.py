@@ -343,7 +343,7 @@ def score(documents: DataFrame, model: Model, keep: list[str] | None = None) ->
     base = documents.select(*keep) if keep else documents.selectExpr("cast(doc_id as long) as doc_id", "text")
     carried = tuple(keep or ["doc_id"])
     fields = ", ".join(f"`{c}` {base.schema[c].dataType.simpleString()}" for c in carried)
-    return base.mapInArrow(_scorer(sent, carried), fields + ", score double, spans array<struct<start:long,end:long>>")
+    return base.mapInArrow(bw.handing_back(_scorer(sent, carried)), fields + ", score double, spans array<struct<start:long,end:long>>")
 
 
 def trained(documents: DataFrame, labels: DataFrame, train: Column) -> Model:
