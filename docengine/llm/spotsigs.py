@@ -9,7 +9,8 @@ an order that puts frequent ones last, of which two near sets share l at least (
 that others have too is done with. Each shared signature is labelled with its first row, its head, and a class leaves out
 the weakest heads whose signatures are fewer than l in all; (3) the classes of a head are partitioned by set length, so
 that a near set lies in the same partition or the next, and a large partition is dealt out in parts; few classes are one
-partition; (4) each part is compared with itself and the others by Jaccard similarity, pruned by set length and by
+partition; classes of a family that are near by their distances from its centre alone are summed up, and not compared
+(``_families``); (4) each part is compared with itself and the others by Jaccard similarity, pruned by set length and by
 bits of the sets first, each pair once. Rareness comes from a count sketch of
 fixed size; it decides how many classes meet, never which are found.
 
@@ -44,6 +45,8 @@ SHARED_STEP = 10
 #: Classes of one head that are compared with one another in one go; more are partitioned by set length, and a partition is
 #: dealt out in parts of about so many.
 PART_MEMBERS = 256
+#: Of classes under one head, more than so many may be a family, in which pairs near by their distances from a centre are summed.
+FAMILY_MEMBERS = 16
 #: Words of 64 bits that a set is marked in; pairs whose marks differ too much are not compared.
 MARK_WORDS = 4
 # Common words of English, French, German and Spanish.
@@ -169,7 +172,7 @@ def least_shared(n: str) -> str:
 
 
 def _met(sets: DataFrame, classes: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
-    """Which classes may be near which: rep, n, first, members, head, and low, their smaller heads."""
+    """Which classes may be near which: rep, n, first, members, head, w, their signatures under it, and low, their smaller heads."""
     full = sets.where("size(fp) > 0").select("rid", "fp", F.size("fp").cast("long").alias("n"))
     rank = F.lit(_ranks(full))
     rarest = F.array_sort(F.transform("fp", lambda h: F.struct(F.substring(rank, F.pmod(h, F.lit(SKETCH_SLOTS)) + 1, F.lit(1)).alias("r"), h.alias("h"))))
@@ -186,23 +189,72 @@ def _met(sets: DataFrame, classes: DataFrame, scratch: Scratch, percent: int) ->
     each = scratch.write(held.groupBy("head").agg(F.count(F.lit(1)).alias("m"), F.avg("w").alias("mean")).where("m > 1").select("head", "mean"), "each")
     worst = own.orderBy("mean", F.col("head").desc()).rowsBetween(W.unboundedPreceding, W.currentRow)
     ranked = held.join(each, "head").withColumn("sum", F.sum("w").over(worst)).where("sum >= need")
-    heads = ranked.groupBy("rep", "n", "first", "members").agg(F.array_sort(F.collect_list("head")).alias("heads"))
-    heads = heads.withColumn("head", F.explode("heads"))
-    return scratch.write(heads.select("rep", "n", "first", "members", "head", F.filter("heads", lambda h: h < F.col("head")).alias("low")), "met")
-
-
-def _candidates(rows: DataFrame, percent: int) -> DataFrame:
-    """a, b: the pairs of each part, or of two, that set lengths and marks allow to be near, each once. Pairs are rows, as
-    lists are intersected much faster in rows than within a function on lists."""
+    heads = ranked.groupBy("rep", "n", "first", "members").agg(F.array_sort(F.collect_list(F.struct("head", "w"))).alias("heads"))
+    heads = heads.withColumn("h", F.explode("heads")).select("rep", "n", "first", "members", "h.head", "h.w", F.col("heads.head").alias("low"))
+    return scratch.write(heads.withColumn("low", F.filter("low", lambda h: h < F.col("head"))), "met")
+
+
+def _families(met: DataFrame, sets: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """rep, members, first, family, s, part, parts of the classes of large heads, each in one family, that of the head it has
+    most signatures under. d being how many signatures a set and the family's centre have that the other one lacks, s is
+    (100 + percent) * d - (100 - percent) * n. Two sets differ in at most as many as both differ from the centre, so two of
+    a family whose s are at most 0 in all are near, without a look at them. The centre, what more than half of the family
+    have, decides how many such there are, never whether a pair is near."""
+    large = met.where(F.col("m") > FAMILY_MEMBERS).groupBy("rep", "n", "first", "members")
+    chosen = scratch.write(large.agg(F.max_by("head", F.struct("w", -F.col("head"))).alias("family")), "chosen")
+    counted = scratch.write(chosen.groupBy("family").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > FAMILY_MEMBERS), "counted")
+    kin = scratch.write(chosen.join(counted, "family").join(sets.select(F.col("rid").alias("rep"), "fp"), "rep"), "kin")
+    common = kin.select("family", "c", F.explode("fp").alias("h")).groupBy("family", "h").agg(F.count(F.lit(1)).alias("k"), F.max("c").alias("c")).where("2 * k > c")
+    centres = scratch.write(common.groupBy("family").agg(F.max("c").alias("c"), F.collect_list("h").alias("centre")), "centres")
+    # Families that meet under a head and have nearly one centre go to the largest of them.
+    other = centres.select(F.col("family").alias("head"), F.col("c").alias("c2"), F.col("centre").alias("centre2"))
+    beside = kin.select("rep", "family").join(met.select("rep", "head"), "rep").where("head <> family").select("family", "head").distinct()
+    both = F.size(F.array_intersect("centre", "centre2"))
+    alike = 200 * both >= (100 + percent) * (F.size("centre") + F.size("centre2") - both)
+    larger = F.struct(F.col("c2"), -F.col("head")) > F.struct(F.col("c"), -F.col("family"))
+    moved = beside.join(other, "head").join(centres, "family").where(alike & larger).groupBy("family").agg(F.max_by("head", F.struct("c2", -F.col("head"))).alias("to"))
+    moved = centres.select("family").join(moved, "family", "left").select("family", F.coalesce("to", "family").alias("to"))
+    kin = kin.drop("c").join(scratch.write(moved, "moved"), "family").drop("family").withColumnRenamed("to", "family")
+    parts = F.ceil(F.count(F.lit(1)) / float(PART_MEMBERS)).cast("int").alias("parts")
+    dealt = scratch.write(kin.groupBy("family").agg(parts), "dealt")
+    kin = kin.join(dealt, "family").withColumn("part", F.pmod(F.xxhash64("rep"), "parts").cast("int"))
+    centre = centres.join(dealt, "family").select("family", "centre", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    differ = F.col("n") + F.size("centre") - 2 * F.size(F.array_intersect("fp", "centre"))
+    placed = kin.join(centre, ["family", "part"]).withColumn("s", ((100 + percent) * differ - (100 - percent) * F.col("n")).cast("long"))
+    return scratch.write(placed.select("rep", "members", "first", "family", "s", "part", "parts"), "families")
+
+
+def _surely_near(kin: DataFrame) -> DataFrame:
+    """rep, others, low_id: for each class of ``kin`` (see _families), how many rows the classes have that are near by s
+    alone, and their smallest doc_id. These are sums over the values of s, however many pairs there are."""
+    seen = kin.groupBy("family", "s").agg(F.sum("members").alias("others"), F.min("first").alias("low_id"), F.max("parts").alias("parts"))
+    asked = seen.select("family", (-F.col("s")).alias("s"), F.lit(0).cast("long").alias("others"), F.lit(None).cast("long").alias("low_id"), "parts")
+    steps = seen.unionByName(asked).groupBy("family", "s").agg(F.sum("others").alias("others"), F.min("low_id").alias("low_id"), F.max("parts").alias("parts"))
+    upto = W.partitionBy("family").orderBy("s").rowsBetween(W.unboundedPreceding, W.currentRow)
+    sums = steps.select("family", (-F.col("s")).alias("s"), F.sum("others").over(upto).alias("others"), F.min("low_id").over(upto).alias("low_id"), "parts")
+    sums = sums.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    found = kin.select("rep", "members", "family", "s", "part").join(sums, ["family", "s", "part"])
+    own = F.when(F.col("s") <= 0, F.col("members")).otherwise(0)
+    return found.select("rep", (F.col("others") - own).alias("others"), "low_id").where("others > 0")
+
+
+def _candidates(rows: DataFrame, percent: int, families: bool = False) -> DataFrame:
+    """a, b: the pairs of each part, or of two, that set lengths and marks allow to be near, each once; with ``families``
+    without those that are near by s alone. Pairs are rows, as lists are intersected much faster in rows than within a
+    function on lists."""
     rows = rows.withColumn("marks", marks("fp"))
-    rows = rows.groupBy("head", "lo", "hi").agg(F.collect_list(F.struct("rep", "at", "n", "first", "members", "low", "fp", "marks")).alias("held"))
+    columns = ["rep", "at", "n", "first", "members", "low", "fp", "marks", *["family", "s"] * families]
+    rows = rows.groupBy("head", "lo", "hi").agg(F.collect_list(F.struct(*columns)).alias("held"))
 
     def maybe(a: Column) -> Column:
         def allowed(b: Column) -> Column:
             apart = (a["rep"] < b["rep"]) & ((F.col("lo") == F.col("hi")) | (a["at"] != b["at"]))
             lengths = 100 * F.least(a["n"], b["n"]) >= percent * F.greatest(a["n"], b["n"])
+            if families:
+                apart &= ~((a["family"] >= 0) & (a["family"] == b["family"]) & (a["s"] + b["s"] <= 0))
             differ = reduce(add, [F.bit_count(a["marks"][i].bitwiseXOR(b["marks"][i])) for i in range(MARK_WORDS)])
-            return apart & lengths & ((100 + percent) * differ <= (100 - percent) * (a["n"] + b["n"]))
+            # A pair that meets under several heads is taken under the smallest.
+            return apart & lengths & ((100 + percent) * differ <= (100 - percent) * (a["n"] + b["n"])) & ~F.arrays_overlap(a["low"], b["low"])
 
         return F.filter("held", allowed)
 
@@ -216,23 +268,30 @@ def near_classes(sets: DataFrame, classes: DataFrame, scratch: Scratch) -> DataF
     own = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent)).cast("int")
     met = _met(sets, classes, scratch, percent)
     several = met.groupBy("head").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    met = scratch.write(met.join(several, "head").withColumn("length", F.when(F.col("m") > PART_MEMBERS, own).otherwise(-9)).drop("m"), "placed")
-    sizes = met.groupBy("head", "length").agg(F.ceil(F.count(F.lit(1)) / float(PART_MEMBERS)).cast("int").alias("parts"))
-    sizes = sizes.groupBy("head").agg(F.map_from_entries(F.collect_list(F.struct("length", "parts"))).alias("parts"))
+    met = scratch.write(met.join(several, "head"), "several")
+    kin = _families(met, sets, scratch, percent)
+    met = met.join(kin.select("rep", "family", "s"), "rep", "left").withColumns({"family": F.coalesce("family", F.lit(-1)), "s": F.coalesce("s", F.lit(0))})
+    # Members of a family whose s is at most 0 are all near one another: under a head they need the others only.
+    met = met.withColumn("tag", F.when(F.col("s") <= 0, F.col("family")).otherwise(-1))
+    tags = met.where("tag >= 0").groupBy("head", "tag").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > FAMILY_MEMBERS).select("head", "tag", F.lit(True).alias("many"))
+    met = met.join(scratch.write(tags, "tags"), ["head", "tag"], "left").withColumn("tag", F.when(F.col("many"), F.col("tag")).otherwise(-1)).drop("many")
+    met = scratch.write(met.withColumn("length", F.when(F.col("m") > PART_MEMBERS, own).otherwise(-9)).drop("m", "w"), "placed")
+    sizes = met.groupBy("head", "length", "tag").agg(F.ceil(F.count(F.lit(1)) / float(PART_MEMBERS)).cast("int").alias("parts"))
+    sizes = sizes.groupBy("head").agg(F.collect_list(F.struct("length", "tag", "parts")).alias("groups"))
     dealt = met.join(scratch.write(sizes, "sizes"), "head")
-    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")[F.col("length")]).cast("int"))
+    parts = F.expr("filter(groups, g -> g.length = length and g.tag = tag)[0].parts")
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("rep"), parts).cast("int"))
     # Against every part of its own length partition, and of the next shorter and longer ones.
-    others = "flatten(transform(array(length - 1, length, length + 1), l -> transform(sequence(1, coalesce(parts[l], 0)), p -> struct(l as length, p - 1 as part))))"
-    others = others.replace("sequence(1, coalesce(parts[l], 0))", "filter(sequence(0, coalesce(parts[l], 0)), p -> p > 0)")
-    dealt = dealt.withColumn("at", F.struct("length", "part")).withColumn("other", F.explode(F.expr(others)))
-    squares = dealt.select("head", F.least("at", "other").alias("lo"), F.greatest("at", "other").alias("hi"), "at", "rep", "n", "first", "members", "low")
+    met_by = "filter(groups, g -> abs(g.length - length) <= 1 and (g.tag < 0 or g.tag <> tag))"
+    others = f"flatten(transform({met_by}, g -> transform(sequence(1, g.parts), p -> struct(g.length as length, g.tag as tag, p - 1 as part))))"
+    dealt = dealt.withColumn("at", F.struct("length", "tag", "part")).withColumn("other", F.explode(F.expr(others)))
+    squares = dealt.select("head", F.least("at", "other").alias("lo"), F.greatest("at", "other").alias("hi"), "at", "rep", "n", "first", "members", "low", "family", "s")
     squares = scratch.write(squares, "squares")
-    met = _candidates(squares.join(sets.select(F.col("rid").alias("rep"), "fp"), "rep"), percent)
+    met = _candidates(squares.join(sets.select(F.col("rid").alias("rep"), "fp"), "rep"), percent, families=True)
     both = F.size(F.array_intersect("a.fp", "b.fp"))
-    # A pair that meets under several heads counts under the smallest.
-    near = met.where(~F.arrays_overlap("a.low", "b.low") & (100 * both >= percent * (F.col("a.n") + F.col("b.n") - both)))
+    near = met.where(100 * both >= percent * (F.col("a.n") + F.col("b.n") - both))
     sides = [F.struct(F.col(f"{x}.rep").alias("rep"), F.col(f"{y}.members").alias("others"), F.col(f"{y}.first").alias("low_id")) for x, y in ("ab", "ba")]
-    each = near.select(F.explode(F.array(*sides)).alias("x")).select("x.*")
+    each = near.select(F.explode(F.array(*sides)).alias("x")).select("x.*").unionByName(_surely_near(kin))
     return each.groupBy("rep").agg(F.sum("others").alias("others"), F.min("low_id").alias("low_id"))
 
 
@@ -254,7 +313,7 @@ def near_rows(sets: DataFrame, scratch: Scratch) -> DataFrame:
     counts = counts.select("c1", "c2", "n_near", F.least("first", "low_id").alias("near_id"))
     rows = sets.select("c1", "c2", "doc_id", "t").join(scratch.write(counts, "counts"), ["c1", "c2"]).select("doc_id", "t", "n_near", F.least("near_id", "doc_id").alias("near_id"))
     rows = scratch.write(rows, "rows")
-    scratch.drop("classes", "first", "held", "each", "met", "placed", "sizes", "squares", "counts")
+    scratch.drop("classes", "first", "held", "each", "met", "several", "chosen", "counted", "kin", "centres", "moved", "dealt", "families", "tags", "placed", "sizes", "squares", "counts")
     return rows
 
 

@@ -293,6 +293,41 @@ def test_near_copies_against_all_pairs(spark, monkeypatch, members):
     assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
+@pytest.mark.parametrize("members,family", [(8, 2), (64, 16)])
+def test_families_of_near_copies_are_counted_without_their_pairs(spark, monkeypatch, members, family):
+    """Families of many different near copies, tight, loose and half alike, with copies of members, against all pairs."""
+    import itertools
+    import random
+
+    monkeypatch.setattr(spotsigs, "PART_MEMBERS", members)
+    monkeypatch.setattr(spotsigs, "FAMILY_MEMBERS", family)
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("bcdfghjk") for _ in range(6))
+    base = [word() for _ in range(120)]
+    docs = []
+    for origin, copies, share in ((base, 90, 0.02), (base[:100] + [word() for _ in range(20)], 30, 0.02), ([word() for _ in range(80)], 40, 0.06)):
+        for _ in range(copies):
+            own = [word() if rng.random() < share else w for w in origin]
+            docs.append(" the ".join(" ".join(own[i : i + 2]) for i in range(0, len(own), 2)))
+    docs += docs[::9]
+    rng.shuffle(docs)
+    frame = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    sets = [set(r["s"]) for r in frame.select("doc_id", spotsigs.signatures(F.col("text")).alias("s")).orderBy("doc_id").collect()]
+    near = {i: {i} for i in range(len(docs))}
+    pairs = 0
+    for i, j in itertools.combinations(range(len(docs)), 2):
+        if len(sets[i] & sets[j]) >= spotsigs.NEAR * len(sets[i] | sets[j]):
+            near[i].add(j)
+            near[j].add(i)
+            pairs += sets[i] != sets[j]
+    compared, real = [], spotsigs._candidates
+    monkeypatch.setattr(spotsigs, "_candidates", lambda *a, **k: (compared.append(found := real(*a, **k)), found)[1])
+    monkeypatch.setattr(spotsigs.Scratch, "drop", lambda *a: None)
+    got = [tuple(r) for r in spotsigs.fingerprints(frame).select("doc_id", "n_near", "near_id").collect()]
+    assert sorted(got) == [(i, len(x) - 1, min(x)) for i, x in near.items()]
+    assert pairs > 4000 and 0 < compared[0].count() < pairs / 2
+
+
 def test_near_pairs_are_looked_at_once_and_few_others(spark):
     """Of a family and of sets alike by length only, in one part: every near pair is compared once, most others never."""
     import itertools
