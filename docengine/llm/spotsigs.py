@@ -194,6 +194,20 @@ def _met(sets: DataFrame, classes: DataFrame, scratch: Scratch, percent: int) ->
     return scratch.write(heads.withColumn("low", F.filter("low", lambda h: h < F.col("head"))), "met")
 
 
+def _centres(kin: DataFrame) -> DataFrame:
+    """family, c, centre: the signatures that more than half of the c members of each family of ``kin`` (rep, family, c, fp)
+    have; where a family is more than one part, those that parts with more than half of the members have so. A part's sets
+    are sorted as one list, in which the signature of k members stands k times in a row, so only what a part's members mostly
+    have becomes rows, and not each signature of each member."""
+    part = F.pmod(F.xxhash64("rep"), F.ceil(F.col("c") / float(PART_MEMBERS))).alias("part")
+    held = kin.groupBy("family", "c", part).agg(F.count(F.lit(1)).alias("m"), F.sort_array(F.flatten(F.collect_list("fp"))).alias("all"))
+    half = F.floor(F.col("m") / 2).cast("int")
+    # The list is bound once: a lambda that names the column could compute it anew for each element.
+    mostly = F.transform(F.array("all"), lambda a: F.array_distinct(F.filter(a, lambda h, i: F.get(a, i + half) == h)))[0]
+    common = held.select("family", "c", "m", F.explode(mostly).alias("h")).groupBy("family", "c", "h").agg(F.sum("m").alias("k")).where("2 * k > c")
+    return common.groupBy("family", "c").agg(F.collect_list("h").alias("centre"))
+
+
 def _families(met: DataFrame, sets: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
     """rep, members, first, family, s, part, parts of the classes of large heads, each in one family, that of the head it has
     most signatures under. d being how many signatures a set and the family's centre have that the other one lacks, s is
@@ -204,8 +218,7 @@ def _families(met: DataFrame, sets: DataFrame, scratch: Scratch, percent: int) -
     chosen = scratch.write(large.agg(F.max_by("head", F.struct("w", -F.col("head"))).alias("family")), "chosen")
     counted = scratch.write(chosen.groupBy("family").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > FAMILY_MEMBERS), "counted")
     kin = scratch.write(chosen.join(counted, "family").join(sets.select(F.col("rid").alias("rep"), "fp"), "rep"), "kin")
-    common = kin.select("family", "c", F.explode("fp").alias("h")).groupBy("family", "h").agg(F.count(F.lit(1)).alias("k"), F.max("c").alias("c")).where("2 * k > c")
-    centres = scratch.write(common.groupBy("family").agg(F.max("c").alias("c"), F.collect_list("h").alias("centre")), "centres")
+    centres = scratch.write(_centres(kin), "centres")
     # Families that meet under a head and have nearly one centre go to the largest of them.
     other = centres.select(F.col("family").alias("head"), F.col("c").alias("c2"), F.col("centre").alias("centre2"))
     beside = kin.select("rep", "family").join(met.select("rep", "head"), "rep").where("head <> family").select("family", "head").distinct()

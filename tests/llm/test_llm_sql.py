@@ -328,6 +328,56 @@ def test_families_of_near_copies_are_counted_without_their_pairs(spark, monkeypa
     assert pairs > 4000 and 0 < compared[0].count() < pairs / 2
 
 
+@pytest.mark.parametrize("members", [16, 64])
+def test_centres_of_families_need_no_row_for_each_signature_of_a_member(spark, monkeypatch, members):
+    """What more than half of a family have, against counts; the rows made for it follow the parts, not the members."""
+    import random
+    from collections import Counter
+
+    monkeypatch.setattr(spotsigs, "PART_MEMBERS", members)
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("bcdfghjk") for _ in range(6))
+    docs = []
+    for copies in (17, 40, 60):
+        base = [word() for _ in range(120)]
+        for _ in range(copies):
+            own = [word() if rng.random() < 0.03 else w for w in base]
+            docs.append(" the ".join(" ".join(own[i : i + 2]) for i in range(0, len(own), 2)))
+    kept, made, real = {}, [], spotsigs.Scratch.write
+
+    def rows(plan):
+        """Rows that the Generate nodes of a plan that has run have made."""
+        inner = plan.executedPlan() if plan.nodeName() == "AdaptiveSparkPlan" else plan.plan() if plan.nodeName().endswith("QueryStage") else None
+        below = [inner] if inner else [plan.children().apply(i) for i in range(plan.children().size())]
+        own = plan.metrics().apply("numOutputRows").value() if plan.nodeName() == "Generate" else 0
+        return own + sum(rows(x) for x in below)
+
+    def write(self, df, name):
+        kept[name] = real(self, df, name)
+        if name == "centres":
+            df.collect()
+            made.append(rows(df._jdf.queryExecution().executedPlan()))
+        return kept[name]
+
+    monkeypatch.setattr(spotsigs.Scratch, "write", write)
+    monkeypatch.setattr(spotsigs.Scratch, "drop", lambda *a: None)
+    spotsigs.fingerprints(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).collect()
+    sets: dict[int, list] = {}
+    for r in kept["kin"].select("family", "fp").collect():
+        sets.setdefault(r["family"], []).append(r["fp"])
+    centres = {r["family"]: (r["c"], r["centre"]) for r in kept["centres"].collect()}
+    assert len(sets) >= 3 and centres.keys() == sets.keys()
+    for family, (c, centre) in centres.items():
+        counts = Counter(h for fp in sets[family] for h in fp)
+        assert c == len(sets[family]) and len(centre) == len(set(centre))
+        if c <= members:
+            assert set(centre) == {h for h, k in counts.items() if 2 * k > c}
+        else:
+            assert {h for h, k in counts.items() if 4 * k > 3 * c} <= set(centre) <= {h for h, k in counts.items() if 4 * k > c}
+    signatures = sum(len(fp) for own in sets.values() for fp in own)
+    assert 0 < made[0] <= signatures / 8
+
+
 def test_near_pairs_are_looked_at_once_and_few_others(spark):
     """Of a family and of sets alike by length only, in one part: every near pair is compared once, most others never."""
     import itertools
